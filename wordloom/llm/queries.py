@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_automaton, packing, simple8b
+from . import bpe_automaton, line_dedup, packing, simhash, simple8b
 from .common import table
 from .token_cache import default_path
 
@@ -19,17 +19,27 @@ def op4_simple8b_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.written_and_read(table(spark, sf_dir, "documents"), default_path("byte_bpe_50k.json"))
 
 
+def op5_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_pieces(table(spark, sf_dir, "documents"), default_path("word_bpe_49k.json"))
 
 
+def op10_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_bpe_automaton": op2_bpe_automaton,
         "op4_simple8b_ids": op4_simple8b_ids,
+        "op5_line_windows": op5_line_windows,
         "op8_packing": op8_packing,
+        "op10_covering_simhash": op10_covering_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_line_windows": line_dedup.SQL}
