@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_automaton, line_dedup, packing, simhash, simple8b
+from . import bpe_automaton, line_dedup, packing, perplexity, simhash, simple8b
 from .common import table
 from .token_cache import default_path
 
@@ -15,6 +15,10 @@ def op2_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.round_trip_digests(table(spark, sf_dir, "documents"), default_path("byte_bpe_50k.json")).drop("same_text")
 
 
+def op3_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.judged(table(spark, sf_dir, "documents"), ["doc_id"]).drop("low", "high")
+
+
 def op4_simple8b_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.written_and_read(table(spark, sf_dir, "documents"), default_path("byte_bpe_50k.json"))
 
@@ -34,6 +38,7 @@ def op10_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_bpe_automaton": op2_bpe_automaton,
+        "op3_perplexity_rules": op3_perplexity_rules,
         "op4_simple8b_ids": op4_simple8b_ids,
         "op5_line_windows": op5_line_windows,
         "op8_packing": op8_packing,
