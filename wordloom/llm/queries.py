@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_automaton, line_dedup, packing, perplexity, simhash, simple8b
+from . import bpe_automaton, embedding_dedup, line_dedup, packing, perplexity, quality_model, simhash, simple8b
 from .common import table
 from .token_cache import default_path
 
 
+def op1_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.round_trip_digests(table(spark, sf_dir, "documents"), default_path("byte_bpe_50k.json")).drop("same_text")
 
@@ -27,6 +31,10 @@ def op5_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op6_projection_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.linked(table(spark, sf_dir, "embeddings"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_pieces(table(spark, sf_dir, "documents"), default_path("word_bpe_49k.json"))
 
@@ -37,10 +45,12 @@ def op10_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_byte_network": op1_byte_network,
         "op2_bpe_automaton": op2_bpe_automaton,
         "op3_perplexity_rules": op3_perplexity_rules,
         "op4_simple8b_ids": op4_simple8b_ids,
         "op5_line_windows": op5_line_windows,
+        "op6_projection_passes": op6_projection_passes,
         "op8_packing": op8_packing,
         "op10_covering_simhash": op10_covering_simhash,
     }
