@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_automaton, embedding_dedup, line_dedup, packing, perplexity, quality_model, simhash, simple8b
+from . import bpe_automaton, embedding_dedup, exact_substrings, line_dedup, packing, perplexity, quality_model, simhash, simple8b
 from .common import table
 from .token_cache import default_path
 
@@ -39,6 +39,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_pieces(table(spark, sf_dir, "documents"), default_path("word_bpe_49k.json"))
 
 
+def op9_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_substrings.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), texts=False)
+
+
 def op10_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_line_windows": op5_line_windows,
         "op6_projection_passes": op6_projection_passes,
         "op8_packing": op8_packing,
+        "op9_suffix_arrays": op9_suffix_arrays,
         "op10_covering_simhash": op10_covering_simhash,
     }
 
