@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_automaton, embedding_dedup, exact_substrings, line_dedup, packing, perplexity, quality_model, simhash, simple8b
+from . import bpe_automaton, chained_passages, embedding_dedup, exact_substrings, line_dedup, packing, perplexity, quality_model, simhash, simple8b
 from .common import table
 from .token_cache import default_path
 
@@ -35,6 +35,10 @@ def op6_projection_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.linked(table(spark, sf_dir, "embeddings"))
 
 
+def op7_chained_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chained_passages.passages(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_pieces(table(spark, sf_dir, "documents"), default_path("word_bpe_49k.json"))
 
@@ -55,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_simple8b_ids": op4_simple8b_ids,
         "op5_line_windows": op5_line_windows,
         "op6_projection_passes": op6_projection_passes,
+        "op7_chained_passages": op7_chained_passages,
         "op8_packing": op8_packing,
         "op9_suffix_arrays": op9_suffix_arrays,
         "op10_covering_simhash": op10_covering_simhash,
