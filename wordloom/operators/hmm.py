@@ -1,0 +1,175 @@
+"""Hidden Markov models: counts to probabilities, scoring, tagging and re-estimation.
+
+A model is a few small tables held in NumPy arrays and sent to the tasks:
+states and vocabulary are sets that the caller bounds.  Sentences are processed
+in Arrow batches, one at a time, and expected counts are summed by Spark.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .corpus import EDGE, UNKNOWN
+
+
+@dataclass
+class Model:
+    tags: list[str]
+    words: list[str]  # the last one stands for all unknown words
+    a: np.ndarray  # ln p(tag j | tag i)
+    b: np.ndarray  # ln p(word | tag)
+    start: np.ndarray
+    stop: np.ndarray
+    number: dict[str, int] = field(default_factory=dict)
+
+    def __post_init__(self):
+        self.number = {w: i for i, w in enumerate(self.words)}
+
+    def ids(self, toks) -> list[int]:
+        return [self.number.get(w, len(self.words) - 1) for w in toks]
+
+
+def supervised_counts(tagged: DataFrame, keys: list[str], rare: int = 1) -> tuple[DataFrame, DataFrame]:
+    """((w, tag, f), (t1, t2, f)): emissions, the mass of words seen ``rare`` times or fewer counting for the unknown word too, and transitions with edge marks."""
+    lex = tagged.groupBy("w", "tag").agg(F.count("*").alias("f"))
+    total = lex.groupBy("w").agg(F.sum("f").alias("all"))
+    unknown = lex.join(total, "w").where(F.col("all") <= rare).groupBy("tag").agg(F.sum("f").alias("f")).select(F.lit(UNKNOWN).alias("w"), "tag", "f")
+    order = tagged.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tag"))), lambda x: x["tag"]).alias("t"))
+    padded = F.concat(F.array(F.lit(EDGE)), F.col("t"), F.array(F.lit(EDGE)))
+    pairs = order.select(F.explode(F.transform(F.sequence(F.lit(0), F.size("t")), lambda i: F.struct(F.get(padded, i).alias("t1"), F.get(padded, i + 1).alias("t2")))).alias("p")).select("p.*")
+    return lex.unionByName(unknown), pairs.groupBy("t1", "t2").agg(F.count("*").alias("f"))
+
+
+def compiled(emissions: DataFrame, transitions: DataFrame, vocabulary: int = 50_000, smooth: float = 1e-6) -> Model:
+    """The model of the counts; the most frequent ``vocabulary`` words are known, others are the unknown word."""
+    common = emissions.where(F.col("w") != UNKNOWN).groupBy("w").agg(F.sum("f").alias("f")).orderBy(F.desc("f"), "w").limit(vocabulary).select("w")
+    e = emissions.join(F.broadcast(common), "w", "left_semi").unionByName(emissions.where(F.col("w") == UNKNOWN)).toPandas()
+    t = transitions.toPandas()
+    tags = sorted({*e["tag"]} - {EDGE})
+    words = [*sorted({*e["w"]} - {UNKNOWN}), UNKNOWN]
+    at_t, at_w = {x: i for i, x in enumerate(tags)}, {x: i for i, x in enumerate(words)}
+    a, b = np.full((len(tags), len(tags)), smooth), np.full((len(tags), len(words)), smooth)
+    start, stop = np.full(len(tags), smooth), np.full(len(tags), smooth)
+    for w, tag, f in e[["w", "tag", "f"]].itertuples(index=False):
+        b[at_t[tag], at_w[w]] += f
+    for x, y, f in t[["t1", "t2", "f"]].itertuples(index=False):
+        if x == EDGE and y != EDGE:
+            start[at_t[y]] += f
+        elif y == EDGE and x != EDGE:
+            stop[at_t[x]] += f
+        elif x != EDGE:
+            a[at_t[x], at_t[y]] += f
+    out = a.sum(axis=1) + stop
+    return Model(tags, words, np.log(a / out[:, None]), np.log(b / b.sum(axis=1, keepdims=True)), np.log(start / start.sum()), np.log(stop / out))
+
+
+def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
+    most = x.max(axis=axis, keepdims=True)
+    return (most + np.log(np.exp(x - most).sum(axis=axis, keepdims=True))).squeeze(axis)
+
+
+def forward(m: Model, ids: list[int]) -> tuple[np.ndarray, float]:
+    """(ln alpha, ln p) of a sequence of at least one word."""
+    alpha = np.empty((len(ids), len(m.tags)))
+    alpha[0] = m.start + m.b[:, ids[0]]
+    for k in range(1, len(ids)):
+        alpha[k] = _log_sum(alpha[k - 1][:, None] + m.a, 0) + m.b[:, ids[k]]
+    return alpha, float(_log_sum(alpha[-1] + m.stop, 0))
+
+
+def backward(m: Model, ids: list[int]) -> np.ndarray:
+    beta = np.empty((len(ids), len(m.tags)))
+    beta[-1] = m.stop
+    for k in range(len(ids) - 2, -1, -1):
+        beta[k] = _log_sum(m.a + (m.b[:, ids[k + 1]] + beta[k + 1])[None, :], 1)
+    return beta
+
+
+def viterbi(m: Model, ids: list[int]) -> tuple[list[int], float]:
+    """(states, ln p) of the best path, the end included; ties to the lower state."""
+    if not ids:
+        return [], 0.0
+    delta, back = m.start + m.b[:, ids[0]], []
+    for w in ids[1:]:
+        step = delta[:, None] + m.a
+        back.append(step.argmax(axis=0))
+        delta = step.max(axis=0) + m.b[:, w]
+    delta = delta + m.stop
+    path = [int(delta.argmax())]
+    for choice in reversed(back):
+        path.append(int(choice[path[-1]]))
+    return path[::-1], float(delta.max())
+
+
+def posterior(m: Model, ids: list[int]) -> list[int]:
+    """The likeliest state at each place on its own."""
+    return (forward(m, ids)[0] + backward(m, ids)).argmax(axis=1).tolist() if ids else []
+
+
+def tagged(sents: DataFrame, model: Model, keys: list[str], how: str = "viterbi") -> DataFrame:
+    """(keys…, tags, logp) of sentences (keys…, toks)."""
+    sent = sents.sparkSession.sparkContext.broadcast(model)
+    schema = ", ".join(f"{k} {sents.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = sent.value
+        for frame in frames:
+            ids = [m.ids(t) for t in frame["toks"]]
+            best = [viterbi(m, x) for x in ids] if how == "viterbi" else [(posterior(m, x), forward(m, x)[1] if x else 0.0) for x in ids]
+            yield frame[keys].assign(tags=[[m.tags[s] for s in p] for p, _ in best], logp=[lp for _, lp in best])
+
+    return sents.select(*keys, "toks").mapInPandas(run, f"{schema}, tags array<string>, logp double")
+
+
+def expected_counts(sents: DataFrame, model: Model) -> DataFrame:
+    """(kind, i, j, f): expected uses of starts, stops, transitions and emissions, summed over all sentences."""
+    sent = sents.sparkSession.sparkContext.broadcast(model)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = sent.value
+        start, stop, a, b = np.zeros(len(m.tags)), np.zeros(len(m.tags)), np.zeros_like(m.a), np.zeros_like(m.b)
+        logp, n = 0.0, 0
+        for frame in frames:
+            for toks in frame["toks"]:
+                ids = m.ids(toks)
+                if not ids:
+                    continue
+                alpha, p = forward(m, ids)
+                beta = backward(m, ids)
+                gamma = np.exp(alpha + beta - p)
+                start += gamma[0]
+                stop += gamma[-1]
+                np.add.at(b.T, ids, gamma)
+                for k in range(len(ids) - 1):
+                    a += np.exp(alpha[k][:, None] + m.a + (m.b[:, ids[k + 1]] + beta[k + 1])[None, :] - p)
+                logp, n = logp + p, n + 1
+        rows = [("logp", 0, 0, logp), ("n", 0, 0, float(n))]
+        for kind, x in (("start", start[:, None]), ("stop", stop[:, None]), ("a", a), ("b", b)):
+            i, j = np.nonzero(x)
+            rows += zip([kind] * len(i), i.tolist(), j.tolist(), x[i, j].tolist(), strict=True)
+        yield pd.DataFrame(rows, columns=["kind", "i", "j", "f"])
+
+    return sents.select("toks").mapInPandas(run, "kind string, i int, j int, f double").groupBy("kind", "i", "j").agg(F.sum("f").alias("f"))
+
+
+def reestimated(sents: DataFrame, model: Model, rounds: int = 1, floor: float = 1e-12) -> tuple[Model, list[float]]:
+    """The model after ``rounds`` of expectation and maximisation, and ln p of the corpus before each."""
+    history = []
+    for _ in range(rounds):
+        parts = {k: np.full(s, floor) for k, s in (("start", len(model.tags)), ("stop", len(model.tags)), ("a", model.a.shape), ("b", model.b.shape))}
+        for r in expected_counts(sents, model).toLocalIterator():
+            if r["kind"] == "logp":
+                history.append(r["f"])
+            elif r["kind"] in ("start", "stop"):
+                parts[r["kind"]][r["i"]] += r["f"]
+            elif r["kind"] in ("a", "b"):
+                parts[r["kind"]][r["i"], r["j"]] += r["f"]
+        out = parts["a"].sum(axis=1) + parts["stop"]
+        model = Model(model.tags, model.words, np.log(parts["a"] / out[:, None]), np.log(parts["b"] / parts["b"].sum(axis=1, keepdims=True)), np.log(parts["start"] / parts["start"].sum()), np.log(parts["stop"] / out))
+    return model, history
