@@ -143,7 +143,8 @@ MEMBERSHIP = {
 
 
 def membership(distances: DataFrame, how: str, m: int, beta: float = 1.0) -> DataFrame:
-    """(id, cluster, p): weights of each point's m nearest clusters, adding up to 1."""
+    """(id, cluster, p): weights of each point's m nearest clusters, adding up to 1; null where all weights are 0."""
     spread = F.broadcast(distances.agg(F.min("d").alias("dmin"), F.max("d").alias("dmax")))
     near = nearest(distances, m).crossJoin(spread).withColumn("beta", F.lit(beta)).withColumn("weight", F.expr(MEMBERSHIP[how]).cast("double"))
-    return near.select("id", "cluster", (F.col("weight") / F.sum("weight").over(Window.partitionBy("id"))).alias("p"))
+    whole = F.sum("weight").over(Window.partitionBy("id"))
+    return near.select("id", "cluster", (F.col("weight") / F.when(whole != 0, whole)).alias("p"))

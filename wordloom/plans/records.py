@@ -240,7 +240,7 @@ for _how in ("min", "max", "avg"):
 for _how, _sql in clustering.MEMBERSHIP.items():
 
     def _add_membership(how: str, sql: str) -> None:
-        @query(f"d2p_{how}", f"{_SEEDS}, ds AS (SELECT id, cluster, {_DISTANCE['l2']} AS d FROM pr), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, cluster) AS rank, min(d) OVER () AS dmin, max(d) OVER () AS dmax, 1.5 AS beta FROM ds), q AS (SELECT id, cluster, CAST({sql} AS DOUBLE) AS x FROM r WHERE rank <= 4) SELECT id, cluster, round(x / sum(x) OVER (PARTITION BY id), 6) AS p FROM q")
+        @query(f"d2p_{how}", f"{_SEEDS}, ds AS (SELECT id, cluster, {_DISTANCE['l2']} AS d FROM pr), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, cluster) AS rank, min(d) OVER () AS dmin, max(d) OVER () AS dmax, 1.5 AS beta FROM ds), q AS (SELECT id, cluster, CAST({sql} AS DOUBLE) AS x FROM r WHERE rank <= 4) SELECT id, cluster, round(x / nullif(sum(x) OVER (PARTITION BY id), 0), 6) AS p FROM q")
         def _(s, d):
             return clustering.membership(clustering.distances_to(_points(s, d).drop("cluster"), _seeds(s, d), "l2"), how, 4, 1.5).withColumn("p", F.round("p", 6))
 
