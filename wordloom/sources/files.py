@@ -130,6 +130,6 @@ def write_ngrams(grams: DataFrame, path: str, n: int) -> None:
 
 def read_variables(spark: SparkSession, path: str) -> DataFrame:
     """(name, op, value) of ``name op= value`` lines; a backslash at a line's end continues it, # starts a comment."""
-    files = spark.read.text(path, wholetext=True).select(F.explode(F.split(F.regexp_replace("value", r"\\\n[ \t]*", " "), "\n")).alias("line"))
+    files = spark.read.text(path, wholetext=True).select(F.explode(F.split(F.regexp_replace("value", r"[ \t]*\\\n[ \t]*", " "), "\n")).alias("line"))
     pattern = r"^\s*([\w.\-]+)\s*(\?=|:=|\+=|=)\s*([^#]*?)\s*(?:#.*)?$"
     return files.where(F.col("line").rlike(pattern)).select(*[F.regexp_extract("line", pattern, i + 1).alias(c) for i, c in enumerate(("name", "op", "value"))])
