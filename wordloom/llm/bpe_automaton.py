@@ -48,20 +48,25 @@ class TokenizationAutomaton:
         self.copied_from, self.owner, self.made = [0], [-1], [-1]
         self.below = [0]  # the state beneath all gadgets of the same owner
         self.lacks: dict[tuple[int, int], int] = {}
+        self.first: dict[tuple[int, int], int] = {}  # the first gadget of an owner above a state
+        live = {t for t, label in labels.items() if len(label) == 1}
         for rank, (u, v, w) in enumerate(merges):
             old, target = self.enters[u], self.enters[v]
+            if u not in live or v not in live or not self.has_arc(old, v):
+                continue  # earlier merges leave no place where v follows u
+            live.add(w)
             self.copied_from.append(old)
             self.owner.append(u)
             self.made.append(rank)
             self.below.append(self.below[old] if self.owner[old] == u else old)
+            self.first.setdefault((u, self.below[-1]), rank)
             self.lacks[u, v] = rank
             self.enters[u] = len(self.made) - 1
             self.born[w], self.left[w], self.enters[w] = rank, u, target
         self.next: list[dict[int, int]] = [{}]
         self.accepts = [-1]
-        made = {w for _, _, w in merges}
         for token, label in labels.items():
-            if len(label) == 1 or token in made:
+            if token in live:
                 node = 0
                 for byte in label:
                     if byte not in self.next[node]:
@@ -86,22 +91,13 @@ class TokenizationAutomaton:
                 return False
             # The arc is as in the newest state that it was added to, or in the one beneath the gadgets.
             floor = self.below[state]
-            if made[floor] > birth or self._oldest(state, floor) > birth:
+            if made[floor] > birth or self.first[own, floor] > birth:
                 state = floor
             else:
                 while state != floor and made[state] > birth:
                     state = copied[state]
         return True
 
-    def _oldest(self, state: int, floor: int) -> int:
-        """The first merge whose gadget belongs to the owner of ``state``, above ``floor``."""
-        key = (self.owner[state], floor)
-        if not hasattr(self, "_first"):
-            self._first: dict[tuple[int, int], int] = {}
-            for s in range(1, len(self.made)):
-                self._first.setdefault((self.owner[s], self.below[s]), self.made[s])
-        return self._first[key]
-
     def encode(self, word: bytes) -> list[int]:
         """The one accepted token sequence whose labels spell ``word``."""
         n = len(word)
