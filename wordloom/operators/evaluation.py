@@ -39,6 +39,17 @@ def expected_agreement(lex: DataFrame) -> DataFrame:
     return seen.agg(F.sum(square / F.col("fw")).alias("precision"), F.sum(square / F.col("ft")).alias("recall"))
 
 
+def induced_tags(lex: DataFrame) -> DataFrame:
+    """(precision, recall, mutual) of induced tags w against wanted ones: the shares of tokens in each w's best tag, in each tag's best w, and in both."""
+    n = F.broadcast(lex.agg(F.sum("f").alias("n")))
+    best = lex.groupBy("w").agg(F.min(F.struct((-F.col("f")).alias("f"), "tag")).alias("m")).select("w", F.col("m.tag").alias("best_tag"))
+    back = lex.groupBy("tag").agg(F.min(F.struct((-F.col("f")).alias("f"), "w")).alias("m")).select("tag", F.col("m.w").alias("best_w"))
+    met = lex.join(best, "w").join(back, "tag").crossJoin(n)
+    share = lambda c: F.sum(F.when(c, F.col("f")).otherwise(0)) / F.max("n")
+    there, here = F.col("tag") == F.col("best_tag"), F.col("w") == F.col("best_w")
+    return met.agg(share(there).alias("precision"), share(here).alias("recall"), share(there & here).alias("mutual"))
+
+
 def boundary_scores(pairs: DataFrame, found: str, wanted: str) -> DataFrame:
     """(right, found, wanted, precision, recall, f1): over arrays of boundary places, one row a word."""
     sums = pairs.agg(F.sum(F.size(F.array_intersect(found, wanted))).alias("right"), F.sum(F.size(found)).alias("found"), F.sum(F.size(wanted)).alias("wanted"))
