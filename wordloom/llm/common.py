@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,6 +15,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 """A word: code points other than the six ASCII white-space characters."""
 
 
+SLICE = 16_000_000
+"""Bytes of a batch, about, that Python sees at once."""
+
+
+MEMORIES: dict[str, dict] = {}
+"""What operators remember in a Python worker between tasks, by name."""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` under ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -49,9 +59,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[dict], Iterator[dict]]], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, make: Callable[[], Callable[[dict], Iterator[dict]]], schema: str, memory: str = "") -> DataFrame:
     """Apply a Python function to Arrow batches.
 
+    A worker that turns to another operator gives up what it remembered for
+    the last one; ``memory`` names what this one goes on with.
+
     ``make`` runs once per task and returns a function from a dict of column
     lists to dicts of column lists (or NumPy arrays); called with None after
     the last batch, it may yield what it has held back.
@@ -63,21 +76,34 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[dict], Iterator[dict
     arrow = to_arrow_schema(parsed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, remembered in MEMORIES.items():
+            if name != memory:
+                remembered.clear()
         step = make()
 
         def out(columns: dict) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in arrow], schema=arrow)
 
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            rows = max(1, SLICE * whole.num_rows // max(1, whole.nbytes))
+            for at in range(0, whole.num_rows, rows):
+                batch = whole.slice(at, rows)
                 for columns in step({n: c.to_pylist() for n, c in zip(batch.schema.names, batch.columns, strict=True)}):
                     yield out(columns)
         for columns in step(None) or ():
             yield out(columns)
+        _give_back()
 
     return df.mapInArrow(run, parsed)
 
 
+def _give_back() -> None:
+    """Return freed memory to the system, as an idle worker keeps its processes' memory."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only there with the GNU library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def _parsed(ddl: str):
     from pyspark.sql.types import StructType
 
