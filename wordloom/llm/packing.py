@@ -119,7 +119,7 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> Data
             pid = TaskContext.get().partitionId()
             out: dict[str, list] = {k.split(" ")[0]: [] for k in CUT.split(", ")}
             out["doc_id"] = batch["doc_id"]
-            for encoded in tokenizer.ids(batch["text"]):
+            for encoded in tokenizer.ids(batch["text"], 5_000_000):
                 ids = encoded + end
                 n = len(ids) // 4
                 full, rest = divmod(n, WINDOW)
@@ -141,7 +141,7 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> Data
 
         return step
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, CUT)
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, CUT, "pieces")
 
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"

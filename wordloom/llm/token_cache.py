@@ -1,20 +1,33 @@
 """Token ids of whole texts by the tokenizers library, a distinct piece at a time.
 
 Texts are cut where the tokenizer itself always cuts, so the ids of the pieces
-joined are the ids of the text.  Each Python worker remembers the pieces that it
-has seen, within a bound, as natural text repeats most of its words.
+joined are the ids of the text: before a space that a word follows, between a
+letter and a mark, and between a line's end and a letter.  Arrow numbers the
+pieces; each Python worker remembers the ids of those that it has seen, within a
+bound, as natural text repeats most of its words.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
-LIMIT = 700_000
-"""Most pieces remembered by a worker; then the memory starts afresh."""
+from .common import MEMORIES
+
+LIMIT = 300_000
+"""Pieces remembered before the older half of the memory goes; those in use move to the newer half."""
+CHARS = 10_000_000
+"""Characters whose pieces are numbered together."""
+CUT = "\x1f"
+"""Marks the cuts; texts that hold it are cut by themselves."""
 
 _UNSAFE = re.compile(r" (?=\s|$)")
 _BEFORE_WORD = re.compile(r"(?= \S)")
+# White space as Python sees it, for the regular expressions of Arrow.
+_SPACES = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_ODD = rf" (?:[{_SPACES}]|$)|{CUT}"
+_LETTER = r"[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]"
 
 
 def default_path(name: str) -> str:
@@ -29,59 +42,94 @@ class PieceTokenizer:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import json
-
         import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
         from tokenizers import Tokenizer
 
-        self.np = np
+        self.np, self.pa, self.pc = np, pa, pc
         with open(path, encoding="utf-8") as f:
             described = json.load(f)
-        self.byte_level = described.get("normalizer") is None and described["pre_tokenizer"]["type"] == "ByteLevel"
+        byte_level = described.get("normalizer") is None and described["pre_tokenizer"]["type"] == "ByteLevel"
         self.spaces_dropped = "\\s+" in json.dumps(described.get("normalizer")).replace("\\\\", "\\")
-        if not (self.byte_level or self.spaces_dropped):
-            raise ValueError("texts for this tokenizer can't be cut at spaces")
+        if not (byte_level or self.spaces_dropped) or any(not t["content"].startswith("<|") for t in described["added_tokens"]):
+            raise ValueError("it isn't known where texts for this tokenizer can be cut")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def pieces(self, text: str) -> list[str]:
-        """The text cut at spaces; white space goes where the tokenizer drops it."""
-        if self.spaces_dropped:
-            return text.replace("\n", " ").split(" ")
-        if _UNSAFE.search(text):
-            return _BEFORE_WORD.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
-
-    def ids(self, texts: list[str | None]) -> list[bytes]:
+    def ids(self, texts: list[str | None], chars: int = CHARS) -> list[bytes]:
         out: list[bytes] = []
         part: list[str] = []
         size = 0
         for text in texts:
             part.append(text or "")
             size += len(part[-1])
-            if size > 1_000_000:
+            if size > chars:
                 out += self._ids(part)
                 part, size = [], 0
-        return out + self._ids(part)
+        return out + self._ids(part) if part else out
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        if len(known) > LIMIT:
-            known.clear()
-        cut = [self.pieces(x) for x in texts]
-        new = list({p for one in cut for p in one if p not in known})
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[p] = self.np.array(e.ids, "<u4").tobytes()
-        get = known.__getitem__
-        return [b"".join(map(get, one)) for one in cut]
-
-
-_made: dict[str, PieceTokenizer] = {}
+        np, pa, pc = self.np, self.pa, self.pc
+        array = pa.array(texts, pa.large_string())
+        apart: dict[int, list[str]] = {}
+        if self.spaces_dropped:  # white space only parts words, and ASCII letters are made small
+            apart = {i: [texts[i]] for i in pc.indices_nonzero(pc.match_substring(array, CUT)).to_pylist()}
+            array = pc.ascii_lower(pc.replace_substring(array, "\n", " "))
+        else:
+            apart = {i: _BEFORE_WORD.split(texts[i]) for i in pc.indices_nonzero(pc.match_substring_regex(array, _ODD)).to_pylist()}
+        if apart:
+            array = pc.if_else(pa.array([i in apart for i in range(len(texts))]), pa.scalar("", pa.large_string()), array)
+        array = pc.replace_substring_regex(array, rf"({_LETTER})([.,!?;:\n])", rf"\1{CUT}\2")
+        if self.spaces_dropped:
+            array = pc.replace_substring(array, " ", CUT)
+        else:
+            array = pc.replace_substring_regex(array, rf"([^{_SPACES}]|{CUT})\n({_LETTER})", "\\1\n" + CUT + "\\2")
+            array = pc.replace_substring(array, " ", CUT + " ")
+        lists = pc.split_pattern(array, CUT)
+        coded = lists.flatten().dictionary_encode()
+        codes, keys = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        values = self._known(keys)
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        table = np.frombuffer(b"".join(values), "<u4")
+        each = sizes[codes]
+        ends = np.cumsum(each)
+        begin = np.cumsum(sizes) - sizes
+        ids = table[np.repeat(begin[codes] - (ends - each), each) + np.arange(ends[-1])]
+        at = np.concatenate([[0], ends])[lists.offsets.to_numpy()].tolist()
+        out = [ids[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+        for i, pieces in apart.items():
+            out[i] = b"".join(self._known(pieces))
+        return out
+
+    def _known(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece; what is new is encoded and remembered."""
+        if len(self.new) > LIMIT:
+            self.old, self.new = self.new, {}
+        values = list(map(self.new.get, pieces))
+        fresh = []
+        for i in [i for i, v in enumerate(values) if v is None]:
+            p = pieces[i]
+            v = self.old.get(p)
+            if v is None:
+                fresh.append(i)
+            else:
+                values[i] = self.new[p] = v
+        for lo in range(0, len(fresh), 10_000):
+            some = fresh[lo : lo + 10_000]
+            each = [e.ids for e in self.tokenizer.encode_batch_fast([pieces[i] for i in some], add_special_tokens=False)]
+            packed = self.np.array([x for ids in each for x in ids], "<u4").tobytes()
+            at = 0
+            for i, ids in zip(some, each, strict=True):
+                values[i] = self.new[pieces[i]] = packed[at : at + 4 * len(ids)]
+                at += 4 * len(ids)
+        return values
+
+
+_made: dict[str, PieceTokenizer] = MEMORIES.setdefault("pieces", {})
 
 
 def piece_tokenizer(path: str) -> PieceTokenizer:
