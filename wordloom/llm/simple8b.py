@@ -43,11 +43,12 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint64)
     blocks = -(-n // BLOCK)
-    flat = np.zeros(blocks * BLOCK, np.uint64)
-    flat[:n] = ids
-    grid = np.zeros((blocks, BLOCK + _MOST), np.uint64)
-    grid[:, :BLOCK] = flat.reshape(blocks, BLOCK)
-    need = _SHORT_CLASS[grid] if int(flat.max()) < 1 << 16 else np.searchsorted(_LIMITS, grid.ravel()).astype(np.uint8).reshape(grid.shape)
+    kind = np.uint16 if int(ids.max()) < 1 << 16 else np.uint64
+    grid = np.zeros((blocks, BLOCK + _MOST), kind)
+    full = n // BLOCK
+    grid[:full, :BLOCK] = ids[: full * BLOCK].reshape(full, BLOCK)
+    grid[full:, : n - full * BLOCK] = ids[full * BLOCK :]
+    need = _SHORT_CLASS[grid] if kind is np.uint16 else np.searchsorted(_LIMITS, grid.ravel()).astype(np.uint8).reshape(grid.shape)
     # The widest need among the next c ids, for growing c; the largest c whose width suffices wins.
     best = np.zeros((blocks, BLOCK), np.uint8)
     widest = need[:, :BLOCK].copy()
@@ -59,17 +60,17 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         fits = widest <= k
         if not fits.any():
             break
-        best[fits] = k + 2
+        np.copyto(best, k + 2, where=fits)
     # All blocks step through their ids at once.
-    step_of = _COUNT_OF[best].astype(np.int32)
-    left = np.minimum(BLOCK, n - np.arange(blocks) * BLOCK)
-    at, live, steps = np.zeros(blocks, np.int64), np.arange(blocks), []
+    step_of = _COUNT_OF[best].astype(np.uint8).ravel()
+    live = np.arange(blocks, dtype=np.int64)
+    at, end, steps = live * BLOCK, np.minimum((live + 1) * BLOCK, n), []
     while len(live):
-        here = at[live]
-        steps.append((live, here))
-        here = here + step_of[live, here]
-        at[live] = here
-        live = live[here < left[live]]
+        steps.append((live, at - live * BLOCK))
+        at = at + step_of.take(at)
+        on = at < end
+        if not on.all():
+            live, at, end = live[on], at[on], end[on]
     of = np.concatenate([b for b, _ in steps])
     start = np.concatenate([p for _, p in steps])
     order = np.argsort(of, kind="stable")
@@ -81,12 +82,14 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for k, (count, width) in enumerate(zip(COUNTS, WIDTHS, strict=True)):
         mine = np.flatnonzero(selector == k + 2)
         if len(mine):
+            at, word = place[mine], words[mine]
             for i in range(count):
-                words[mine] |= values[place[mine] + i] << np.uint64(i * width)
+                word |= values.take(at + i).astype(np.uint64) << np.uint64(i * width)
+            words[mine] = word
     escaped = np.flatnonzero(selector == 0)
     words[escaped] = np.arange(len(escaped), dtype=np.uint64)
     offsets = np.searchsorted(of, np.arange(blocks)).astype(np.uint32)
-    return words, offsets, values[place[escaped]]
+    return words, offsets, values[place[escaped]].astype(np.uint64)
 
 
 def unpack(words: np.ndarray, offsets: np.ndarray, exceptions: np.ndarray, n: int) -> np.ndarray:
@@ -116,7 +119,7 @@ def unpack(words: np.ndarray, offsets: np.ndarray, exceptions: np.ndarray, n: in
 FILE = "shard int, part long, n_ids long, doc_ids array<long>, doc_tokens array<long>, offsets binary, words binary, exceptions binary"
 
 
-def encoded_rows(docs: DataFrame, tokenizer_path: str, end_id: int = 0, row_ids: int = 1 << 19) -> DataFrame:
+def encoded_rows(docs: DataFrame, tokenizer_path: str, end_id: int = 0, row_ids: int = 1 << 20) -> DataFrame:
     """File rows of the documents' ids in ascending doc_id order, each document ended by ``end_id``.
 
     Null texts count as empty, null doc_ids come first, and rows of one doc_id
@@ -148,17 +151,16 @@ def encoded_rows(docs: DataFrame, tokenizer_path: str, end_id: int = 0, row_ids:
                 if held["doc"]:
                     yield flush()
                 return
-            for i in range(0, len(batch["doc_id"]), 256):
-                for doc, ids in zip(batch["doc_id"][i : i + 256], tokenizer.ids(batch["text"][i : i + 256]), strict=True):
-                    held["doc"].append(doc)
-                    held["ids"].append(ids + end)
-                    state["bytes"] += len(ids) + 4
-                    if state["bytes"] >= 4 * row_ids:
-                        yield flush()
+            for doc, ids in zip(batch["doc_id"], tokenizer.ids(batch["text"]), strict=True):
+                held["doc"].append(doc)
+                held["ids"].append(ids + end)
+                state["bytes"] += len(ids) + 4
+                if state["bytes"] >= 4 * row_ids:
+                    yield flush()
 
         return step
 
-    return map_batches(ordered.select("doc_id", "text"), make, FILE)
+    return map_batches(ordered.select("doc_id", "text"), make, FILE, "pieces")
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0) -> None:
