@@ -136,35 +136,47 @@ def test_suffix_arrays():
     suffix_array.FEW = 600
 
 
-def slow_substrings(texts):
-    count = Counter(b[i : i + 400] for b in texts for i in range(len(b) - 399))
+def slow_substrings(texts, match=400):
+    count = Counter(b[i : i + match] for b in texts for i in range(len(b) - match + 1))
     out = []
     for b in texts:
         covered = np.zeros(len(b) + 1, int)
-        for i in range(len(b) - 399):
-            if count[b[i : i + 400]] > 1:
+        for i in range(len(b) - match + 1):
+            if count[b[i : i + match]] > 1:
                 covered[i] += 1
-                covered[i + 400] -= 1
+                covered[i + match] -= 1
         covered = np.cumsum(covered)[:-1] > 0
         kept = np.frombuffer(b, np.uint8)[~covered].tobytes()
         out.append((len(b), int(covered.sum()), int((np.diff(np.concatenate([[0], covered.astype(int)])) == 1).sum()), hashlib.sha256(kept).hexdigest()))
     return out
 
 
-@pytest.mark.parametrize(("which", "shard"), [("documents", 1 << 20), ("documents", 4000), ("odd_docs", 1 << 20), ("odd_docs", 3000)])
-def test_substrings_against_brute_force(request, monkeypatch, which, shard):
+@pytest.mark.parametrize(("which", "shard", "match"), [("documents", 1 << 20, 400), ("documents", 4000, 400), ("odd_docs", 1 << 20, 400), ("odd_docs", 3000, 400), ("documents", 1 << 20, 200), ("odd_docs", 3000, 50), ("odd_docs", 1 << 20, 19)])
+def test_substrings_against_brute_force(request, monkeypatch, which, shard, match):
     monkeypatch.setattr(exact_substrings, "SHARD", shard)
     docs = request.getfixturevalue(which)
     if which == "documents":
         docs = docs.where("doc_id < 60")
     rows = docs.collect()
-    want = Counter((r["doc_id"], *w) for r, w in zip(rows, slow_substrings([(r["text"] or "").encode() for r in rows]), strict=True))
-    assert Counter(tuple(r) for r in exact_substrings.without_repeats(docs, texts=False).collect()) == want
-    if which == "odd_docs":
+    want = Counter((r["doc_id"], *w) for r, w in zip(rows, slow_substrings([(r["text"] or "").encode() for r in rows], match), strict=True))
+    assert Counter(tuple(r) for r in exact_substrings.without_repeats(docs, texts=False, match=match).collect()) == want
+    if which == "odd_docs" and match == 400:
         out = exact_substrings.without_repeats(docs)
         assert out.count() == len(rows) and set(docs.columns) - {"n_removed", "body", "spans"} <= set(out.columns)
 
 
+def test_texts_and_digests_of_what_is_left(spark, small):
+    for r in queries()["op9_suffix_arrays"](spark, small).where("n_removed > 0").collect():
+        if len(r["text"].encode()) == r["n_bytes"] - r["n_removed"]:  # no character was cut in two
+            assert hashlib.sha256(r["text"].encode()).hexdigest() == r["kept_sha256"]
+
+
+def test_cells_halve():
+    for match in (18, 19, 50, 200, 400, 1000):
+        sizes = exact_substrings.cells(match)
+        assert sizes[-1] == 1 and 2 * sizes[0] <= match - exact_substrings.GRAM and all(a % b == 0 for a, b in zip(sizes, sizes[1:], strict=False))
+
+
 def test_substrings_of_nothing(no_docs):
     assert exact_substrings.without_repeats(no_docs).count() == 0
 

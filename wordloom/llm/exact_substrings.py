@@ -1,7 +1,7 @@
-"""Repeated 400-byte strings by suffix arrays (operator 9).
+"""Repeated byte strings of a given length by suffix arrays (operator 9).
 
 A shard must hold all places of a string, so places are dealt out by content.
-Every 400-byte window has one minimizer: the place in it, leftmost of equals,
+Every window of that length has one minimizer: the place in it, leftmost of equals,
 whose 16 bytes have the least hash.  Windows with one minimizer, as far as they
 lie at like distances before it (a cell of distances), form a segment; all of
 them contain the same core around the minimizer, so equal windows lie in
@@ -9,7 +9,7 @@ segments of one key, the hash of the core.  Every window lies in one segment.
 
 Segments of equal content are one from then on, with a count.  Keys under which
 contents differ go to shards; each shard's segments are joined, their suffix
-array is induced, and permuted common prefixes of 400 bytes or more mark the
+array is induced, and permuted common prefixes of that length or more mark the
 starts of repeated strings.  A key with more than ``SHARD`` bytes is split into
 cells of shorter distances, whose cores are longer, until the cell is a single
 window.
@@ -28,8 +28,7 @@ from .common import map_batches, stored
 from .suffix_array import common_prefixes, suffix_array
 
 MATCH, GRAM = 400, 16
-CELLS = (192, 96, 48, 24, 12, 6, 3, 1)
-"""Distances in a cell, at each level of splitting; each divides the one before."""
+"""Bytes of a string that must repeat, where nothing else is asked for; and those that a minimizer is chosen by."""
 SHARD = 1 << 20
 """Bytes of a shard, about; keys with more are split."""
 BLOCK = 1 << 22
@@ -38,14 +37,29 @@ BLOCK = 1 << 22
 _NO_ID = -(1 << 63)
 
 
-def minimizer_runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def cells(match: int) -> list[int]:
+    """Distances in a cell, at each level of splitting; each divides the one before.
+
+    The first is at most half of the distances, so that a core holds half a string or more.
+    """
+    most = (match - GRAM) // 2
+    if most < 1:
+        raise ValueError(f"strings must have more than {GRAM + 1} bytes")
+    size = max(m << k for m in (1, 3) for k in range(32) if m << k <= max(most, m))
+    out = [min(size, most)]
+    while out[-1] > 1:
+        out.append(out[-1] // 2 if out[-1] % 2 == 0 else 1)
+    return out
+
+
+def minimizer_runs(data: np.ndarray, match: int = MATCH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(minimizer, first start, last start) of each run of windows that share their minimizer."""
-    parts = [_runs(data, at, min(at + BLOCK, len(data) - MATCH + 1)) for at in range(0, len(data) - MATCH + 1, BLOCK)]
+    parts = [_runs(data, at, min(at + BLOCK, len(data) - match + 1), match) for at in range(0, len(data) - match + 1, BLOCK)]
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 3
 
 
-def _runs(data: np.ndarray, first: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    part = data[first : end + MATCH - 1].astype(np.uint64) + np.uint64(1)
+def _runs(data: np.ndarray, first: int, end: int, match: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    part = data[first : end + match - 1].astype(np.uint64) + np.uint64(1)
     h, size, factor = part, 1, np.uint64(0x9E3779B97F4A7C15)
     while size < GRAM:
         h = h[:-size] * factor + h[size:]
@@ -54,7 +68,7 @@ def _runs(data: np.ndarray, first: int, end: int) -> tuple[np.ndarray, np.ndarra
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h = (h & ~np.uint64((1 << 24) - 1)) | np.arange(len(h), dtype=np.uint64)
-    width, best, size = MATCH - GRAM + 1, h, 1
+    width, best, size = match - GRAM + 1, h, 1
     while 2 * size <= width:
         best = np.minimum(best[:-size], best[size:])
         size *= 2
@@ -65,37 +79,37 @@ def _runs(data: np.ndarray, first: int, end: int) -> tuple[np.ndarray, np.ndarra
     return place[new] + first, new + first, np.append(new[1:], len(place)) - 1 + first
 
 
-def segments(text: bytes, place: int, first: int, last: int, level: int, base: int = 0) -> Iterator[tuple[int, bytes, int, int]]:
+def segments(text: bytes, place: int, first: int, last: int, level: int, base: int = 0, match: int = MATCH) -> Iterator[tuple[int, bytes, int, int]]:
     """(key, content's digest, first start, windows) for each cell of a run; ``base`` is taken off the places to find bytes."""
     from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-    cell = CELLS[level]
+    cell = cells(match)[level]
     for c in range((place - last) // cell, (place - first) // cell + 1):
         a, b = max(first, place - c * cell - cell + 1), min(last, place - c * cell)
-        core = text[place - c * cell - base : place - c * cell - cell + 1 + MATCH - base]
+        core = text[place - c * cell - base : place - c * cell - cell + 1 + match - base]
         key = xxh3_64_intdigest(core, 1000 * level + c)
-        yield key - (1 << 64) if key >> 63 else key, xxh3_128_digest(text[a - base : b + MATCH - base]), a, b - a + 1
+        yield key - (1 << 64) if key >> 63 else key, xxh3_128_digest(text[a - base : b + match - base]), a, b - a + 1
 
 
 def _as_bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc, body, key, content, start, windows, place) for each segment of each row."""
+def occurrences(docs: DataFrame, match: int = MATCH) -> DataFrame:
+    """(doc, body, key, content, start, windows, before) for each segment of each row; ``before`` leads from its start to its minimizer."""
 
     def make():
         def step(batch: dict | None) -> Iterator[dict]:
             if not batch:
                 return
-            names = ("doc", "body", "key", "content", "start", "windows", "place")
+            names = ("doc", "body", "key", "content", "start", "windows", "before")
             rows: list[tuple] = []
             for doc, body, text in zip(batch["doc"], batch["body"], batch["text"], strict=True):
                 data = _as_bytes(text)
-                if len(data) < MATCH:
+                if len(data) < match:
                     continue
-                for place, a, b in zip(*(x.tolist() for x in minimizer_runs(np.frombuffer(data, np.uint8))), strict=True):
-                    rows += [(doc, body, *s, place) for s in segments(data, place, a, b, 0)]
+                for place, a, b in zip(*(x.tolist() for x in minimizer_runs(np.frombuffer(data, np.uint8), match)), strict=True):
+                    rows += [(doc, body, *s, place - s[2]) for s in segments(data, place, a, b, 0, match=match)]
                 if len(rows) > 50_000:
                     yield dict(zip(names, map(list, zip(*rows, strict=True)), strict=True))
                     rows = []
@@ -104,16 +118,16 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
         return step
 
-    return map_batches(_keyed(docs).select("doc", "body", "text"), make, "doc long, body long, key long, content binary, start long, windows int, place long")
+    return map_batches(_keyed(docs).select("doc", "body", "text"), make, "doc long, body long, key long, content binary, start long, windows int, before int")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))).withColumn("body", F.xxhash64("text"))
 
 
-def _fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _fetched(docs: DataFrame, wanted: DataFrame, match: int) -> DataFrame:
     """The bytes of one occurrence of each content: (key, content, windows, before, n, bytes)."""
-    lists = wanted.groupBy("at.doc", "at.body").agg(F.collect_list(F.struct("key", "content", "windows", "n", F.col("at.start").alias("start"), F.col("at.place").alias("place"))).alias("items"))
+    lists = wanted.groupBy("at.doc", "at.body").agg(F.collect_list(F.struct("key", "content", "windows", "n", F.col("at.start").alias("start"), F.col("at.before").alias("before"))).alias("items"))
     joined = _keyed(docs).select("doc", "body", "text").join(lists.hint("shuffle_hash"), ["doc", "body"])
 
     def make():
@@ -124,7 +138,7 @@ def _fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 data = _as_bytes(text)
                 yield {
                     "key": [x["key"] for x in items], "content": [x["content"] for x in items], "windows": [x["windows"] for x in items], "n": [x["n"] for x in items],
-                    "before": [x["place"] - x["start"] for x in items], "bytes": [data[x["start"] : x["start"] + x["windows"] + MATCH - 1] for x in items],
+                    "before": [x["before"] for x in items], "bytes": [data[x["start"] : x["start"] + x["windows"] + match - 1] for x in items],
                 }
 
         return step
@@ -133,24 +147,24 @@ def _fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return map_batches(joined.select("text", "items"), make, "key long, content binary, windows int, n long, before int, bytes binary").dropDuplicates(["key", "content"])
 
 
-def repeated_starts(bodies: list[bytes]) -> list[np.ndarray]:
-    """For each byte string: which starts have their 400 bytes starting elsewhere in the strings too."""
+def repeated_starts(bodies: list[bytes], match: int = MATCH) -> list[np.ndarray]:
+    """For each byte string: which starts have their ``match`` bytes starting elsewhere in the strings too."""
     sizes = np.array([len(b) + 1 for b in bodies])
     t = np.frombuffer(b"\0".join(bodies), np.uint8).astype(np.int64) + 2
     ends = np.cumsum(sizes) - 1
     t = np.append(t, 0)
     t[ends[:-1]] = 1
     sa = suffix_array(t, 258)
-    plcp, phi = common_prefixes(t, sa, MATCH)
-    hit = np.flatnonzero(plcp >= MATCH)
+    plcp, phi = common_prefixes(t, sa, match)
+    hit = np.flatnonzero(plcp >= match)
     marked = np.zeros(len(t), bool)
     marked[hit] = True
     marked[phi[hit]] = True
     return np.split(marked[:-1], ends[:-1] + 1)
 
 
-def _shard_results(rows: DataFrame, n_shards: int) -> DataFrame:
-    """(key, content, runs) of the contents that share 400 bytes with another content of their key."""
+def _shard_results(rows: DataFrame, n_shards: int, match: int) -> DataFrame:
+    """(key, content, runs) of the contents that share ``match`` bytes with another content of their key."""
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(n_shards)).cast("int")).repartition(n_shards, "shard").sortWithinPartitions("shard", "key", "content")
 
     def make():
@@ -158,7 +172,7 @@ def _shard_results(rows: DataFrame, n_shards: int) -> DataFrame:
 
         def work() -> Iterator[dict]:
             out: dict[str, list] = {"key": [], "content": [], "runs": []}
-            for i, marks in enumerate(repeated_starts(held["bytes"])):
+            for i, marks in enumerate(repeated_starts(held["bytes"], match)):
                 marks = marks[: held["windows"][i]]
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], marks.astype(np.int8), [0]])))
                 if len(edge):
@@ -186,7 +200,7 @@ def _shard_results(rows: DataFrame, n_shards: int) -> DataFrame:
     return map_batches(dealt.select("shard", "key", "content", "windows", "bytes"), make, "key long, content binary, runs array<struct<first:int,many:int>>")
 
 
-def _split(rows: DataFrame, level: int) -> DataFrame:
+def _split(rows: DataFrame, level: int, match: int) -> DataFrame:
     """The rows' windows in the cells of the next level, with the row that each comes from."""
 
     def make():
@@ -195,8 +209,8 @@ def _split(rows: DataFrame, level: int) -> DataFrame:
                 return
             out: dict[str, list] = {k: [] for k in ("from_key", "from_content", "shift", "key", "content", "windows", "n", "before", "bytes")}
             for key, content, windows, n, before, data in zip(*(batch[k] for k in ("key", "content", "windows", "n", "before", "bytes")), strict=True):
-                for new, digest, a, many in segments(data, before, 0, windows - 1, level):
-                    for k, v in zip(out, (key, content, a, new, digest, many, n, before - a, data[a : a + many + MATCH - 1]), strict=True):
+                for new, digest, a, many in segments(data, before, 0, windows - 1, level, match=match):
+                    for k, v in zip(out, (key, content, a, new, digest, many, n, before - a, data[a : a + many + match - 1]), strict=True):
                         out[k].append(v)
             yield out
 
@@ -205,35 +219,35 @@ def _split(rows: DataFrame, level: int) -> DataFrame:
     return map_batches(rows.select("key", "content", "windows", "n", "before", "bytes"), make, "from_key long, from_content binary, shift int, key long, content binary, windows int, n long, before int, bytes binary")
 
 
-def _marked(rows: DataFrame, level: int) -> DataFrame:
+def _marked(rows: DataFrame, level: int, match: int) -> DataFrame:
     """(key, content, runs) for distinct contents with bytes; recurs for keys of too many bytes."""
-    size = F.col("windows").cast("long") + MATCH
+    size = F.col("windows").cast("long") + match
     weights = stored(rows.groupBy("key").agg(F.sum(size).alias("weight"), F.count("*").alias("contents")).where("contents > 1"), "weights")
     total = weights.where(F.col("weight") <= SHARD).agg(F.sum("weight")).first()[0] or 0
     small = rows.join(weights.where(F.col("weight") <= SHARD).select("key"), "key")
-    found = _shard_results(small, max(1, -(-total // SHARD)))
-    if level + 1 < len(CELLS) and not weights.where(F.col("weight") > SHARD).isEmpty():
-        parts = stored(_split(rows.join(weights.where(F.col("weight") > SHARD).select("key"), "key"), level + 1), "split")
+    found = _shard_results(small, max(1, -(-total // SHARD)), match)
+    if level + 1 < len(cells(match)) and not weights.where(F.col("weight") > SHARD).isEmpty():
+        parts = stored(_split(rows.join(weights.where(F.col("weight") > SHARD).select("key"), "key"), level + 1, match), "split")
         # Equal parts of different contents are repeats; they are one from here on.
         once = stored(parts.groupBy("key", "content").agg(F.max("windows").alias("windows"), F.sum("n").alias("n"), F.max("before").alias("before"), F.min("bytes").alias("bytes")), "once")
         whole = once.where("n > 1").select("key", "content", F.array(F.struct(F.lit(0).alias("first"), F.col("windows").alias("many"))).alias("runs"))
-        below = stored(whole.unionByName(_marked(once, level + 1)), "below")
+        below = stored(whole.unionByName(_marked(once, level + 1, match)), "below")
         moved = F.transform("runs", lambda r: F.struct((r["first"] + F.col("shift")).alias("first"), r["many"].alias("many")))
         found = found.unionByName(parts.select("from_key", "from_content", "shift", "key", "content").join(below, ["key", "content"]).select(F.col("from_key").alias("key"), F.col("from_content").alias("content"), moved.alias("runs")))
     return found
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def repeated_spans(docs: DataFrame, match: int = MATCH) -> DataFrame:
     """(doc, body, spans): for each text the (from, to) bytes that repeated strings cover, unmerged."""
-    occ = stored(occurrences(docs), "segments")
+    occ = stored(occurrences(docs, match), "segments")
     often = stored(occ.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "keys")
     shared = stored(occ.join(often, "key"), "shared")
-    contents = stored(shared.groupBy("key", "content").agg(F.count("*").alias("n"), F.max("windows").alias("windows"), F.min(F.struct("doc", "body", "start", "place")).alias("at")), "contents")
+    contents = stored(shared.groupBy("key", "content").agg(F.count("*").alias("n"), F.max("windows").alias("windows"), F.min(F.struct("doc", "body", "start", "before")).alias("at")), "contents")
     several = stored(contents.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "several")
-    rows = stored(_fetched(docs, contents.join(several, "key")), "bytes")
+    rows = stored(_fetched(docs, contents.join(several, "key"), match), "bytes")
     whole = contents.where("n > 1").select("key", "content", F.array(F.struct(F.lit(0).alias("first"), F.col("windows").alias("many"))).alias("runs"))
-    runs = stored(whole.unionByName(_marked(rows, 0)), "runs")
-    cover = F.transform("runs", lambda r: F.struct((F.col("start") + r["first"]).alias("from"), (F.col("start") + r["first"] + r["many"] + (MATCH - 1)).alias("to")))
+    runs = stored(whole.unionByName(_marked(rows, 0, match)), "runs")
+    cover = F.transform("runs", lambda r: F.struct((F.col("start") + r["first"]).alias("from"), (F.col("start") + r["first"] + r["many"] + (match - 1)).alias("to")))
     found = shared.select("doc", "body", "key", "content", "start").join(runs, ["key", "content"]).select("doc", "body", F.explode(cover).alias("span"))
     return found.groupBy("doc", "body").agg(F.collect_set("span").alias("spans"))
 
@@ -249,17 +263,17 @@ def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def without_repeats(docs: DataFrame, texts: bool = True) -> DataFrame:
+def without_repeats(docs: DataFrame, texts: bool = True, match: int = MATCH) -> DataFrame:
     """All columns of ``docs`` with n_bytes, n_removed, n_spans and kept_sha256, and, with ``texts``, the text left.
 
-    A null text counts as empty and stays null; texts under 400 bytes never
+    A null text counts as empty and stays null; texts under ``match`` bytes never
     change; a character that is cut in two is dropped from the text (never from
     the digest).  Repeated rows repeat each other and lose all their windows;
     null doc_ids are like any other.  Columns of these names are replaced.
     """
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
     own = docs.drop(*names, "doc", "body", "spans")
-    spans = stored(repeated_spans(docs.select("doc_id", "text")), "spans")
+    spans = stored(repeated_spans(docs.select("doc_id", "text"), match), "spans")
     joined = _keyed(own).join(spans.hint("shuffle_hash"), ["doc", "body"], "left")
     kept = own.columns if texts else ["doc_id"]
     columns = list(dict.fromkeys([*kept, "text", "spans"]))

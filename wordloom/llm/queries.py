@@ -44,7 +44,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_substrings.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), texts=False)
+    return exact_substrings.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op10_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
