@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 import zlib
 from collections import defaultdict
@@ -32,12 +33,36 @@ def texts():
 
 
 def test_automaton_equals_the_library(automaton, byte_library):
-    for t in texts():
+    for t, (n, numbers, labels) in zip(texts(), automaton.encoded(texts()), strict=True):
         ids = byte_library.encode(t, add_special_tokens=False).ids
         assert automaton.encode(t) == ids
+        assert (n, numbers.decode(), labels.decode()) == (len(ids), ",".join(map(str, ids)), t)
         assert automaton.decode(ids) == byte_library.decode(ids, skip_special_tokens=False)
 
 
+def test_automaton_splits_every_code_point_as_the_library(automaton, byte_library):
+    points = [c for c in map(chr, range(0x110000)) if not 0xD800 <= ord(c) < 0xE000]
+    for form in ("a{}b", " {}1", "{} x", ".{}\n"):
+        some = ["|".join(form.format(c) for c in points[i : i + 400]) for i in range(0, len(points), 400)]
+        want = [e.ids for e in byte_library.encode_batch_fast(some, add_special_tokens=False)]
+        for text, ids, (n, numbers, labels) in zip(some, want, automaton.encoded(some), strict=True):
+            assert n == len(ids) and numbers.decode() == ",".join(map(str, ids)) and labels.decode() == text
+
+
+def test_automaton_refuses_what_it_does_not_follow(tmp_path):
+    described = json.load(open(BYTE, encoding="utf-8"))
+    described["model"]["vocab"] = {"a": 0, "b": 1, "ab": 2}
+    described["model"]["merges"] = [["a", "b"]]
+    path = tmp_path / "t.json"
+    for change in ({}, {"ignore_merges": True}, {"dropout": 0.1}, {"byte_fallback": True}, {"end_of_word_suffix": "</w>"}, {"type": "WordPiece"}):
+        path.write_text(json.dumps(described | {"model": described["model"] | change}))
+        if change:
+            with pytest.raises(ValueError):
+                bpe_automaton.AutomatonTokenizer(str(path))
+        else:
+            assert bpe_automaton.AutomatonTokenizer(str(path)).encode("abba") == [2, 1, 0]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=60))
 def test_automaton_on_any_text(text):

@@ -13,15 +13,22 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_batches
-from .token_cache import _BEFORE_WORD, _UNSAFE
+from .common import MEMORIES, map_batches
+from .token_cache import PieceCutter
 
 TABLE_LIMIT = 1_500_000
-"""Most arcs, and most words, that a worker remembers; then it starts afresh."""
+"""Most arcs that a worker's table of transitions holds; then it starts afresh."""
+REMEMBERED = 250_000
+"""Pieces remembered before the older half of the memory goes; those in use move to the newer half."""
+CHARS = 5_000_000
+"""Characters whose pieces are numbered together."""
 
 
 def byte_symbols() -> list[str]:
@@ -134,17 +141,29 @@ class TokenizationAutomaton:
         return b"".join(map(self.labels.__getitem__, ids))
 
 
+PLAIN = re.compile(r" ?(?:[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+|[0-9]+)")
+"""Pieces that every version of the split pattern leaves whole."""
+
+
 class AutomatonTokenizer:
-    """A byte-level tokenizer file, run by the automaton: split, encode, decode."""
+    """A byte-level tokenizer file, run by the automaton: split, encode, decode.
+
+    The split into words is the library's own, so both agree on what is a
+    letter or a number; settings that the automaton doesn't follow are refused.
+    """
 
     def __init__(self, path: str):
-        import regex
+        from tokenizers.pre_tokenizers import ByteLevel
 
         with open(path, encoding="utf-8") as f:
             described = json.load(f)
         model = described["model"]
         if described.get("normalizer") or described["pre_tokenizer"] != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}:
             raise ValueError("only byte-level tokenizers without a normalizer are known")
+        odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)]
+        odd += [k for t in described["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized") if t.get(k)]
+        if model.get("type", "BPE") != "BPE" or odd:
+            raise ValueError(f"the automaton doesn't know {model.get('type')} with {odd}")
         byte_of = {c: b for b, c in enumerate(byte_symbols())}
         vocab = model["vocab"]
         labels = {i: bytes(byte_of[c] for c in t) for t, i in vocab.items() if all(c in byte_of for c in t)}
@@ -153,40 +172,68 @@ class AutomatonTokenizer:
         self.special = {t["content"]: t["id"] for t in described["added_tokens"]}
         self.labels = labels | {i: t.encode() for t, i in self.special.items()}
         self.automaton.labels = self.labels
-        self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        # The public pre-tokenizer pattern of byte-level vocabularies.
-        self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def _plain(self, text: str) -> list[int]:
-        if _UNSAFE.search(text):
-            cut = _BEFORE_WORD.split(text)
-        else:
-            first, *rest = text.split(" ")
-            cut = [first, *[" " + x for x in rest]]
-        known, out = self.known, []
-        for piece in cut:
-            ids = known.get(piece)
-            if ids is None:
-                ids = known[piece] = tuple(i for w in self.words.findall(piece) for i in self.automaton.encode(w.encode()))
-            out += ids
-        return out
+        self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.splitter = ByteLevel(add_prefix_space=False, use_regex=True)
+        self.cutter = PieceCutter(path)
+        self.new: dict[str, tuple[int, bytes, bytes]] = {}
+        self.old: dict[str, tuple[int, bytes, bytes]] = {}
+
+    def _plain(self, piece: str) -> list[int]:
+        if PLAIN.fullmatch(piece):
+            return self.automaton.encode(piece.encode())
+        return [i for _, (a, b) in self.splitter.pre_tokenize_str(piece) for i in self.automaton.encode(piece[a:b].encode())]
 
     def encode(self, text: str) -> list[int]:
-        if len(self.known) > TABLE_LIMIT // 2:
-            self.known.clear()
+        """The ids of a text, or of a piece of one."""
         if self.at_special is None or not any(s in text for s in self.special):
-            return self._plain(text)
+            return self._plain(text) if text else []
         out: list[int] = []
         for part in self.at_special.split(text):
-            out += [self.special[part]] if part in self.special else self._plain(part)
+            out += [self.special[part]] if part in self.special else self._plain(part) if part else []
         return out
 
     def decode(self, ids: list[int]) -> str:
         return self.automaton.decode(ids).decode("utf-8", "replace")
 
+    def _known(self, pieces: list[str]) -> list[tuple[int, bytes, bytes]]:
+        """(ids, their numbers each with a comma, their labels) of each piece; what is new is encoded and remembered."""
+        if len(self.new) > REMEMBERED:
+            self.old, self.new = self.new, {}
+        new, old, out = self.new, self.old, []
+        for piece in pieces:
+            value = new.get(piece)
+            if value is None:
+                value = old.get(piece)
+                if value is None:
+                    ids = self.encode(piece)
+                    value = len(ids), "".join([f"{i}," for i in ids]).encode(), self.automaton.decode(ids)
+                new[piece] = value
+            out.append(value)
+        return out
 
-_made: dict[str, AutomatonTokenizer] = {}
+    def encoded(self, texts: list[str | None]) -> Iterator[tuple[int, bytes, bytes]]:
+        """(number of ids, ids joined by commas, bytes decoded from them) of each text; Arrow numbers its pieces, each different one is encoded once."""
+        for part in self.cutter.parts(texts, CHARS):
+            codes, pieces, at, apart = self.cutter.cut(part)
+            values = self._known(pieces)
+            sizes = np.fromiter((v[0] for v in values), np.int64, len(values))
+            total = np.concatenate([[0], np.cumsum(sizes[codes])])[at]
+            joined = []
+            for k in (1, 2):  # what follows one another in the array is one run of bytes
+                each = pa.array([v[k] for v in values], pa.large_binary()).take(pa.array(codes))
+                ends = np.frombuffer(each.buffers()[1], np.int64)[: len(each) + 1][at].tolist()
+                run = memoryview(each.buffers()[2] or b"")
+                joined.append([bytes(run[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)])
+            for i, n in enumerate(np.diff(total).tolist()):
+                if i in apart:
+                    own = self._known(apart[i])
+                    n, numbers, labels = sum(v[0] for v in own), b"".join(v[1] for v in own), b"".join(v[2] for v in own)
+                else:
+                    numbers, labels = joined[0][i], joined[1][i]
+                yield n, numbers[:-1], labels
+
+
+_made: dict[str, AutomatonTokenizer] = MEMORIES.setdefault("automaton", {})
 
 
 def automaton_tokenizer(path: str) -> AutomatonTokenizer:
@@ -206,11 +253,12 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
         def step(batch: dict | None) -> Iterator[dict]:
             if batch:
                 for i in range(0, len(batch[key]), 500):
-                    yield {key: batch[key][i : i + 500], "ids": [tokenizer.encode(t or "") for t in batch[text][i : i + 500]]}
+                    numbers = [numbers for _, numbers, _ in tokenizer.encoded(batch[text][i : i + 500])]
+                    yield {key: batch[key][i : i + 500], "ids": [np.array(x.split(b","), np.int64) if x else [] for x in numbers]}
 
         return step
 
-    return map_batches(docs.select(key, text), make, f"{key} {docs.schema[key].dataType.simpleString()}, ids array<int>")
+    return map_batches(docs.select(key, text), make, f"{key} {docs.schema[key].dataType.simpleString()}, ids array<int>", memory="automaton")
 
 
 def decode_ids(encoded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
@@ -225,7 +273,7 @@ def decode_ids(encoded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
 
         return step
 
-    return map_batches(encoded.select(key, "ids"), make, f"{key} {encoded.schema[key].dataType.simpleString()}, text string")
+    return map_batches(encoded.select(key, "ids"), make, f"{key} {encoded.schema[key].dataType.simpleString()}, text string", memory="automaton")
 
 
 def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
@@ -243,15 +291,14 @@ def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
             if not batch:
                 return
             out: dict[str, list] = {"doc_id": batch["doc_id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "same_text": []}
-            for text in batch["text"]:
-                ids = tokenizer.encode(text or "")
-                decoded = tokenizer.decode(ids)
-                out["n_tokens"].append(len(ids))
-                out["ids_sha256"].append(sha(",".join(map(str, ids)).encode()).hexdigest())
+            for text, (n, numbers, labels) in zip(batch["text"], tokenizer.encoded(batch["text"]), strict=True):
+                decoded = labels.decode("utf-8", "replace")
+                out["n_tokens"].append(n)
+                out["ids_sha256"].append(sha(numbers).hexdigest())
                 out["decoded_sha256"].append(sha(decoded.encode()).hexdigest())
                 out["same_text"].append(decoded == (text or ""))
             yield out
 
         return step
 
-    return map_batches(docs.select("doc_id", "text"), make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string, same_text boolean")
+    return map_batches(docs.select("doc_id", "text"), make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string, same_text boolean", memory="automaton")

@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Iterator
 
 from .common import MEMORIES
 
@@ -22,7 +23,6 @@ CHARS = 10_000_000
 CUT = "\x1f"
 """Marks the cuts; texts that hold it are cut by themselves."""
 
-_UNSAFE = re.compile(r" (?=\s|$)")
 _BEFORE_WORD = re.compile(r"(?= \S)")
 # White space as Python sees it, for the regular expressions of Arrow.
 _SPACES = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -37,15 +37,13 @@ def default_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class PieceTokenizer:
-    """``ids(texts)`` gives for each text its ids as little-endian uint32 bytes."""
+class PieceCutter:
+    """Cuts texts for the tokenizer file at ``path`` into pieces whose ids can be joined."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
-        from tokenizers import Tokenizer
 
         self.np, self.pa, self.pc = np, pa, pc
         with open(path, encoding="utf-8") as f:
@@ -54,26 +52,23 @@ class PieceTokenizer:
         self.spaces_dropped = "\\s+" in json.dumps(described.get("normalizer")).replace("\\\\", "\\")
         if not (byte_level or self.spaces_dropped) or any(not t["content"].startswith("<|") for t in described["added_tokens"]):
             raise ValueError("it isn't known where texts for this tokenizer can be cut")
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
 
-    def ids(self, texts: list[str | None], chars: int = CHARS) -> list[bytes]:
-        out: list[bytes] = []
+    def parts(self, texts: list[str | None], chars: int = CHARS) -> Iterator[list[str]]:
+        """The texts in runs of about ``chars`` characters, nulls as empty ones."""
         part: list[str] = []
         size = 0
         for text in texts:
             part.append(text or "")
             size += len(part[-1])
             if size > chars:
-                out += self._ids(part)
+                yield part
                 part, size = [], 0
-        return out + self._ids(part) if part else out
+        if part:
+            yield part
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        np, pa, pc = self.np, self.pa, self.pc
+    def cut(self, texts: list[str]):
+        """(codes, pieces, at, apart): text i is the pieces of ``codes[at[i]:at[i + 1]]``, or those of ``apart[i]``."""
+        pa, pc = self.pa, self.pc
         array = pa.array(texts, pa.large_string())
         apart: dict[int, list[str]] = {}
         if self.spaces_dropped:  # white space only parts words, and ASCII letters are made small
@@ -91,7 +86,29 @@ class PieceTokenizer:
             array = pc.replace_substring(array, " ", CUT + " ")
         lists = pc.split_pattern(array, CUT)
         coded = lists.flatten().dictionary_encode()
-        codes, keys = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        return coded.indices.to_numpy(), coded.dictionary.to_pylist(), lists.offsets.to_numpy(), apart
+
+
+class PieceTokenizer(PieceCutter):
+    """``ids(texts)`` gives for each text its ids as little-endian uint32 bytes."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        super().__init__(path)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def ids(self, texts: list[str | None], chars: int = CHARS) -> list[bytes]:
+        return [ids for part in self.parts(texts, chars) for ids in self._ids(part)]
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        np = self.np
+        codes, keys, offsets, apart = self.cut(texts)
         values = self._known(keys)
         sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
         table = np.frombuffer(b"".join(values), "<u4")
@@ -99,7 +116,7 @@ class PieceTokenizer:
         ends = np.cumsum(each)
         begin = np.cumsum(sizes) - sizes
         ids = table[np.repeat(begin[codes] - (ends - each), each) + np.arange(ends[-1])]
-        at = np.concatenate([[0], ends])[lists.offsets.to_numpy()].tolist()
+        at = np.concatenate([[0], ends])[offsets].tolist()
         out = [ids[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
         for i, pieces in apart.items():
             out[i] = b"".join(self._known(pieces))
