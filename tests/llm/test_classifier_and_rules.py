@@ -63,48 +63,119 @@ def test_rules_on_an_empty_table(no_docs):
     assert perplexity.judged(no_docs.select("doc_id", "text", "lang"), ["doc_id"]).count() == 0
 
 
-def slow_model(rows):
-    """Interpolated modified Kneser-Ney by plain recursion over counts, for one language."""
+def slow_stream(text):
+    words = WORD.findall((text or "").replace("\x02", "\ufffd").replace("\x03", "\ufffd"))
     n = perplexity.ORDER
-    top, start = Counter(), Counter()
-    for text in rows:
-        for w in WORD.findall(text or ""):
-            for g in perplexity._grams(w):
-                (top if len(g) == n else start)[g] += 1
-    levels = {n: top}
+    s = "\x02" * (n - 1) + " ".join(words) + "\x03"
+    return [s[i - n + 1 : i + 1] for i in range(n - 1, len(s))] if words else []
+
+
+def slow_model(texts):
+    """Interpolated modified Kneser-Ney by plain recursion over the counts of one language: p(gram, one place less)."""
+    n = perplexity.ORDER
+    levels = {n: Counter(g for t in texts for g in slow_stream(t))}
     for k in range(n - 1, 0, -1):
-        levels[k] = Counter(g[1:] for g in levels[k + 1] if not g[1:].startswith(perplexity.START)) + Counter({g: c for g, c in start.items() if len(g) == k})
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
     tables = {}
     for k, counts in levels.items():
         m = [sum(1 for c in counts.values() if c == i) for i in range(5)]
         y = m[1] / (m[1] + 2 * m[2]) if m[1] else 0
-        d = [min(max(i - (i + 1) * y * m[i + 1] / m[i], 0.05), i - 0.05) if m[i] and m[1] else 0.5 for i in (1, 2, 3)] if True else []
+        d = [0.0] + [min(max(i - (i + 1) * y * m[i + 1] / m[i], 0.05), i - 0.05) if m[i] and m[1] else 0.5 for i in (1, 2, 3)]
         total, cut = Counter(), Counter()
         for g, c in counts.items():
-            x = min(d[min(c, 3) - 1], c)
             total[g[:-1]] += c
-            cut[g[:-1]] += x
+            cut[g[:-1]] += d[min(c, 3)]
         tables[k] = (counts, d, total, cut)
 
-    def p(g):
+    def p(g, less):
         if not g:
-            return 1 / (perplexity.ALPHABET + 2)
+            return 1 / (len(levels[1]) + 1)
         counts, d, total, cut = tables[len(g)]
-        context = g[:-1]
-        if not total[context]:
-            return p(g[1:])
-        c = counts[g]
-        own = (c - min(d[min(c, 3) - 1], c)) / total[context] if c else 0
-        return own + cut[context] / total[context] * p(g[1:])
+        c, n_total, left = counts[g], total[g[:-1]], cut[g[:-1]]
+        if not less:
+            return (c - d[min(c, 3)] + left * p(g[1:], False)) / n_total
+        lower = p(g[1:], c == 1)
+        if n_total == 1:
+            return lower
+        return (c - 1 - d[min(c - 1, 3)] + (left - d[min(c, 3)] + d[min(c - 1, 3)]) * lower) / (n_total - 1)
 
     return p
 
 
+MODEL_TEXTS = [("en", t) for t in ["the then  there\nother", " this that the thin ", "oh the old other tin"] * 3 + ["in it is", "", None, "\x02 odd \x03"]] + [("", "日本語 テキスト 日本"), (None, "日本 😀"), ("fr", "x"), ("fr", "é")]
+
+
 def test_model_against_plain_kneser_ney(spark):
-    texts = ["the then there other", "this that the thin", "oh the old other tin"] * 3 + ["in it is"]
-    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id int, text string, lang string")
-    p = slow_model(texts)
-    model = perplexity.models(docs)["en"]
-    words = ["the", "there", "tint", "o"]
-    for w, got in zip(words, model.score(words), strict=True):
-        assert np.isclose(got, sum(np.log(p(g)) for g in perplexity._grams(w)), atol=1e-6), w
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(MODEL_TEXTS)], "doc_id int, text string, lang string").repartition(2)
+    rows = perplexity.fit(perplexity.count_grams(docs)).collect()
+    seen = set()
+    for lang in ("en", "", "fr"):
+        texts = [t for x, t in MODEL_TEXTS if (x or "") == lang]
+        p, counts = slow_model(texts), Counter(g for t in texts for g in slow_stream(t))
+        for r in rows:
+            if r["lang"] == lang:
+                assert r["n"] == counts[r["gram"]]
+                assert np.isclose(r["logp"], np.log(p(r["gram"], False))) and np.isclose(r["rest"], np.log(p(r["gram"], True)))
+                seen.add((lang, r["gram"]))
+        assert {g for x, g in seen if x == lang} == set(counts)
+    assert len(seen) == len(rows)
+    model = {(r["lang"], r["gram"]): r["logp"] for r in rows}
+    contexts = {("en", g[:-1]) for x, g in seen if x == "en"}
+    for _, context in contexts:  # known continuations of a context never have more than all of the mass
+        assert sum(np.exp(v) for (x, g), v in model.items() if x == "en" and g[:-1] == context) <= 1 + 1e-9
+
+
+@pytest.mark.parametrize("size", [0, 40])
+def test_perplexity_and_bands_against_brute_force(request, spark, monkeypatch, size):
+    docs = request.getfixturevalue("documents").where("doc_id < 120").select("doc_id", "text", "lang")
+    if size:  # texts in parts
+        monkeypatch.setattr(perplexity, "TOGETHER", size)
+        docs = docs.where("doc_id < 25")
+    docs = docs.unionByName(spark.createDataFrame([(9000 + i, t, lang) for i, (lang, t) in enumerate(MODEL_TEXTS)], docs.schema))
+    rows = docs.collect()
+    langs = [r["lang"] or "" for r in rows]
+    models = {x: slow_model([r["text"] for r, lang in zip(rows, langs, strict=True) if lang == x]) for x in set(langs)}
+    known: dict = {}
+
+    def log_p(lang, g):
+        if (lang, g) not in known:
+            known[lang, g] = np.log(models[lang](g, True))
+        return known[lang, g]
+
+    want = {}
+    for r, lang in zip(rows, langs, strict=True):
+        counts, grams = slow_counts(r["text"]), slow_stream(r["text"])
+        want[r["doc_id"]] = [lang, counts, counts[0] < 20 or 100 * counts[4] > 30 * counts[0], -np.mean([log_p(lang, g) for g in grams]) if grams else None]
+    kept = {}
+    for lang in set(langs):
+        own = {i: w for i, w in want.items() if w[0] == lang}
+        fine = {i: w for i, w in own.items() if not w[2]}
+        if fine:
+            middle = np.percentile([round(w[3], 4) for w in fine.values()], 50)
+            distance = {i: round((w[3] - middle) / np.sqrt(1 + perplexity.LENGTH_SCALE / (w[1][1] + w[1][0])), 5) for i, w in fine.items()}
+            q1, q3 = np.percentile(list(distance.values()), [25, 75])
+            spread = perplexity.SPREAD * (q3 - q1)
+            kept |= {i: q1 - spread <= d <= q3 + spread for i, d in distance.items()}
+    assert 0 < sum(kept.values()) < len(rows)
+    for r in perplexity.judged(docs, ["doc_id"]).collect():
+        lang, counts, failed, logs = want[r["doc_id"]]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == counts
+        assert (r["base_failed"], r["kept"]) == (failed, kept.get(r["doc_id"], False)), r
+        assert r["log_perplexity"] is None if logs is None else np.isclose(r["log_perplexity"], logs, atol=1e-7)
+
+
+def test_grams_of_many_characters(monkeypatch):
+    monkeypatch.setattr(perplexity, "_BITS", 3)  # seven characters have numbers
+    texts = ["abcabc", "defdef ghi", "abcdefghijklmnop", "ab ab"]
+    counter, got = perplexity.GramCounter(), Counter()
+    made = [rows for t in texts for rows in counter.add("en", perplexity.parts_of(t))] + list(counter.given_out())
+    for rows in made:
+        for g, n in zip(rows["gram"], rows["n"], strict=True):
+            got[g] += int(n)
+    assert got == Counter(g for t in texts for g in slow_stream(t))
+
+
+def test_counts_of_odd_texts():
+    texts = ["", " ", "a", "a\na\n\n a \na", "\n\n", "x y\nx y", "a b c d e f g h a b c d e f g h", "a b c d e f g h b c d e f g h i", "# $ \x1c \x85 \u3000", "w " * 50, "l\r\nl\r\n", "\U0001f600 é"]
+    assert [tuple(r) for r in perplexity.all_base_counts(texts).tolist()] == [slow_counts(t)[:1] + slow_counts(t)[1:] for t in texts]
+    assert [perplexity.base_counts(t) for t in texts] == [slow_counts(t) for t in texts]

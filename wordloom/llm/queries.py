@@ -20,7 +20,7 @@ def op2_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return perplexity.judged(table(spark, sf_dir, "documents"), ["doc_id"]).drop("low", "high")
+    return perplexity.judged(table(spark, sf_dir, "documents"), ["doc_id"], from_files=True).drop("low", "high")
 
 
 def op4_simple8b_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
