@@ -231,6 +231,106 @@ def test_alignment_restores_ends_and_bridges_gaps():
     b = np.delete(b, 120)
     got = chained_passages.align(a, b, [(60, 60), (130, 129)])
     assert got[:4] == (0, 200, 0, 199) and got[4] == 198
+    b = np.delete(np.insert(a, 8, 5), 190)  # left out and put in beyond the anchors
+    assert chained_passages.align(a, b, [(60, 61), (130, 131)])[:4] == (0, 200, 0, 200)
+
+
+def test_chains_end_at_long_gaps():
+    x = np.concatenate([np.arange(0, 3000, 10), np.arange(3600, 6000, 10)])
+    assert sorted(map(len, chained_passages.best_chains(x, x + 5))) == [240, 300]
+
+
+def words_for(rng):
+    return "".join(rng.choice("abcdefghij") for _ in range(6))
+
+
+def edited(rng, passage, identity):
+    """The passage with so many of its words changed, left out or put in."""
+    out = list(passage)
+    for at in sorted(rng.sample(range(len(out)), round(len(out) * (1 - identity))), reverse=True):
+        kind = rng.random()
+        out[at : at + 1] = [words_for(rng)] if kind < 0.6 else [] if kind < 0.8 else [out[at], words_for(rng)]
+    return out
+
+
+def linked(rows):
+    return {(r["doc_id"], r["other_doc_id"]) for r in rows}
+
+
+def test_recall_of_passages(spark):
+    """Figures for the README: pairs found by length and identity."""
+    rng, texts, planted = random.Random(21), [], {}
+    for identity in (1.0, 0.95, 0.9, 0.85):
+        for n in (60, 120, 300):
+            for _ in range(40):
+                passage = [words_for(rng) for _ in range(n)]
+                a, b = len(texts), len(texts) + 1
+                texts += [[words_for(rng) for _ in range(rng.randint(20, 60))] + p + [words_for(rng) for _ in range(30)] for p in (passage, edited(rng, passage, identity))]
+                planted.setdefault((identity, n), []).append((a, b))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    rows = chained_passages.passages(docs).collect()
+    found = linked(rows)
+    assert found <= {p for pairs in planted.values() for a, b in pairs for p in ((a, b), (b, a))}
+    recall = {k: sum(p in found and p[::-1] in found for p in pairs) / len(pairs) for k, pairs in planted.items()}
+    print("recall", recall)
+    assert all(v == 1.0 for (identity, _), v in recall.items() if identity == 1.0)
+    assert all(v >= 0.9 for (identity, _), v in recall.items() if identity >= 0.9)
+    assert all(v >= 0.9 for (identity, n), v in recall.items() if n >= 120)
+
+
+def local_passage(a, b):
+    """Words of the best local alignment of two texts under +1, -3 and gaps of -3, or 0."""
+    best, score, size = 0, np.zeros(len(b) + 1), np.zeros(len(b) + 1, int)
+    top = 0.0
+    for w in a:
+        new, long = np.zeros(len(b) + 1), np.zeros(len(b) + 1, int)
+        for j, v in enumerate(b, 1):
+            choices = [(0.0, 0), (score[j - 1] + (1 if v == w else -3), size[j - 1] + 1), (score[j] - 3, size[j] + 1), (new[j - 1] - 3, long[j - 1])]
+            new[j], long[j] = max(choices)
+            if new[j] > top:
+                top, best = new[j], long[j]
+        score, size = new, long
+    return best
+
+
+def test_passages_against_all_pairs(spark):
+    """Small texts that share exact and edited passages, some in more than two texts, compared pair by pair."""
+    rng = random.Random(4)
+    texts = [[words_for(rng) for _ in range(rng.randint(30, 60))] for _ in range(14)]
+    for i, j, identity in ((0, 1, 1.0), (0, 2, 0.95), (3, 4, 0.92), (5, 6, 0.95), (7, 8, 1.0), (7, 9, 1.0), (10, 11, 0.9)):
+        passage = [words_for(rng) for _ in range(65)]
+        for t, p in ((i, passage), (j, edited(rng, passage, identity))):
+            at = rng.randint(0, len(texts[t]))
+            texts[t][at:at] = p
+    texts[12][10:10] = texts[13][:40]  # too short
+    want = {(i, j) for i in range(14) for j in range(14) if i != j and local_passage(texts[i], texts[j]) >= 55}
+    rows = chained_passages.passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    assert linked(rows) == want
+
+
+def test_common_phrases_hide_no_passage(spark):
+    rng = random.Random(31)
+    passage = [words_for(rng) for _ in range(84)]
+    texts = {0: passage, 1: passage}
+    for k in range(0, 84, 7):  # every phrase is quoted by many
+        for _ in range(60):
+            texts[len(texts)] = [words_for(rng) for _ in range(20)] + passage[k : k + 7] + [words_for(rng) for _ in range(20)]
+    texts[0], texts[1] = ([words_for(rng) for _ in range(30)] + passage + [words_for(rng) for _ in range(30)] for _ in (0, 1))
+    rows = chained_passages.passages(spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")).collect()
+    assert linked(rows) == {(0, 1), (1, 0)}
+    assert {(r["start_word"], r["n_words"]) for r in rows} == {(30, 84)}
+
+
+@pytest.mark.parametrize("margin", [120, 3])
+def test_every_place_of_a_passage(spark, monkeypatch, margin):
+    monkeypatch.setattr(chained_passages, "MARGIN", margin)
+    rng = random.Random(32)
+    some = lambda n: [words_for(rng) for _ in range(n)]
+    passage = some(60)
+    texts = [some(10) + passage + some(20) + passage + some(5), some(40) + passage, passage + some(9), some(100)]
+    rows = chained_passages.passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["start_word"], r["n_words"]) for r in rows} == {(0, 10, 60), (0, 90, 60), (1, 40, 60), (2, 0, 60)}
+    assert len({(r["class_doc_id"], r["class_start_word"]) for r in rows}) == 1 and (rows[0]["class_doc_id"], rows[0]["class_start_word"]) == (0, 10)
 
 
 def test_passages(spark, no_docs, odd_docs):
