@@ -82,27 +82,31 @@ def _induce_entries(t: np.ndarray, s: np.ndarray, lms: np.ndarray, sigma: int) -
     """As above, entry by entry, for large alphabets."""
     n = len(t)
     counts = np.bincount(t, minlength=sigma)
-    heads, tails = (np.cumsum(counts) - counts).tolist(), np.cumsum(counts).tolist()
-    ends = tails[:]
-    text, smaller = t.tolist(), s.tolist()
-    sa = [-1] * n
-    for i in reversed(lms.tolist()):
-        c = text[i]
-        tails[c] -= 1
-        sa[tails[c]] = i
-    for k in range(n):
-        j = sa[k] - 1
-        if j >= 0 and not smaller[j]:
-            c = text[j]
-            sa[heads[c]] = j
+    tails = np.cumsum(counts)
+    # The given suffixes go to the ends of their buckets, in order.
+    symbols = t[lms]
+    by_symbol = np.argsort(symbols, kind="stable")
+    held = np.bincount(symbols, minlength=sigma)
+    first = (tails - held)[symbols[by_symbol]] + np.arange(len(lms)) - (np.cumsum(held) - held)[symbols[by_symbol]]
+    placed = np.full(n, -1, np.int64)
+    placed[first] = lms[by_symbol]
+    sa = placed.tolist()
+    # What each entry, or none (-1), induces: the symbol before it, if that is of the type in question.
+    before = np.append(np.where(np.arange(n) > 0, t[np.arange(n) - 1], -1), -1)
+    smaller = np.append(s[np.arange(n) - 1], False)
+    larger_of, smaller_of = np.where(smaller, -1, before).tolist(), np.where(smaller, before, -1).tolist()
+    heads = (tails - counts).tolist()
+    for v in sa:  # entries put in further on are met in turn
+        c = larger_of[v]
+        if c >= 0:
+            sa[heads[c]] = v - 1
             heads[c] += 1
-    tails = ends
-    for k in range(n - 1, -1, -1):
-        j = sa[k] - 1
-        if j >= 0 and smaller[j]:
-            c = text[j]
-            tails[c] -= 1
-            sa[tails[c]] = j
+    ends = tails.tolist()
+    for v in reversed(sa):
+        c = smaller_of[v]
+        if c >= 0:
+            ends[c] -= 1
+            sa[ends[c]] = v - 1
     sa[0] = n - 1
     return np.array(sa, np.int64)
 
