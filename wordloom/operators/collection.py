@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import canonical_key
+from ..functions.storage import kept
 
 
 def keyed(records: DataFrame, column: str = "uvars") -> DataFrame:
@@ -90,22 +91,48 @@ AGGREGATES: dict[str, Callable[[Column], Column]] = {
     "avg": lambda x: F.coalesce(F.avg(x), F.lit(0.0)),
     "var": lambda x: F.coalesce(F.var_pop(x), F.lit(0.0)),
     "stddev": lambda x: F.coalesce(F.stddev_pop(x), F.lit(0.0)),
-    "med": lambda x: F.coalesce(F.median(x), F.lit(0.0)),
-    "mvar": lambda x: F.coalesce(F.abs(F.avg(x * x) - F.pow(F.median(x), F.lit(2))), F.lit(0.0)),
-    "mdev": lambda x: F.coalesce(F.sqrt(F.abs(F.avg(x * x) - F.pow(F.median(x), F.lit(2)))), F.lit(0.0)),
 }
 """Aggregates of a group that need one pass; a group function without a name is ``max``."""
 
 
+def medians(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by…, median): from the counts of a group's values, so that no group is gathered in one place.
+
+    Values are put in order by range over all groups; the running count of a
+    value is that of the ranges before it and of the values before it in its own.
+    """
+    group = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in by])
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_x")).agg(F.count("*").alias("_n"))
+    order = [*by, "_x"]
+    placed = kept(counts.withColumn("_g", group).repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "values")
+    parts = placed.groupBy("_g", "_part").agg(F.sum("_n").alias("_in"))
+    earlier = Window.partitionBy("_g").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    before = parts.withColumn("_before", F.coalesce(F.sum("_in").over(earlier), F.lit(0))).drop("_in")
+    totals = parts.groupBy("_g").agg(F.sum("_in").alias("_all"))
+    within = Window.partitionBy("_g", "_part").orderBy("_x")
+    met = placed.withColumn("_to", F.sum("_n").over(within)).join(before, ["_g", "_part"]).join(totals, "_g").withColumn("_to", F.col("_to") + F.col("_before"))
+    holds = lambda k: (F.col("_to") - F.col("_n") < k) & (F.col("_to") >= k)
+    low, high = F.ceil(F.col("_all") / 2), F.floor(F.col("_all") / 2) + 1
+    return met.groupBy(*by).agg(((F.max(F.when(holds(low), F.col("_x"))) + F.max(F.when(holds(high), F.col("_x")))) / 2).alias("median"))
+
+
 def deviations(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """(by…, avgdev, amdev): the mean distance from the mean and from the median."""
-    middle = rows.groupBy(*by).agg(F.avg(value).alias("_m"), F.median(value).alias("_d"))
+    """(by…, avgdev, amdev): the mean distance from the mean and from the median; a group of nulls has neither."""
+    middle = rows.groupBy(*by).agg(F.avg(value).alias("_m")).join(medians(rows, by, value).withColumnRenamed("median", "_d"), by, "left")
     return rows.join(middle, by).groupBy(*by).agg(F.coalesce(F.avg(F.abs(F.col(value) - F.col("_m"))), F.lit(0.0)).alias("avgdev"), F.coalesce(F.avg(F.abs(F.col(value) - F.col("_d"))), F.lit(0.0)).alias("amdev"))
 
 
 def aggregated(rows: DataFrame, by: list[str], value: str, names: list[str]) -> DataFrame:
     """The named aggregates of a numeric column for each group."""
     plain = [AGGREGATES[n](F.col(value)).alias(n) for n in names if n in AGGREGATES]
+    if set(names) & {"med", "mvar", "mdev"}:  # from the median and the mean square
+        rows = kept(rows, "rows")
+        square = rows.groupBy(*by).agg(F.avg(F.col(value) * F.col(value)).alias("_square"))
+        spread = F.abs(F.col("_square") - F.col("median") * F.col("median"))
+        own = {"med": F.col("median"), "mvar": spread, "mdev": F.sqrt(spread)}
+        middle = square.join(medians(rows, by, value), by, "left").select(*by, *[F.coalesce(own[n], F.lit(0.0)).alias(n) for n in names if n in own])
+        others = [n for n in names if n not in own]
+        return (middle.join(aggregated(rows, by, value, others), by) if others else middle).select(*by, *names)
     far = deviations(rows, by, value) if set(names) & {"avgdev", "amdev"} else None
     if not plain:
         return far.select(*by, *names)

@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 EDGE = "__$"
 """Stands before the first and after the last token of a sentence."""
 UNKNOWN = "@UNKNOWN"
+WORD = r"[\p{L}\p{M}\p{N}]+"
+"""A word: a run of letters, marks and digits of any script."""
 
 
 def sentences(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang", "source")) -> DataFrame:
-    """(…, sid, toks): each line with a word is a sentence; words are runs of a-z in the lower-cased line."""
+    """(…, sid, toks): each line with a word is a sentence; its words are taken from the lower-cased line."""
     lines = docs.select(*keep, F.posexplode(F.split("text", "\n")).alias("sid", "line"))
-    return lines.select(*keep, (F.col("sid") + 1).cast("long").alias("sid"), F.regexp_extract_all(F.lower("line"), F.lit("[a-z]+"), F.lit(0)).alias("toks")).where(F.size("toks") > 0)
+    return lines.select(*keep, (F.col("sid") + 1).cast("long").alias("sid"), F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(0)).alias("toks")).where(F.size("toks") > 0)
 
 
 def tokens(sents: DataFrame) -> DataFrame:

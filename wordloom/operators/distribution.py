@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.storage import kept
 from .corpus import UNKNOWN
 from .dictionary import indexed
 
@@ -24,9 +25,10 @@ def marginal(dist: DataFrame, *events: str) -> DataFrame:
 
 def normalized(dist: DataFrame, *given: str) -> DataFrame:
     """p = f / total, or / the total of the rows that agree in ``given``; zero totals stay."""
-    if given:
-        whole = F.sum("f").over(Window.partitionBy(*given))
-        return dist.withColumn("p", F.col("f") / F.when(whole != 0, whole))
+    if given:  # partial sums and a join, which can be split where a value of ``given`` is hot
+        dist = kept(dist, "given")
+        whole = dist.groupBy(*given).agg(F.sum("f").alias("_all"))
+        return dist.join(whole, list(given)).withColumn("p", F.col("f") / F.when(F.col("_all") != 0, F.col("_all"))).drop("_all")
     whole = dist.agg(F.sum("f").alias("_all"))
     return dist.crossJoin(F.broadcast(whole)).withColumn("p", F.when(F.col("_all") != 0, F.col("f") / F.col("_all")).otherwise(F.col("f"))).drop("_all")
 

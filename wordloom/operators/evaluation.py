@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.storage import kept
 from .distribution import entropy, marginal
 
 
@@ -33,10 +34,12 @@ def information(lex: DataFrame) -> DataFrame:
 
 def expected_agreement(lex: DataFrame) -> DataFrame:
     """(precision, recall): the sums of f^2 / (N f(w)) and f^2 / (N f(tag))."""
+    lex = kept(lex, "lexicon")
     n = F.broadcast(lex.agg(F.sum("f").alias("n")))
-    seen = lex.withColumns({"fw": F.sum("f").over(Window.partitionBy("w")), "ft": F.sum("f").over(Window.partitionBy("tag"))}).crossJoin(n)
+    of_w, of_tag = (marginal(lex, c).withColumnRenamed("f", f"f_{c}") for c in ("w", "tag"))
+    seen = lex.join(of_w, "w").join(of_tag, "tag").crossJoin(n)
     square = F.col("f").cast("double") * F.col("f") / F.col("n")
-    return seen.agg(F.sum(square / F.col("fw")).alias("precision"), F.sum(square / F.col("ft")).alias("recall"))
+    return seen.agg(F.sum(square / F.col("f_w")).alias("precision"), F.sum(square / F.col("f_tag")).alias("recall"))
 
 
 def induced_tags(lex: DataFrame) -> DataFrame:

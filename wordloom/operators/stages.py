@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.storage import kept
 from . import clustering, dictionary, profiles
 from .corpus import EDGE
+from .distribution import normalized
 
 
 def profile_vectors(pairs: DataFrame, bounds: DataFrame) -> DataFrame:
@@ -37,16 +38,18 @@ def transitions(membership: DataFrame, bigrams: DataFrame) -> DataFrame:
 
 def class_labels(members: DataFrame, unigrams: DataFrame) -> DataFrame:
     """(c, label): a class's number and its two most frequent members."""
-    order = Window.partitionBy("c").orderBy(F.desc("f"), "w")
-    top = members.join(unigrams, "w").withColumn("k", F.row_number().over(order)).where("k <= 2")
-    return top.groupBy("c").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "w"))), lambda x: x["w"]), "_").alias("m")).select("c", F.concat_ws("_", F.col("c").cast("string"), "m").alias("label"))
+    place = F.struct((-F.col("f")).alias("f"), "w")
+    met = kept(members.join(unigrams, "w").select("c", place.alias("m")), "members")
+    first = met.groupBy("c").agg(F.min("m").alias("first"))  # two partial aggregates: a class may hold most words
+    second = met.join(first, "c").where(F.col("m") != F.col("first")).groupBy("c").agg(F.min("m").alias("second"))
+    return first.join(second, "c", "left").select("c", F.concat_ws("_", F.col("c").cast("string"), "first.w", "second.w").alias("label"))
 
 
 def description_length(members: DataFrame, unigrams: DataFrame, class_bigrams: DataFrame) -> DataFrame:
     """(model, corpus): bits to name each word's class, and to code the corpus by class transitions and emissions."""
     k = members.agg((F.count("*") * F.log2(F.count_distinct("c").cast("double"))).alias("model"))
-    moves = class_bigrams.withColumn("p", F.col("f") / F.sum("f").over(Window.partitionBy("c1"))).agg((-F.sum(F.col("f") * F.log2("p"))).alias("a"))
-    words = members.join(unigrams, "w").withColumn("p", F.col("f") / F.sum("f").over(Window.partitionBy("c"))).agg((-F.sum(F.col("f") * F.log2("p"))).alias("b"))
+    moves = normalized(class_bigrams, "c1").agg((-F.sum(F.col("f") * F.log2("p"))).alias("a"))
+    words = normalized(members.join(unigrams, "w").select("c", "w", "f"), "c").agg((-F.sum(F.col("f") * F.log2("p"))).alias("b"))
     return k.crossJoin(moves).crossJoin(words).select("model", (F.col("a") + F.col("b")).alias("corpus"))
 
 

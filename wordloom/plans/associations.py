@@ -50,12 +50,15 @@ _HOW = {
 
 
 def _add_norm(how: str, expression: str) -> None:
-    name = "conditional" if how in ("mass", "column_mass") else "mi"
-    values = _VALUES if name == "mi" else _VALUES.replace("log2(f * nl / (ftl * fbl)) AS value", "f / ftl AS value")
+    # Whole numbers, whose sums are the same in any order, need no rounding.
+    name = "raw" if how in ("mass", "column_mass") else "mi"
+    values = _VALUES if name == "mi" else _VALUES.replace("log2(f * nl / (ftl * fbl)) AS value", "f AS value")
+    shown = f"coalesce({expression}, 0)" if name == "raw" else f"round(coalesce({expression}, 0), 5) + 0.0"
 
-    @query(f"lr_norm_{how}", values + f" SELECT dir, t, b, round(coalesce({expression}, 0), 5) + 0.0 AS value FROM v", "big")
+    @query(f"lr_norm_{how}", values + f" SELECT dir, t, b, {shown} AS value FROM v", "big")
     def _(s, d):
-        return profiles.normalized_rows(profiles.measured(_profile(s, d, False), name), how).withColumn("value", F.round("value", 5) + F.lit(0.0))
+        out = profiles.normalized_rows(profiles.measured(_profile(s, d, False), name), how)
+        return out if name == "raw" else out.withColumn("value", F.round("value", 5) + F.lit(0.0))
 
 
 for _how, _expression in _HOW.items():

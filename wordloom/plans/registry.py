@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-SENTENCES = """
+SENTENCES = r"""
 lines AS (SELECT doc_id, lang, source, unnest(l) AS line, generate_subscripts(l, 1) AS sid FROM (SELECT doc_id, lang, source, string_split(text, chr(10)) AS l FROM documents)),
-sents AS (SELECT * FROM (SELECT doc_id, lang, source, sid, regexp_extract_all(lower(line), '[a-z]+') AS toks FROM lines) WHERE len(toks) > 0),
+sents AS (SELECT * FROM (SELECT doc_id, lang, source, sid, regexp_extract_all(lower(line), '[\p{L}\p{M}\p{N}]+') AS toks FROM lines) WHERE len(toks) > 0),
 tok AS (SELECT doc_id, lang, source, sid, unnest(toks) AS w, generate_subscripts(toks, 1) AS pos FROM sents),
 uni AS (SELECT w, CAST(count(*) AS BIGINT) AS f FROM tok GROUP BY w)
 """

@@ -77,14 +77,11 @@ def _(s, d):
 
 # Classes: here the first letter of a word, so that SQL can follow.
 
-_CLASSES = ", cl AS (SELECT w, substr(w, 1, 1) AS c, 1.0 AS p FROM uni)"
-
-
 def _classes(uni):
     return uni.select("w", F.substring("w", 1, 1).alias("c"), F.lit(1.0).alias("p"))
 
 
-@query("class_emissions", _CLASSES + " SELECT c, w, CAST(f AS DOUBLE) AS f FROM cl JOIN uni USING (w)", "tok")
+@query("class_emissions", " SELECT substr(w, 1, 1) AS c, w, CAST(f AS DOUBLE) AS f FROM uni", "tok")
 def _(s, d):
     uni = kept(unigrams(s, d), "unigrams")
     return stages.emissions(_classes(uni), uni)
@@ -168,12 +165,11 @@ def _(s, d):
     return morphology.stemmed(unigrams(s, d), _PREFIXES, _SUFFIXES)
 
 
-_TREE = ", nodes AS (SELECT DISTINCT substr(w, 1, k) AS node, CASE WHEN k > 1 THEN substr(w, 1, k - 1) END AS parent FROM (SELECT w, unnest(range(1, length(w) + 1)) AS k FROM (SELECT w FROM uni ORDER BY f DESC, w LIMIT 300)))"
+_TREE = ", nodes AS (SELECT DISTINCT substr(w, 1, k) AS node, CASE WHEN k > 1 THEN substr(w, 1, k - 1) END AS parent FROM (SELECT w, unnest(range(1, length(w) + 1)) AS k FROM uni))"
 
 
 def _tree(s, d):
-    words = profiles.most_frequent(unigrams(s, d), 300)
-    each = words.select("w", F.explode(F.sequence(F.lit(1), F.length("w"))).alias("k"))
+    each = unigrams(s, d).select("w", F.explode(F.sequence(F.lit(1), F.length("w"))).alias("k"))
     return kept(each.select(F.expr("substring(w, 1, k)").alias("node"), F.when(F.col("k") > 1, F.expr("substring(w, 1, k - 1)")).alias("parent")).distinct(), "tree")
 
 
