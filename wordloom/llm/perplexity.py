@@ -5,10 +5,11 @@ start marks and before an end mark.  A modified Kneser-Ney model of ``ORDER``
 characters, across words and over every character there is, is counted by Spark
 for each language over the whole table, so it grows with the table.
 
-The model is never in one place.  The grams of each partition of the table are
-known from the counting; they are joined with the model, and a partition's texts
-then meet the log probabilities of their own grams, as sorted arrays of hashes.
-As every gram scored has been counted as well, a gram's log probability is that
+A model of up to ``BROADCAST`` grams is sent to the tasks as a sorted array of
+hashes.  A larger one is never in one place: the grams of each partition of the
+table are known from the counting; they are joined with the model, and a
+partition's texts meet the log probabilities of their own grams, again as sorted
+arrays of hashes.  Both ways give the same scores.  As every gram scored has been counted as well, a gram's log probability is that
 without its own place (leaving one out): what only one text holds is as
 unlikely as if it were new.
 """
@@ -35,6 +36,8 @@ LENGTH_SCALE = 10_000
 """Characters at which chance alone moves a document's mean as much as its style does; shorter ones vary more."""
 TOGETHER = 2_000_000
 """Characters that are read at once; longer texts are read in parts that follow each other."""
+BROADCAST = 4_000_000
+"""Most grams of a model that is broadcast, at 16 bytes each."""
 HELD = 2_000_000
 """Different grams that a task counts before it gives them out."""
 
@@ -427,9 +430,31 @@ def scored(docs: DataFrame, extra: list[str], grams: DataFrame, model: DataFrame
     """The columns ``extra`` with the base counts and the log perplexity of each row.
 
     ``grams`` is ``count_grams`` of the same frame, whose partitions must come
-    out alike each time, as those of files do.  The texts of a partition are
-    brought together with the log probabilities of its grams.
+    out alike each time, as those of files do.
     """
+    if model.count() <= BROADCAST:
+        return _scored_everywhere(docs, extra, model)
+    return _scored_by_partition(docs, extra, grams, model)
+
+
+def _scored_everywhere(docs: DataFrame, extra: list[str], model: DataFrame) -> DataFrame:
+    """As above, with the whole model in every task."""
+    table = model.select("h", "rest").toArrow()
+    sent = docs.sparkSession.sparkContext.broadcast(SortedHashes([table["h"].to_numpy()], [table["rest"].to_numpy()]))
+    schema = StructType([*(docs.schema[c] for c in extra), *StructType.fromDDL(SCORED).fields])
+    at = [f"_{i}" for i in range(len(extra))]
+    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(extra, at, strict=True)], F.col("lang").alias("lang"), F.col("text").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _frames(batches):
+            counts, logs = _measured(part["text"].to_pylist(), part["lang"].to_pylist(), sent.value)
+            yield pa.RecordBatch.from_arrays([*(part[n] for n in at), *(pa.array(c) for c in counts.T), pa.array(logs, pa.float64())], names=schema.fieldNames())
+
+    return rows.mapInArrow(run, schema)
+
+
+def _scored_by_partition(docs: DataFrame, extra: list[str], grams: DataFrame, model: DataFrame) -> DataFrame:
+    """As above, each partition's texts brought together with the log probabilities of its grams."""
     own = [F.col(c) for c in extra]
     told = grams.select("block", "h").distinct().join(model.select("h", "rest"), "h")
     texts = docs.select(F.spark_partition_id().alias("_block"), F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_h"), F.lit(None).cast("double").alias("_logp"), F.col("lang").alias("_lang"), F.col("text").alias("_text"), F.struct(*own).alias("_own"))
