@@ -84,3 +84,26 @@ def canonical_key(m: Column) -> Column:
 
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
+
+
+def as_weight(p: Column) -> Column:
+    """A probability as the weight of an arc: -ln p."""
+    return -F.log(p)
+
+
+def as_probability(weight: Column) -> Column:
+    return F.exp(-weight)
+
+
+def short_first(text: Column) -> list[Column]:
+    """Sort keys: the length of a text, then the text."""
+    return [F.length(text), text]
+
+
+def filtered(values: Column, q: float) -> Column:
+    """An array smoothed exponentially from both ends: the mean of both passes, each s = q x + (1 - q) s, starting from its first value."""
+    def one(a: Column) -> Column:
+        step = lambda s, x: F.concat(s, F.array(F.when(F.size(s) == 0, x).otherwise(q * x + (1 - q) * F.element_at(s, -1))))
+        return F.aggregate(a, F.array().cast("array<double>"), step)
+
+    return F.zip_with(one(values), F.reverse(one(F.reverse(values))), lambda x, y: (x + y) / 2)

@@ -39,9 +39,10 @@ DISTANCES = {
     "absolute_pearson": lambda a, b: F.coalesce(1 - F.abs(_correlation(a, b)), F.lit(1.0)),
     "bhattacharyya": lambda a, b: 1 - _aggregate(_shares(a), _shares(b), lambda x, y: F.sqrt(x * y)),
     "hellinger": lambda a, b: 0.5 * F.sqrt(F.greatest(2 - 2 * _aggregate(_shares(a), _shares(b), lambda x, y: F.sqrt(x * y)), F.lit(0.0))),
+    "symmetric_divergence": lambda a, b: (DISTANCES["divergence"](a, b) + DISTANCES["divergence"](b, a)) / 2,
     "divergence": lambda a, b: _aggregate(_shares(a), _shares(b), lambda x, y: F.when((x > 0) & (y > 0), x * F.log(x / y)).otherwise(0.0)),
 }
-"""Distances of two arrays of numbers; the last three expect values of at least 0."""
+"""Distances of two arrays of numbers; the last four expect values of at least 0."""
 
 
 def ranked(a: Column) -> Column:
@@ -131,6 +132,78 @@ def buckshot(points: DataFrame, k: int, distance: str = "l1") -> DataFrame:
     return attached(points, as_vectors(centres(named)), distance)
 
 
+def paired(queries: DataFrame, rows: DataFrame, block: int = 500, share: int = 5000) -> DataFrame:
+    """All pairs of a stated set of queries and the rows, in tiles of about ``block`` queries and ``share`` rows.
+
+    Queries have the columns (id, …), which come out as (q_id, q_…).  Each tile
+    is a key of its own, so no task holds all of either side.
+    """
+    n_q, n_r = queries.count(), rows.count()
+    across, down = max(1, -(-n_q // block)), max(1, -(-n_r // share))
+    q = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns], F.pmod(F.xxhash64("id"), F.lit(across)).alias("_a"), F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("_d"))
+    r = rows.withColumn("_d", F.pmod(F.xxhash64("id", F.lit("row")), F.lit(down)).cast("int")).withColumn("_a", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(across - 1).cast("long"))))
+    return q.join(r.hint("shuffle_hash"), ["_a", "_d"]).drop("_a", "_d")
+
+
+def member_links(queries: DataFrame, members: DataFrame, distance: str, how: str) -> DataFrame:
+    """(id, cluster, d): the ``min``, ``max`` or ``avg`` distance of each query (id, v) to all members (id, cluster, v) of each cluster."""
+    fold = {"min": F.min, "max": F.max, "avg": F.avg}[how]
+    pairs = paired(queries.select("id", "v"), members.select("id", "cluster", "v"))
+    return pairs.select(F.col("q_id").alias("id"), "cluster", DISTANCES[distance](F.col("q_v"), F.col("v")).alias("d")).groupBy("id", "cluster").agg(fold("d").alias("d"))
+
+
+def row_distances(queries: DataFrame, points: DataFrame, distance: str) -> DataFrame:
+    """(a, b, d): the distances of each query to each other row, once for two queries."""
+    pairs = paired(queries.select("id", "v").withColumn("asks", F.lit(True)), points.select("id", "v").join(queries.select("id").withColumn("_asks", F.lit(True)), "id", "left"))
+    kept_ones = pairs.where((F.col("q_id") < F.col("id")) | ((F.col("q_id") > F.col("id")) & F.col("_asks").isNull()))
+    return kept_ones.select(F.least("q_id", "id").alias("a"), F.greatest("q_id", "id").alias("b"), DISTANCES[distance](F.col("q_v"), F.col("v")).alias("d"))
+
+
+def weighted(distance: str, weights: list[float]):
+    """``l1`` or ``l2`` with a weight for each feature; a weight of 0 masks it."""
+    w = F.array(*[F.lit(float(x)) for x in weights])
+    power = {"l1": lambda x: F.abs(x), "l2": lambda x: x * x}[distance]
+
+    def measure(a: Column, b: Column) -> Column:
+        apart = F.zip_with(a, b, lambda x, y: power(x.cast("double") - y.cast("double")))
+        return F.aggregate(F.zip_with(apart, w, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) / float(sum(weights))
+
+    return measure
+
+
+def sizes(assigned: DataFrame) -> DataFrame:
+    """(cluster, n, first): how many elements each cluster has, and the first of them."""
+    return assigned.groupBy("cluster").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+
+
+def weighted_centres(points: DataFrame, memberships: DataFrame) -> DataFrame:
+    """(cluster, pos, value): sums of the points (id, v) weighted by p, over the sum of p, for (id, cluster, p)."""
+    each = points.select("id", F.posexplode("v").alias("pos", "x")).join(memberships.where("p is not null"), "id")
+    return each.groupBy("cluster", "pos").agg((F.sum(F.col("p") * F.col("x")) / F.sum("p")).alias("value"))
+
+
+def witnesses(distances: DataFrame, m: int) -> DataFrame:
+    """(cluster, id, d, rank): the m points nearest to each centre, ties to the smaller id."""
+    order = Window.partitionBy("cluster").orderBy("d", "id")
+    return distances.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= m).select("cluster", "id", "d", "rank")
+
+
+def best_centres(points: DataFrame, distances: DataFrame, m: int) -> DataFrame:
+    """(cluster, pos, value): the mean of the m points nearest to each centre."""
+    return centres(points.select("id", "v").join(F.broadcast(witnesses(distances, m).select("id", "cluster")), "id"))
+
+
+def joint(memberships: DataFrame, weights: DataFrame) -> DataFrame:
+    """(cluster, id, p): the joint distribution p(c | w) f(w) / N of memberships (id, cluster, p) and weights (id, f)."""
+    whole = F.broadcast(weights.agg(F.sum("f").alias("_n")))
+    return memberships.join(weights, "id").crossJoin(whole).select("cluster", "id", (F.col("p") * F.col("f") / F.col("_n")).alias("p"))
+
+
+def best_map(memberships: DataFrame) -> DataFrame:
+    """(id, cluster): the likeliest cluster of each element, ties to the smallest."""
+    return memberships.groupBy("id").agg(F.min(F.struct((-F.col("p")).alias("p"), "cluster")).alias("m")).select("id", "m.cluster")
+
+
 MEMBERSHIP = {
     "hard": "1.0",
     "linear": "dmax + dmin - d",
@@ -138,13 +211,25 @@ MEMBERSHIP = {
     "squared_exponential": "pow(2.0, -beta * d * d / 2)",
     "exponential": "exp(-beta * d)",
     "inverse_rank": "pow(rank, -beta)",
+    "fuzzy": "CASE WHEN d = 0 THEN 1 + pow(dpos, -1 / (beta - 1)) ELSE pow(d, -1 / (beta - 1)) END",
 }
-"""How a distance d becomes a weight; dmin and dmax are over all rows, rank is that of the cluster."""
+"""How a distance d becomes a weight; dmin, dmax and dpos (the least above 0) are over all rows, rank is that of the cluster."""
+
 
+def own_first(distances: DataFrame, assigned: DataFrame, m: int) -> DataFrame:
+    """The m nearest clusters of each point, its own one (id, cluster) before all others."""
+    met = distances.join(assigned.select("id", F.col("cluster").alias("_own")), "id", "left")
+    order = Window.partitionBy("id").orderBy((F.col("cluster") != F.col("_own")).cast("int"), "d", "cluster")
+    return met.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= m).drop("_own")
 
-def membership(distances: DataFrame, how: str, m: int, beta: float = 1.0) -> DataFrame:
-    """(id, cluster, p): weights of each point's m nearest clusters, adding up to 1; null where all weights are 0."""
-    spread = F.broadcast(distances.agg(F.min("d").alias("dmin"), F.max("d").alias("dmax")))
-    near = nearest(distances, m).crossJoin(spread).withColumn("beta", F.lit(beta)).withColumn("weight", F.expr(MEMBERSHIP[how]).cast("double"))
+
+def membership(distances: DataFrame, how: str, m: int, beta: float = 1.0, assigned: DataFrame | None = None) -> DataFrame:
+    """(id, cluster, p): weights of each point's m nearest clusters, adding up to 1; null where all weights are 0.
+
+    With ``assigned`` (id, cluster) a point's own cluster has the first rank.
+    """
+    spread = F.broadcast(distances.agg(F.min("d").alias("dmin"), F.max("d").alias("dmax"), F.min(F.when(F.col("d") > 0, F.col("d"))).alias("dpos")))
+    chosen = nearest(distances, m) if assigned is None else own_first(distances, assigned, m)
+    near = chosen.crossJoin(spread).withColumn("beta", F.lit(beta)).withColumn("weight", F.expr(MEMBERSHIP[how]).cast("double"))
     whole = F.sum("weight").over(Window.partitionBy("id"))
     return near.select("id", "cluster", (F.col("weight") / F.when(whole != 0, whole)).alias("p"))

@@ -143,3 +143,20 @@ def aggregated(rows: DataFrame, by: list[str], value: str, names: list[str]) ->
 def first_of_each(rows: DataFrame, key: str, order: list) -> DataFrame:
     """The first row of each key, as a listing without repeats gives it."""
     return rows.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_k = 1").drop("_k")
+
+
+def flattened(records: DataFrame, names: list[str]) -> DataFrame:
+    """(path, key): the members of nested groups, outer names first; a member's path is its groups' values."""
+    return members(records, names).select(F.concat_ws("/", *names).alias("path"), "key")
+
+
+def path_counts(records: DataFrame, names: list[str]) -> DataFrame:
+    """(depth, path, n, children): every group of every level, with its members and the groups right below it."""
+    rows = members(records, names)
+    levels = [F.struct(F.lit(k).alias("depth"), F.concat_ws("/", *names[:k]).alias("path"), (F.col(names[k]) if k < len(names) else F.lit(None).cast("string")).alias("child")) for k in range(1, len(names) + 1)]
+    return rows.select(F.explode(F.array(*levels)).alias("x")).groupBy("x.depth", "x.path").agg(F.count("*").alias("n"), F.count_distinct("x.child").alias("children"))
+
+
+def upserted(records: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The records, and those wanted whose key none of them has."""
+    return records.unionByName(wanted.join(records.select(key), key, "left_anti").select(records.columns))

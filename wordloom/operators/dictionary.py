@@ -44,3 +44,39 @@ def united(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def without(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(right.select("sym"), "sym", "left_anti")
+
+
+def nary(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(columns…, id, id_<column>…): an id for each different tuple, and that of each of its parts in one dictionary of all parts."""
+    parts = None
+    for c in columns:
+        one = rows.select(F.col(c).alias("sym"))
+        parts = one if parts is None else parts.unionByName(one)
+    enum = kept(dictionary(parts, "sym"), "parts")
+    out = indexed(rows.select(*columns).distinct(), columns, "id")
+    for c in columns:
+        out = out.join(enum.select(F.col("sym").alias(c), F.col("id").alias(f"id_{c}")), c)
+    return out.select(*columns, "id", *[f"id_{c}" for c in columns])
+
+
+def flat(tuples: DataFrame, columns: list[str], size: int) -> DataFrame:
+    """With ``flat``: one number for a tuple of ids below ``size``, the last one running fastest."""
+    number = F.lit(0).cast("long")
+    for c in columns:
+        number = number * size + F.col(c)
+    return tuples.withColumn("flat", number)
+
+
+def unflat(flats: DataFrame, columns: list[str], size: int) -> DataFrame:
+    """The ids that flat numbers were made of."""
+    return flats.withColumns({c: F.pmod(F.floor(F.col("flat") / F.lit(size ** (len(columns) - 1 - k))), F.lit(size)).cast("long") for k, c in enumerate(columns)})
+
+
+def vectors(rows: DataFrame, column: str) -> DataFrame:
+    """(sym, id): the different integer vectors, numbered in lexicographic order."""
+    return dictionary(rows, column)
+
+
+def recoded(symbols: DataFrame, column: str, source: str, to: str) -> DataFrame:
+    """Symbols whose bytes in one character set are read in another."""
+    return symbols.withColumn(column, F.decode(F.encode(F.col(column), source), to))

@@ -130,3 +130,65 @@ def expanded_prefixes(grams: DataFrame, n: int) -> DataFrame:
     """(k, g, f): all prefixes of n-grams, as arrays, with summed weights."""
     whole = F.array(*[f"w{i + 1}" for i in range(n)])
     return grams.select("f", F.explode(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.struct(k.cast("long").alias("k"), F.array_join(F.slice(whole, 1, k), "\t").alias("g")))).alias("x")).groupBy("x.k", "x.g").agg(F.sum("f").alias("f"))
+
+
+def edge_expanded(grams: DataFrame, n: int, edge: str) -> DataFrame:
+    """n-grams and, for those that start or end at an edge, what is seen from further out.
+
+    A gram that starts with the edge mark is added shifted right by one to n - 2
+    places with more marks before it, and one that ends with it likewise to the left.
+    """
+    names = [f"w{i + 1}" for i in range(n)]
+    whole = F.array(*names)
+    mark = lambda k: F.array_repeat(F.lit(edge), k)
+    before = [F.when(F.col("w1") == edge, F.concat(mark(k), F.slice(whole, 1, n - k))) for k in range(1, n - 1)]
+    after = [F.when(F.col(names[-1]) == edge, F.concat(F.slice(whole, k + 1, n - k), mark(k))) for k in range(1, n - 1)]
+    out = grams.select("f", F.explode(F.filter(F.array(whole, *before, *after), lambda g: g.isNotNull())).alias("g"))
+    return out.groupBy(*[F.get("g", i).alias(x) for i, x in enumerate(names)]).agg(F.sum("f").alias("f"))
+
+
+def sane(grams: DataFrame, column: str, n: int, separator: str = "\t") -> DataFrame:
+    """Events that are n-grams indeed."""
+    return grams.where(F.size(F.split(column, separator)) == n)
+
+
+def transposed(cells: DataFrame, x: str, y: str) -> DataFrame:
+    return cells.select(F.col(y).alias(x), F.col(x).alias(y), *[c for c in cells.columns if c not in (x, y)])
+
+
+def sliced(cells: DataFrame, fixed: dict) -> DataFrame:
+    """The cells that agree in the fixed places, without these."""
+    out = cells
+    for c, v in fixed.items():
+        out = out.where(F.col(c) == v)
+    return out.drop(*fixed)
+
+
+def with_missing(cells: DataFrame, dims: list[str], missing: float) -> DataFrame:
+    """(cells, stored, total, mean, entropy) of a sparse table whose unstored cells all hold ``missing``."""
+    sizes = None
+    for d in dims:
+        one = cells.agg(F.count_distinct(d).cast("double").alias(f"_{d}"))
+        sizes = one if sizes is None else sizes.crossJoin(one)
+    log = lambda x: F.when(x > 0, x * F.log2(x)).otherwise(0.0)
+    sums = cells.agg(F.count("*").alias("stored"), F.sum("f").alias("_sum"), F.sum(log(F.col("f").cast("double"))).alias("_log"))
+    many = F.lit(1.0)
+    for d in dims:
+        many = many * F.col(f"_{d}")
+    out = sums.crossJoin(sizes).withColumn("cells", many).withColumn("_rest", F.col("cells") - F.col("stored"))
+    out = out.withColumn("total", F.col("_sum") + F.col("_rest") * missing).withColumn("_logs", F.col("_log") + F.col("_rest") * log(F.lit(float(missing))))
+    return out.select("cells", "stored", "total", (F.col("total") / F.col("cells")).alias("mean"), (F.log2("total") - F.col("_logs") / F.col("total")).alias("entropy"))
+
+
+def moments(dist: DataFrame, value, *by: str) -> DataFrame:
+    """(by…, expectation, variance) of a number that depends on the event, under the weights f."""
+    rows = dist.select(*by, F.col("f").cast("double").alias("f"), value.cast("double").alias("x"))
+    sums = rows.groupBy(*by).agg(F.sum("f").alias("n"), F.sum(F.col("f") * F.col("x")).alias("s"), F.sum(F.col("f") * F.col("x") * F.col("x")).alias("q"))
+    mean = F.col("s") / F.col("n")
+    return sums.select(*by, mean.alias("expectation"), (F.col("q") / F.col("n") - mean * mean).alias("variance"))
+
+
+def code_lengths(dist: DataFrame, *by: str) -> DataFrame:
+    """(by…, events, message, most, uniform): the bits of all events under their own distribution, the largest entropy possible, and an event's share if all were alike."""
+    sums = dist.where("f > 0").groupBy(*by).agg(F.count("*").alias("events"), F.sum("f").alias("n"), F.sum(F.col("f") * F.log2("f")).alias("s"))
+    return sums.select(*by, "events", (F.col("n") * F.log2("n") - F.col("s")).alias("message"), F.log2("events").alias("most"), (1 / F.col("events")).alias("uniform"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.storage import kept
+from .dictionary import indexed
+
 
 def line(rows: DataFrame, x: Column, y: Column) -> DataFrame:
     """(slope, intercept) by least squares."""
@@ -40,3 +43,36 @@ def gaussian_density(x: Column, mean: Column, deviation: Column) -> Column:
 
 def standardized(x: Column, mean: Column, deviation: Column) -> Column:
     return (x - mean) / F.when(deviation != 0, deviation)
+
+
+def order_medians(rows: DataFrame, x: str, tie: str) -> DataFrame:
+    """(x, m): each value with the median of its place among as many uniform ones."""
+    placed = indexed(rows.where(F.col(x).isNotNull()).select(x, tie), [x, tie], "place", 1)
+    n = F.broadcast(placed.agg(F.count("*").cast("double").alias("_n")))
+    last = F.pow(F.lit(0.5), 1 / F.col("_n"))
+    m = F.when(F.col("place") == F.col("_n"), last).when(F.col("place") == 1, 1 - last).otherwise((F.col("place") - 0.3175) / (F.col("_n") + 0.365))
+    return placed.crossJoin(n).select(x, tie, m.alias("m"))
+
+
+def covariances(points: DataFrame, vector: str = "v") -> DataFrame:
+    """(i, j, covariance) of the components of vectors of one length: sums of products, of which there are as many as pairs of components."""
+    at = points.select(F.col(vector).alias("v"), F.posexplode(vector).alias("i", "x"))
+    pairs = at.select("i", "x", F.posexplode("v").alias("j", "y"))
+    x, y = F.col("x").cast("double"), F.col("y").cast("double")
+    return pairs.groupBy("i", "j").agg((F.avg(x * y) - F.avg(x) * F.avg(y)).alias("covariance"))
+
+
+def rank_sums(rows: DataFrame, group: str, x: str) -> DataFrame:
+    """(group, n, w, u, z): sums of the mean ranks of a group's values among all, and how far they are from chance (Wilcoxon)."""
+    counts = rows.where(F.col(x).isNotNull()).groupBy(F.col(x).alias("f")).agg(F.count("*").alias("_many"))
+    # Sums of the smaller values' counts, by range and place.
+    part = kept(counts.repartitionByRange("f").withColumn("_part", F.spark_partition_id()), "ranks")
+    before = part.groupBy("_part").agg(F.sum("_many").alias("_in")).withColumn("_before", F.coalesce(F.sum("_in").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    own = F.sum("_many").over(Window.partitionBy("_part").orderBy("f").rowsBetween(Window.unboundedPreceding, -1))
+    ranks = part.withColumn("_own", F.coalesce(own, F.lit(0))).join(before.select("_part", "_before"), "_part")
+    ranks = ranks.select(F.col("f").alias(x), (F.col("_before") + F.col("_own") + (F.col("_many") + 1) / 2).alias("_rank"))
+    sums = rows.join(ranks, x).groupBy(group).agg(F.count("*").cast("double").alias("n"), F.sum("_rank").alias("w"))
+    whole = F.broadcast(counts.agg(F.sum("_many").cast("double").alias("_all")))
+    n, rest = F.col("n"), F.col("_all") - F.col("n")
+    u = F.col("w") - n * (n + 1) / 2
+    return sums.crossJoin(whole).select(group, "n", "w", u.alias("u"), ((u - n * rest / 2) / F.sqrt(n * rest * (F.col("_all") + 1) / 12)).alias("z"))

@@ -82,3 +82,28 @@ def trigram_slots(pairs: DataFrame, trigrams: DataFrame) -> DataFrame:
         part = F.broadcast(trigrams.select(*names, F.col(word).alias("t"))).join(pairs.where(F.col("dir") == side), "t").select(F.lit(slot).alias("slot"), *names, "b", "f")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def global_frequency_entropy(dense: DataFrame, bigrams: DataFrame) -> DataFrame:
+    """-log2 of a (f + 1)^e / N, for a line (ln a, e) fitted to log z over log(r + 1) of all bigrams; ``dense`` has n."""
+    z = _spread_counts(bigrams.select(F.lit("all").alias("dir"), F.col("f").cast("double").alias("f")))
+    line = z.agg(F.regr_slope(F.log("z"), F.log(F.col("r") + 1)).alias("e"), F.regr_intercept(F.log("z"), F.log(F.col("r") + 1)).alias("a"))
+    met = dense.crossJoin(F.broadcast(line))
+    return met.select("dir", "t", "b", (-(F.col("a") + F.col("e") * F.log(F.col("f") + 1)) / F.log(F.lit(2.0)) + F.log2("n")).alias("value"))
+
+
+def frequency_entropy_with_pointers(dense: DataFrame) -> DataFrame:
+    """``frequency_entropy``, and where it is above 0 half the bits of a pointer from target and bound to their partners."""
+    found = frequency_entropy(dense).join(dense.select("dir", "t", "b", "ft", "fb", "nzt", "nzb"), ["dir", "t", "b"])
+    pointers = -(F.log2(F.col("nzt") / F.col("ft")) + F.log2(F.col("nzb") / F.col("fb"))) / 2
+    return found.select("dir", "t", "b", (F.col("value") + F.when(F.col("value") > 0, pointers).otherwise(0.0)).alias("value"))
+
+
+def over_totals(profiled: DataFrame, total: str) -> DataFrame:
+    """A profile's weights over the count of the target (``ft``) or of the bound (``fb``) in the whole corpus."""
+    return profiled.select("dir", "t", "b", F.coalesce(F.col("f") / F.when(F.col(total) != 0, F.col(total)), F.lit(0.0)).alias("value"))
+
+
+def remapped_partners(partners: DataFrame, membership: DataFrame) -> DataFrame:
+    """(c, k): expected numbers of partners (w, k) when words are replaced by their classes (w, c, p)."""
+    return partners.join(membership, "w").groupBy("c").agg(F.sum(F.col("p") * F.col("k")).alias("k"))

@@ -53,3 +53,14 @@ def signature_model(stems: DataFrame, least: int = 1) -> DataFrame:
     letters = F.length(F.regexp_replace("signature", ",|NULL", "")) / F.col("suffixes")
     bits = F.log2(F.lit(26.0)) * (F.avg(F.length("stem")) * (F.max("suffixes") - 1) + F.max(letters) * (F.count("*") - 1))
     return stems.groupBy("signature").agg(F.count("*").alias("stems"), bits.alias("robustness")).where(F.col("stems") >= least)
+
+
+def acceptor(unigrams: DataFrame, edge: str, reverse: bool = False) -> DataFrame:
+    """(source, label, target, f): the arcs of the prefix (or suffix) acceptor of the words, an edge mark on either side; a state is the text that leads to it."""
+    word = F.reverse("w") if reverse else F.col("w")
+    each = unigrams.select(word.alias("w"), "f").select("w", "f", F.explode(F.sequence(F.lit(0), F.length("w") + 1)).alias("k"))
+    n = F.length("w")
+    source = F.when(F.col("k") == 0, F.lit("")).otherwise(F.concat(F.lit(edge), F.expr("substring(w, 1, k - 1)")))
+    label = F.when((F.col("k") == 0) | (F.col("k") > n), F.lit(edge)).otherwise(F.expr("substring(w, k, 1)"))
+    arcs = each.select(source.alias("source"), label.alias("label"), F.concat(source, label).alias("target"), "f")
+    return arcs.groupBy("source", "label", "target").agg(F.sum("f").alias("f"))

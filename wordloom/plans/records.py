@@ -156,6 +156,7 @@ _SEEDS = "WITH seeds AS (SELECT label AS cluster, CAST(arg_min(embedding, vec_id
 _CENTRED = "list_transform({0}, lambda x: x - list_avg({0}))"
 _R = "list_dot_product({0}, {1}) / sqrt(list_dot_product({0}, {0}) * list_dot_product({1}, {1}))".format(_CENTRED.format("v"), _CENTRED.format("c"))
 _BC = "list_sum(list_transform(list_zip(v, c), lambda z: sqrt(abs(z[1]) / list_sum(list_transform(v, lambda q: abs(q))) * abs(z[2]) / list_sum(list_transform(c, lambda q: abs(q))))))"
+_KL = "(SELECT sum({0} * ln(({0}) / ({1}))) FROM (SELECT unnest(list_zip(list_transform(v, lambda q: abs(q)), list_transform(c, lambda q: abs(q)))) AS z, list_sum(list_transform(v, lambda q: abs(q))) AS sv, list_sum(list_transform(c, lambda q: abs(q))) AS sc) WHERE z[1] > 0 AND z[2] > 0)"
 _DISTANCE = {
     "l1": "list_sum(list_transform(list_zip(v, c), lambda z: abs(z[1] - z[2]))) / len(v)",
     "l2": "list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) / len(v)",
@@ -165,14 +166,18 @@ _DISTANCE = {
     "absolute_pearson": f"1 - abs({_R})",
     "bhattacharyya": f"1 - {_BC}",
     "hellinger": f"0.5 * sqrt(greatest(2 - 2 * {_BC}, 0))",
+    "divergence": _KL.format("z[1] / sv", "z[2] / sc"),
+    "symmetric_divergence": "({} + {}) / 2".format(_KL.format("z[1] / sv", "z[2] / sc"), _KL.format("z[2] / sc", "z[1] / sv")),
 }
+_POSITIVE = {"bhattacharyya", "hellinger", "divergence", "symmetric_divergence"}
+"""Distances of distributions, which want no values below 0: they get absolute ones."""
 
 
 def _add_distance(name: str, sql: str) -> None:
     @query(f"dist_{name}", f"{_SEEDS} SELECT id, cluster, round({sql}, 6) + 0.0 AS d FROM pr")
     def _(s, d):
         points, seeds = _points(s, d).drop("cluster"), _seeds(s, d)
-        if name in ("bhattacharyya", "hellinger"):  # these want no values below 0
+        if name in _POSITIVE:
             points, seeds = points.withColumn("v", F.transform("v", F.abs)), seeds.withColumn("centre", F.transform("centre", F.abs))
         return clustering.distances_to(points, seeds, name).withColumn("d", F.round("d", 6) + F.lit(0.0))
 
@@ -227,20 +232,18 @@ def _(s, d):
 for _how in ("min", "max", "avg"):
 
     def _add_link(how: str) -> None:
-        @query(f"link_{how}", f"WITH few AS (SELECT label AS cluster, CAST(embedding AS DOUBLE[]) AS c FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings) WHERE k <= 5), pr AS (SELECT vec_id AS id, cluster, CAST(embedding AS DOUBLE[]) AS v, c FROM embeddings, few) SELECT id, cluster, round({how}({_DISTANCE['l1']}), 6) AS d FROM pr GROUP BY id, cluster")
+        @query(f"link_{how}", f"WITH pr AS (SELECT q.vec_id AS id, e.label AS cluster, CAST(q.embedding AS DOUBLE[]) AS v, CAST(e.embedding AS DOUBLE[]) AS c FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0) SELECT id, cluster, round({how}({_DISTANCE['l1']}), 6) AS d FROM pr GROUP BY id, cluster")
         def _(s, d):
-            from pyspark.sql import Window
-
+            """Every fiftieth vector against all members of every label."""
             points = _points(s, d)
-            few = points.withColumn("k", F.row_number().over(Window.partitionBy("cluster").orderBy("id"))).where("k <= 5").drop("k", "id")
-            return clustering.links(kept(few, "prototypes"), points, "l1", how).select("id", "cluster", F.round("d", 6).alias("d"))
+            return clustering.member_links(points.where("id % 50 = 0"), points, "l1", how).select("id", "cluster", F.round("d", 6).alias("d"))
 
     _add_link(_how)
 
 for _how, _sql in clustering.MEMBERSHIP.items():
 
     def _add_membership(how: str, sql: str) -> None:
-        @query(f"d2p_{how}", f"{_SEEDS}, ds AS (SELECT id, cluster, {_DISTANCE['l2']} AS d FROM pr), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, cluster) AS rank, min(d) OVER () AS dmin, max(d) OVER () AS dmax, 1.5 AS beta FROM ds), q AS (SELECT id, cluster, CAST({sql} AS DOUBLE) AS x FROM r WHERE rank <= 4) SELECT id, cluster, round(x / nullif(sum(x) OVER (PARTITION BY id), 0), 6) AS p FROM q")
+        @query(f"d2p_{how}", f"{_SEEDS}, ds AS (SELECT id, cluster, {_DISTANCE['l2']} AS d FROM pr), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, cluster) AS rank, min(d) OVER () AS dmin, max(d) OVER () AS dmax, min(CASE WHEN d > 0 THEN d END) OVER () AS dpos, 1.5 AS beta FROM ds), q AS (SELECT id, cluster, CAST({sql} AS DOUBLE) AS x FROM r WHERE rank <= 4) SELECT id, cluster, round(x / nullif(sum(x) OVER (PARTITION BY id), 0), 6) AS p FROM q")
         def _(s, d):
             return clustering.membership(clustering.distances_to(_points(s, d).drop("cluster"), _seeds(s, d), "l2"), how, 4, 1.5).withColumn("p", F.round("p", 6))
 
