@@ -29,6 +29,47 @@ def test_classifier_on_odd_rows(spark, odd_docs, no_docs):
     assert {r["score"] for r in none} == {0.5}
 
 
+def slow_score(net, text):
+    """The network by plain loops: filters, half chunks, overlapping chunks, pools, weights."""
+    data = (text or "").encode("utf-8", "surrogatepass")
+    pools = np.zeros((2, quality_model.FILTERS))
+    if data:
+        half = quality_model.CHUNK // 2
+        padded = data + b"\0" * (quality_model.WIDTH - 1)
+        values = [[float(sum(net.table[k, padded[i + k], f] for k in range(quality_model.WIDTH))) for f in range(quality_model.FILTERS)] for i in range(len(data))]
+        halves = [[max(v[f] for v in values[a : a + half]) for f in range(quality_model.FILTERS)] for a in range(0, len(data), half)]
+        chunks = [[max(x, y) for x, y in zip(a, b, strict=True)] for a, b in zip(halves, halves[1:], strict=False)] or halves
+        active = [[max(x + float(net.bias[f]), 0.0) for f, x in enumerate(c)] for c in chunks]
+        pools = np.array([[sum(c[f] for c in active) / len(active) for f in range(quality_model.FILTERS)], [max(c[f] for c in active) for f in range(quality_model.FILTERS)]])
+    return 1 / (1 + np.exp(-(float((pools * net.weights).sum()) + net.offset)))
+
+
+def test_score_against_plain_loops(spark, documents):
+    net = quality_model.fit(documents, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    docs = documents.where("doc_id < 25").unionByName(spark.createDataFrame([(900, "", "en", "s", 0), (901, None, "en", "s", 0), (902, "x", "en", "s", 1)], documents.schema))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in quality_model.scored(docs, net).collect():
+        assert np.isclose(r["score"], slow_score(net, (texts[r["doc_id"]])), atol=1e-4)
+
+
+def test_long_texts_are_learned_from_end_to_end(spark):
+    from pyspark.sql import functions as F
+
+    size = quality_model.SAMPLE_BYTES
+    data = bytes(i % 251 for i in range(3 * size + 77))
+    out = spark.createDataFrame([(bytearray(data),), (bytearray(data[:size]),), (bytearray(b""),)], "b binary").select(quality_model.spread(F.col("b")).alias("s")).collect()
+    piece = 2 * quality_model.CHUNK
+    many = size // piece
+    want = b"".join(data[int(i * (len(data) - piece) / (many - 1)) :][:piece] for i in range(many))
+    assert [bytes(r["s"]) for r in out] == [want, data[:size], b""] and want.endswith(data[-piece:])
+
+
+def test_labels_of_one_document(spark):
+    docs = spark.createDataFrame([(i, t) for i in (0, 2, 5, 6) for t in ("good words here " * 30, "a") * 50], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (0, 0), (2, 1), (2, 1), (5, 0)], "doc_id long, quality int")
+    assert quality_model.fit(docs, labels).offset == quality_model.fit(docs.dropDuplicates(), labels.where("doc_id > 0")).offset
+
+
 def test_chunks_cover_the_whole_text():
     net = quality_model.train([b"aaaa " * 200, b"zz!! " * 200], [1, 0], 0.5)
     clean = "aaaa " * 2000
