@@ -214,6 +214,34 @@ def test_embeddings_against_brute_force(spark):
     assert embedding_dedup.linked(frame.limit(0)).count() == 0
 
 
+def test_recall_across_many_ranges(spark, monkeypatch):
+    """Pairs of cosine 0.98 to 0.99 in one concentrated label, over many short ranges of the sorted table."""
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=48)
+    rows, wanted = [], []
+    for i in range(500):
+        a = centre * 0.8 + rng.normal(size=48)
+        a /= np.linalg.norm(a)
+        off = rng.normal(size=48)
+        off -= (off @ a) * a
+        cosine = rng.uniform(0.981, 0.99)
+        rows += [a, cosine * a + np.sqrt(1 - cosine**2) * off / np.linalg.norm(off)]
+        wanted.append((2 * i, 2 * i + 1))
+    frame = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(rows)], "vec_id long, embedding array<double>, label int")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        nodes = embedding_dedup.distinct_vectors(frame, "embedding", "label").select("node", "least", "label", "dim", "vec")
+        names = {r["node"]: r["least"] for r in nodes.collect()}
+        part = {names[r["node"]]: names[r["component"]] for r in connected_components(embedding_dedup.pass_edges(nodes)).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    found = sum(a in part and part[a] == part.get(b) for a, b in wanted)
+    assert found >= 0.98 * len(wanted)
+
+
 def test_chains():
     x, y = np.array([0, 10, 20, 30, 5]), np.array([0, 10, 20, 30, 90])
     assert best(x, y) == [0, 1, 2, 3]

@@ -2,7 +2,8 @@
 
 In each pass every vector gets a key of concatenated random hashes, the signs of
 random projections.  Vectors are put in the order of their keys, each is
-compared with the ``NEIGHBOURS`` that follow it, and pairs of a cosine of at
+compared with the ``NEIGHBOURS`` that follow it, those in the next range of the
+sorted table among them, and pairs of a cosine of at
 least the threshold are united over all passes.  Equal vectors are one row from
 the start.  The number of links is then counted exactly within each component,
 block by block, so groups larger than the window lose none.
@@ -21,7 +22,7 @@ from .common import map_batches, stored
 from .components import connected_components
 from .tiles import over_tiles, tiled
 
-COSINE, PASSES, BITS, NEIGHBOURS = 0.98, 12, 24, 32
+COSINE, PASSES, BITS, NEIGHBOURS = 0.98, 12, 62, 32
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -72,6 +73,8 @@ def pass_edges(nodes: DataFrame, cosine: float = COSINE, passes: int = PASSES, b
                 for p in range(passes):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), p, np.int32)), part["label"], part["dim"], pa.array(all_keys[:, p]), part["node"], part["vec"]], names=["pass", "label", "dim", "key", "node", "vec"])
 
+    order = ["seam", "pass", "label", "dim", "key", "node"]
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
         held: pa.Table | None = None
@@ -80,8 +83,11 @@ def pass_edges(nodes: DataFrame, cosine: float = COSINE, passes: int = PASSES, b
                 continue
             fresh = pa.Table.from_batches([batch])
             t = fresh if held is None else pa.concat_tables([held, fresh])
-            of = {c: t[c].to_numpy() for c in ("pass", "label", "dim", "node")}
-            same = np.cumsum(np.concatenate([[False], (of["pass"][1:] != of["pass"][:-1]) | (of["label"][1:] != of["label"][:-1]) | (of["dim"][1:] != of["dim"][:-1])]))
+            of = {c: t[c].to_numpy() for c in (*order[:4], "node")}
+            apart = np.zeros(max(0, t.num_rows - 1), bool)
+            for c in order[:4]:
+                apart |= of[c][1:] != of[c][:-1]
+            same = np.cumsum(np.concatenate([[False], apart]))
             vecs = t["vec"].to_pylist()
             label = np.arange(t.num_rows)
             for g in np.unique(same).tolist():
@@ -108,8 +114,57 @@ def pass_edges(nodes: DataFrame, cosine: float = COSINE, passes: int = PASSES, b
             held = t.slice(max(0, t.num_rows - neighbours)).combine_chunks()
 
     keyed = nodes.select("node", "label", "dim", "vec").mapInArrow(keys, f"pass int, label {kind}, dim int, key long, node long, vec binary")
-    dealt = stored(keyed, "keys").repartitionByRange("pass", "label", "dim", "key", "node").sortWithinPartitions("pass", "label", "dim", "key", "node")
-    return dealt.mapInArrow(compare, "a long, b long")
+    ranges = stored(keyed, "keys").repartitionByRange(*order[1:]).sortWithinPartitions(*order[1:]).withColumn("seam", F.spark_partition_id())
+    columns = ranges.columns
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Edges, and beside them the rows at the ends of the range."""
+        ends, names = _Ends(neighbours), ["a", "b", *columns]
+
+        def watched() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    ends.add(batch)
+                    yield batch
+
+        for found in compare(watched()):
+            yield pa.RecordBatch.from_arrays([*found.columns, *(pa.nulls(found.num_rows, t) for t in ends.types)], names=names)
+        for t in ends.rows():
+            nothing = pa.nulls(t.num_rows, pa.int64())
+            yield from pa.Table.from_arrays([nothing, nothing, *(t[c] for c in columns)], names=names).combine_chunks().to_batches()
+
+    made = stored(ranges.mapInArrow(both, "a long, b long, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranges.schema)), "compared")
+    # Rows within a window of a range's end meet those on the other side of the seam.
+    across = made.where("a is null").select(*columns).repartition("seam").sortWithinPartitions(*order).mapInArrow(compare, "a long, b long")
+    return made.where("a is not null").select("a", "b").unionByName(across)
+
+
+class _Ends:
+    """The first and the last ``size`` rows of a range, for the seams before and after it; a shorter range goes to one seam more."""
+
+    def __init__(self, size: int):
+        self.size, self.seen = size, 0
+        self.first: list[pa.Table] = []
+        self.last: pa.Table | None = None
+        self.types: list[pa.DataType] = []
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        t = pa.Table.from_batches([batch])
+        self.types = t.schema.types
+        if self.seen < self.size:
+            self.first.append(t.slice(0, self.size - self.seen))
+        self.seen += t.num_rows
+        joined = t if self.last is None else pa.concat_tables([self.last, t])
+        self.last = joined.slice(max(0, joined.num_rows - self.size)).combine_chunks()
+
+    def rows(self) -> Iterator[pa.Table]:
+        if self.last is None:
+            return
+        own = self.last["seam"][0].as_py()
+        seams = [(self.first, own - 1), ([self.last], own)] + ([([self.last], own - 2)] if self.seen < self.size else [])
+        for parts, seam in seams:
+            t = pa.concat_tables(parts)
+            yield t.set_column(t.schema.get_field_index("seam"), "seam", pa.array(np.full(t.num_rows, seam, np.int32)))
 
 
 def linked(rows: DataFrame, vector: str = "embedding", group: str = "label", cosine: float = COSINE) -> DataFrame:
