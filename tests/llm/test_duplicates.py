@@ -350,9 +350,10 @@ def test_common_phrases_hide_no_passage(spark):
     assert {(r["start_word"], r["n_words"]) for r in rows} == {(30, 84)}
 
 
-@pytest.mark.parametrize("margin", [120, 3])
-def test_every_place_of_a_passage(spark, monkeypatch, margin):
+@pytest.mark.parametrize(("margin", "few"), [(40, 2_000_000), (3, 0)])
+def test_every_place_of_a_passage(spark, monkeypatch, margin, few):
     monkeypatch.setattr(chained_passages, "MARGIN", margin)
+    monkeypatch.setattr(chained_passages, "FEW", few)
     rng = random.Random(32)
     some = lambda n: [words_for(rng) for _ in range(n)]
     passage = some(60)
