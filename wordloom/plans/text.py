@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..functions.storage import kept, table
-from ..operators import corpus, dictionary, distribution, evaluation, fitting, hmm, language_model, profiles, trie
+from ..operators import corpus, dictionary, distribution, evaluation, fitting, hmm, hmm_tables, language_model, profiles, trie
 from .registry import query
 
 
@@ -459,19 +459,63 @@ def _(s, d):
 # Models that SQL cannot express.
 
 
+_TAGS = ", lx AS (SELECT doc_id, sid, pos, w, lang || CASE WHEN length(w) <= 3 THEN '_short' ELSE '_long' END AS tag FROM tok)"
+
+
+def _word_tags(s, d):
+    """A tag for each word, which varies within sentences: the language and whether the word is short."""
+    return toks(s, d).withColumn("tag", F.concat("lang", F.when(F.length("w") <= 3, "_short").otherwise("_long")))
+
+
 def _model(s, d):
-    t = tagged(s, d)
+    t = _word_tags(s, d)
     emissions, transitions = hmm.supervised_counts(t.select("doc_id", "sid", "pos", "w", "tag"), ["doc_id", "sid"])
-    return hmm.compiled(emissions, transitions, 20_000)
+    return hmm_tables.compiled(kept(emissions, "lexicon"), kept(transitions, "moves"))
+
+
+@query("hmm_transitions", _TAGS + """, x AS (SELECT doc_id, sid, list_concat(['__$'], list(tag ORDER BY pos), ['__$']) AS p FROM lx GROUP BY doc_id, sid), y AS (SELECT doc_id, sid, unnest(p) AS t, generate_subscripts(p, 1) AS k FROM x),
+m AS (SELECT t1, t2, count(*) AS f FROM (SELECT t AS t1, lead(t) OVER (PARTITION BY doc_id, sid ORDER BY k) AS t2 FROM y) WHERE t2 IS NOT NULL GROUP BY ALL),
+g AS (SELECT a.t1, b.t2, coalesce(m.f, 0) AS f FROM (SELECT DISTINCT t1 FROM m) a CROSS JOIN (SELECT DISTINCT t2 FROM m) b LEFT JOIN m ON m.t1 = a.t1 AND m.t2 = b.t2 WHERE NOT (a.t1 = '__$' AND b.t2 = '__$')),
+q AS (SELECT t1, t2, f + 0.01 * (SELECT min(f) FROM m) AS f FROM g) SELECT t1, t2, round(CAST(f / sum(f) OVER (PARTITION BY t1) AS DOUBLE), 9) AS p FROM q""", "tok")
+def _(s, d):
+    """Transition probabilities, smoothed by a hundredth of the least joint one."""
+    t = _word_tags(s, d)
+    moves = hmm.supervised_counts(t.select("doc_id", "sid", "pos", "w", "tag"), ["doc_id", "sid"])[1]
+    return hmm_tables.transition_probabilities(kept(moves, "moves")).withColumn("p", F.round("p", 9))
+
+
+@query("hmm_emissions", _TAGS + """, l AS (SELECT w, tag, count(*) AS f FROM lx GROUP BY ALL), s AS (SELECT sum(f) AS n, min(f) AS m, count(DISTINCT w) AS v FROM l), o AS (SELECT tag, sum(f) AS ft FROM l GROUP BY tag)
+SELECT g.w, g.tag, round(CAST((coalesce(l.f, 0) + 0.01 * s.m) / (g.ft + 0.01 * s.m * s.v) AS DOUBLE), 9) AS p FROM (SELECT w, tag, ft FROM (SELECT DISTINCT w FROM l), o) g LEFT JOIN l ON l.w = g.w AND l.tag = g.tag, s""", "tok")
+def _(s, d):
+    """Emission probabilities of every word under every tag, smoothed likewise."""
+    lex = kept(_word_tags(s, d).groupBy("w", "tag").agg(F.count("*").alias("f")), "lexicon")
+    return hmm_tables.emission_probabilities(lex).withColumn("p", F.round("p", 9))
+
+
+@query("hmm_best_tags", _LEX + ", r AS (SELECT w, tag, f / sum(f) OVER (PARTITION BY w) AS p, row_number() OVER (PARTITION BY w ORDER BY f DESC, tag) AS rank FROM lex) SELECT w, tag, round(p, 9) AS p, CAST(rank AS BIGINT) AS rank FROM r WHERE rank <= 2", "tok")
+def _(s, d):
+    return hmm_tables.best_tags(kept(tagged(s, d).groupBy("w", "tag").agg(F.count("*").alias("f")), "lexicon"), 2).withColumn("p", F.round("p", 9))
+
+
+@query("hmm_restricted", _LEX + ", r AS (SELECT *, sum(f) OVER (PARTITION BY w) AS n FROM lex) SELECT w, tag, f FROM r WHERE f >= 0.3 * n", "tok")
+def _(s, d):
+    """Words without their rare tags."""
+    return hmm_tables.restricted(kept(tagged(s, d).groupBy("w", "tag").agg(F.count("*").alias("f")), "lexicon"), 0.3)
 
 
 @query("hmm_viterbi")
 def _(s, d):
-    """Every sentence tagged with the languages of its words by a supervised model."""
-    return hmm.tagged(sents(s, d), _model(s, d), ["doc_id", "sid"]).withColumn("logp", F.round("logp", 6))
+    """The likeliest tags of every sentence under a supervised model of the whole vocabulary."""
+    return hmm_tables.tagged(sents(s, d), _model(s, d), ["doc_id", "sid"]).withColumn("logp", F.round("logp", 6))
+
+
+@query("hmm_posterior")
+def _(s, d):
+    """The likeliest tag of each place of every sentence by itself."""
+    return hmm_tables.tagged(sents(s, d), _model(s, d), ["doc_id", "sid"], "posterior").withColumn("logp", F.round("logp", 6))
 
 
 @query("hmm_reestimate")
 def _(s, d):
-    """Expected counts of one round of re-estimation over every sentence."""
-    return hmm.expected_counts(sents(s, d), _model(s, d)).where("kind <> 'b'").withColumn("f", F.round("f", 4))
+    """Expected counts of one round of re-estimation over every sentence, emissions of every word among them."""
+    return hmm_tables.expected_counts(sents(s, d), _model(s, d), ["doc_id", "sid"]).withColumn("f", F.round("f", 4))
