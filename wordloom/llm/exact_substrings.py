@@ -31,6 +31,8 @@ MATCH, GRAM = 400, 16
 """Bytes of a string that must repeat, where nothing else is asked for; and those that a minimizer is chosen by."""
 SHARD = 1 << 20
 """Bytes of a shard, about; keys with more are split."""
+FEW = 2_000_000
+"""Most keys found twice, of 8 bytes each, that are broadcast; more are joined by a shuffle."""
 BLOCK = 1 << 22
 """Windows of a text that are searched at once."""
 
@@ -45,10 +47,9 @@ def cells(match: int) -> list[int]:
     most = (match - GRAM) // 2
     if most < 1:
         raise ValueError(f"strings must have more than {GRAM + 1} bytes")
-    size = max(m << k for m in (1, 3) for k in range(32) if m << k <= max(most, m))
-    out = [min(size, most)]
+    out = [most]
     while out[-1] > 1:
-        out.append(out[-1] // 2 if out[-1] % 2 == 0 else 1)
+        out.append(next((out[-1] // p for p in (2, 3, 5, 7) if out[-1] % p == 0), 1))
     return out
 
 
@@ -241,7 +242,7 @@ def repeated_spans(docs: DataFrame, match: int = MATCH) -> DataFrame:
     """(doc, body, spans): for each text the (from, to) bytes that repeated strings cover, unmerged."""
     occ = stored(occurrences(docs, match), "segments")
     often = stored(occ.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "keys")
-    shared = stored(occ.join(often, "key"), "shared")
+    shared = stored(occ.join(F.broadcast(often) if often.count() <= FEW else often, "key"), "shared")
     contents = stored(shared.groupBy("key", "content").agg(F.count("*").alias("n"), F.max("windows").alias("windows"), F.min(F.struct("doc", "body", "start", "before")).alias("at")), "contents")
     several = stored(contents.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "several")
     rows = stored(_fetched(docs, contents.join(several, "key"), match), "bytes")
