@@ -91,8 +91,11 @@ AGGREGATES: dict[str, Callable[[Column], Column]] = {
     "avg": lambda x: F.coalesce(F.avg(x), F.lit(0.0)),
     "var": lambda x: F.coalesce(F.var_pop(x), F.lit(0.0)),
     "stddev": lambda x: F.coalesce(F.stddev_pop(x), F.lit(0.0)),
+    "med": lambda x: F.coalesce(F.median(x), F.lit(0.0)),
+    "mvar": lambda x: F.coalesce(F.abs(F.avg(x * x) - F.pow(F.median(x), F.lit(2))), F.lit(0.0)),
+    "mdev": lambda x: F.coalesce(F.sqrt(F.abs(F.avg(x * x) - F.pow(F.median(x), F.lit(2)))), F.lit(0.0)),
 }
-"""Aggregates of a group that need one pass; a group function without a name is ``max``."""
+"""Aggregates as expressions; a group function without a name is ``max``.  ``aggregated`` takes the last three from ``medians``, whatever a group's size."""
 
 
 def medians(rows: DataFrame, by: list[str], value: str) -> DataFrame:
