@@ -22,15 +22,34 @@ def read_corpus(spark: SparkSession, path: str, fmt: str | None = None) -> DataF
     return readers[fmt](spark, path)
 
 
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, split, at, value): the lines of text files; a file's lines are in the order of (split, at).
+
+    A split is where Spark begins to read a part of a file, so large files are
+    read by many tasks.
+    """
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split")]
+    return spark.read.text(path).select(*place, F.monotonically_increasing_id().alias("at"), "value")
+
+
 def read_tt(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """One token a line, fields between tabs, empty lines between sentences, lines that start with %% ignored."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.regexp_replace("value", r"(?m)^%%.*(?:\n|\z)", "").alias("value"))
-    parts = files.select("file", F.posexplode(F.split("value", r"\n[ \t]*(?:\n[ \t]*)*\n|\n[ \t]*\z")).alias("sid", "part")).where(F.col("part").rlike(r"\S"))
-    lines = F.filter(F.split("part", "\n"), lambda x: x.rlike(r"\S"))
-    fields = lambda x: F.transform(F.split(x, "\t"), lambda y: F.trim(y))
-    toks = F.transform(F.transform(lines, fields), lambda x: F.struct(F.get(x, F.lit(0)).alias("text"), F.get(x, F.lit(1)).alias("tag"), F.slice(x, 3, F.greatest(F.size(x) - 2, F.lit(0))).alias("details")))
-    order = Window.partitionBy("file").orderBy("sid")  # sentences of one file
-    return parts.select("file", "sid", toks.alias("toks")).withColumn("sid", F.row_number().over(order).cast("long"))
+    """One token a line, fields between tabs, empty lines between sentences, lines that start with %% ignored.
+
+    Sentences are numbered by the starts in their own split and the number of
+    starts in the splits before it; one may go on over splits.
+    """
+    lines = numbered_lines(spark, path).where(~F.col("value").startswith("%%")).withColumn("blank", ~F.col("value").rlike(r"\S"))
+    in_split = Window.partitionBy("file", "split").orderBy("at")
+    marked = lines.withColumn("start", (~F.col("blank") & F.coalesce(F.lag("blank").over(in_split), F.lit(True))).cast("long"))
+    splits = marked.groupBy("file", "split").agg(F.sum("start").alias("starts"), F.min_by("blank", "at").alias("first"), F.max_by("blank", "at").alias("last"))
+    in_file = Window.partitionBy("file").orderBy("split")  # a row for each split
+    goes_on = (~F.col("first") & ~F.coalesce(F.lag("last").over(in_file), F.lit(True))).cast("long")
+    splits = splits.withColumn("on", goes_on).withColumn("before", F.sum(F.col("starts") - F.col("on")).over(in_file) - F.col("starts"))
+    placed = marked.withColumn("start", F.sum("start").over(in_split)).where("not blank").join(splits.select("file", "split", "before"), ["file", "split"])
+    fields = F.transform(F.split("value", "\t"), lambda y: F.trim(y))
+    token = F.struct(F.get(fields, F.lit(0)).alias("text"), F.get(fields, F.lit(1)).alias("tag"), F.slice(fields, 3, F.greatest(F.size(fields) - 2, F.lit(0))).alias("details"))
+    each = placed.select("file", (F.col("before") + F.col("start")).alias("sid"), F.struct("split", "at", token.alias("token")).alias("x"))
+    return each.groupBy("file", "sid").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["token"]).alias("toks"))
 
 
 def write_tt(sents: DataFrame, path: str, by: list[str]) -> None:
@@ -109,11 +128,14 @@ def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
 
 def read_ngrams(spark: SparkSession, path: str, n: int) -> DataFrame:
     """(w1..wn, f) from a file whose empty fields repeat the row above; a file is filled down on its own."""
-    files = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("at", "line"), F.input_file_name().alias("file"))
-    rows = files.where(F.col("line").rlike(r"\S") & ~F.col("line").startswith("%%")).select("file", "at", F.split("line", "\t").alias("c"))
-    order = Window.partitionBy("file").orderBy("at")
-    filled = [F.last(F.when(F.get("c", F.lit(i)) != "", F.get("c", F.lit(i))), ignorenulls=True).over(order).alias(f"w{i + 1}") for i in range(n)]
-    return rows.select(*filled, F.get("c", F.lit(n)).cast("double").alias("f"))
+    lines = numbered_lines(spark, path).where(F.col("value").rlike(r"\S") & ~F.col("value").startswith("%%")).withColumn("c", F.split("value", "\t"))
+    cell = lambda i: F.when(F.get("c", F.lit(i)) != "", F.get("c", F.lit(i)))
+    # What is filled down comes from the split itself, or from the last one before it that has such a cell.
+    in_split, in_file = Window.partitionBy("file", "split").orderBy("at"), Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    ends = lines.groupBy("file", "split").agg(*[F.max_by(cell(i), F.when(cell(i).isNotNull(), F.col("at"))).alias(f"e{i}") for i in range(n)])
+    ends = ends.select("file", "split", *[F.last(f"e{i}", ignorenulls=True).over(in_file).alias(f"e{i}") for i in range(n)])
+    filled = lines.select("file", "split", "c", *[F.last(cell(i), ignorenulls=True).over(in_split).alias(f"o{i}") for i in range(n)])
+    return filled.join(ends, ["file", "split"]).select(*[F.coalesce(f"o{i}", f"e{i}").alias(f"w{i + 1}") for i in range(n)], F.get("c", F.lit(n)).cast("double").alias("f"))
 
 
 def write_ngrams(grams: DataFrame, path: str, n: int) -> None:
