@@ -155,3 +155,67 @@ def read_variables(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.text(path, wholetext=True).select(F.explode(F.split(F.regexp_replace("value", r"[ \t]*\\\n[ \t]*", " "), "\n")).alias("line"))
     pattern = r"^\s*([\w.\-]+)\s*(\?=|:=|\+=|=)\s*([^#]*?)\s*(?:#.*)?$"
     return files.where(F.col("line").rlike(pattern)).select(*[F.regexp_extract("line", pattern, i + 1).alias(c) for i, c in enumerate(("name", "op", "value"))])
+
+
+def write_map(pairs: DataFrame, path: str) -> None:
+    """Rows (k, v) as lines of a key, a tab and a value."""
+    pairs.select(F.concat_ws("\t", F.col("k").cast("string"), F.col("v").cast("string")).alias("value")).write.text(path)
+
+
+def read_map(spark: SparkSession, path: str) -> DataFrame:
+    """(k, v); a line without a tab has no value, empty lines and those that start with %% are ignored."""
+    lines = spark.read.text(path).where(F.col("value").rlike(r"\S") & ~F.col("value").startswith("%%"))
+    cells = F.split("value", "\t", 2)
+    return lines.select(F.get(cells, F.lit(0)).alias("k"), F.get(cells, F.lit(1)).alias("v"))
+
+
+def write_set(rows: DataFrame, column: str, path: str) -> None:
+    """The different values of a column, one a line."""
+    rows.select(F.col(column).cast("string").alias("value")).where("value is not null").distinct().write.text(path)
+
+
+def read_set(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).where(F.col("value").rlike(r"\S")).select(F.col("value").alias("k")).distinct()
+
+
+def write_enum(enum: DataFrame, path: str) -> None:
+    """A dictionary (sym, id) as lines of an id, a tab and a symbol."""
+    write_map(enum.select(F.col("id").alias("k"), F.col("sym").alias("v")), path)
+
+
+def read_enum(spark: SparkSession, path: str) -> DataFrame:
+    """(sym, id); where an id or a symbol comes twice, the least of the other stays."""
+    pairs = read_map(spark, path).select(F.col("v").alias("sym"), F.col("k").cast("long").alias("id")).where("sym is not null and id is not null")
+    return pairs.groupBy("sym").agg(F.min("id").alias("id")).groupBy("id").agg(F.min("sym").alias("sym")).select("sym", "id")
+
+
+def write_hmm(lex: DataFrame, moves: DataFrame, path: str) -> None:
+    """A hidden Markov model as its counts: a lexicon (w, tag, f) and bigrams (t1, t2, f) of tags."""
+    write_lexicon(lex, f"{path}.lex")
+    write_ngrams(moves.select(F.col("t1").alias("w1"), F.col("t2").alias("w2"), "f"), f"{path}.123", 2)
+
+
+def read_hmm(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """((w, tag, f), (t1, t2, f)) of ``path``.lex and ``path``.123."""
+    moves = read_ngrams(spark, f"{path}.123", 2)
+    return read_lexicon(spark, f"{path}.lex"), moves.select(F.col("w1").alias("t1"), F.col("w2").alias("t2"), "f")
+
+
+def write_matrix(cells: DataFrame, path: str, row: str, column: str, value: str, columns: list[str]) -> None:
+    """Cells as a dense table: a line for each row with its name and a value, 0 where there is none, for each of the named columns; a header first.
+
+    The header is a file of its own, ``path``/header.
+    """
+    spark = cells.sparkSession
+    spark.createDataFrame([("\t".join([row, *columns]),)], "value string").coalesce(1).write.text(f"{path}/header")
+    wide = cells.groupBy(row).pivot(column, columns).agg(F.first(value))
+    line = F.concat_ws("\t", F.col(row).cast("string"), *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).cast("string") for c in columns])
+    wide.select(line.alias("value")).write.text(f"{path}/rows")
+
+
+def read_matrix(spark: SparkSession, path: str) -> DataFrame:
+    """(row, column, value) of the cells of a dense table that are not 0."""
+    names = spark.read.text(f"{path}/header").first()["value"].split("\t")[1:]
+    cells = spark.read.text(f"{path}/rows").select(F.split("value", "\t").alias("c"))
+    each = cells.select(F.get("c", F.lit(0)).alias("row"), F.posexplode(F.slice("c", 2, len(names))).alias("at", "x"))
+    return each.select("row", F.get(F.lit(names), F.col("at")).alias("column"), F.col("x").cast("double").alias("value")).where("value <> 0")
