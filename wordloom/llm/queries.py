@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_automaton, chained_passages, embedding_dedup, exact_substrings, line_dedup, packing, perplexity, quality_model, simhash, simple8b
+from . import bit_search, bpe_automaton, chained_passages, embedding_dedup, exact_substrings, lexical_search, line_dedup, packing, perplexity, quality_model, simhash, simple8b, spelling_groups
 from .common import table
 from .token_cache import default_path
 
@@ -51,6 +51,18 @@ def op10_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_reversed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bit_search.neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def op13_trie_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups.grouped(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_network": op1_byte_network,
@@ -63,8 +75,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_suffix_arrays": op9_suffix_arrays,
         "op10_covering_simhash": op10_covering_simhash,
+        "op11_reversed_search": op11_reversed_search,
+        "op12_one_bit_codes": op12_one_bit_codes,
+        "op13_trie_frontier": op13_trie_frontier,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_windows": line_dedup.SQL}
+    return {"op5_line_windows": line_dedup.SQL, "op11_reversed_search": lexical_search.SQL, "op13_trie_frontier": spelling_groups.SQL}
