@@ -51,14 +51,43 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again, which cuts its lineage.
 
     The files outlive lost executors.  They stay until the folder is cleared,
-    as the returned frame reads them lazily.
+    as the returned frame reads them lazily, or until the ``passing`` block ends
+    in which they are written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/wordloom/{name}-{uuid.uuid4().hex}"
+    if _PASSING:
+        _PASSING[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_PASSING: list[list[str]] = []
+"""For each open ``passing`` block, what was written in it."""
+
+
+@contextlib.contextmanager
+def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables stored in the block are deleted at its end; what the given function stores stays, as tables stored outside do."""
+    written: list[str] = []
+    _PASSING.append(written)
+
+    def lasting(df: DataFrame, name: str) -> DataFrame:
+        held = _PASSING.pop()
+        try:
+            return stored(df, name)
+        finally:
+            _PASSING.append(held)
+
+    try:
+        yield lasting
+    finally:
+        _PASSING.remove(written)
+        for path in written:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[dict], Iterator[dict]]], schema: str, memory: str = "") -> DataFrame:
     """Apply a Python function to Arrow batches.
 

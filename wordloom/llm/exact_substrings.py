@@ -17,14 +17,16 @@ window.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from .common import map_batches, stored
+from .common import map_batches, passing, stored
 from .suffix_array import common_prefixes, suffix_array
 
 MATCH, GRAM = 400, 16
@@ -39,6 +41,7 @@ BLOCK = 1 << 22
 _NO_ID = -(1 << 63)
 
 
+@functools.cache
 def cells(match: int) -> list[int]:
     """Distances in a cell, at each level of splitting; each divides the one before.
 
@@ -82,8 +85,6 @@ def _runs(data: np.ndarray, first: int, end: int, match: int) -> tuple[np.ndarra
 
 def segments(text: bytes, place: int, first: int, last: int, level: int, base: int = 0, match: int = MATCH) -> Iterator[tuple[int, bytes, int, int]]:
     """(key, content's digest, first start, windows) for each cell of a run; ``base`` is taken off the places to find bytes."""
-    from xxhash import xxh3_64_intdigest, xxh3_128_digest
-
     cell = cells(match)[level]
     for c in range((place - last) // cell, (place - first) // cell + 1):
         a, b = max(first, place - c * cell - cell + 1), min(last, place - c * cell)
@@ -104,18 +105,28 @@ def occurrences(docs: DataFrame, match: int = MATCH) -> DataFrame:
             if not batch:
                 return
             names = ("doc", "body", "key", "content", "start", "windows", "before")
-            rows: list[tuple] = []
+            out: dict[str, list] = {c: [] for c in names}
+            keys, contents, starts, windows, before = (out[c] for c in names[2:])
             for doc, body, text in zip(batch["doc"], batch["body"], batch["text"], strict=True):
                 data = _as_bytes(text)
                 if len(data) < match:
                     continue
+                had = len(keys)
                 for place, a, b in zip(*(x.tolist() for x in minimizer_runs(np.frombuffer(data, np.uint8), match)), strict=True):
-                    rows += [(doc, body, *s, place - s[2]) for s in segments(data, place, a, b, 0, match=match)]
-                if len(rows) > 50_000:
-                    yield dict(zip(names, map(list, zip(*rows, strict=True)), strict=True))
-                    rows = []
-            if rows:
-                yield dict(zip(names, map(list, zip(*rows, strict=True)), strict=True))
+                    for key, content, start, many in segments(data, place, a, b, 0, match=match):
+                        keys.append(key)
+                        contents.append(content)
+                        starts.append(start)
+                        windows.append(many)
+                        before.append(place - start)
+                out["doc"] += [doc] * (len(keys) - had)
+                out["body"] += [body] * (len(keys) - had)
+                if len(keys) > 50_000:
+                    yield out
+                    for v in out.values():
+                        v.clear()
+            if keys:
+                yield out
 
         return step
 
@@ -240,14 +251,17 @@ def _marked(rows: DataFrame, level: int, match: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, match: int = MATCH) -> DataFrame:
     """(doc, body, spans): for each text the (from, to) bytes that repeated strings cover, unmerged."""
-    occ = stored(occurrences(docs, match), "segments")
-    often = stored(occ.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "keys")
-    shared = stored(occ.join(F.broadcast(often) if often.count() <= FEW else often, "key"), "shared")
-    contents = stored(shared.groupBy("key", "content").agg(F.count("*").alias("n"), F.max("windows").alias("windows"), F.min(F.struct("doc", "body", "start", "before")).alias("at")), "contents")
-    several = stored(contents.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "several")
-    rows = stored(_fetched(docs, contents.join(several, "key"), match), "bytes")
-    whole = contents.where("n > 1").select("key", "content", F.array(F.struct(F.lit(0).alias("first"), F.col("windows").alias("many"))).alias("runs"))
-    runs = stored(whole.unionByName(_marked(rows, 0, match)), "runs")
+    spark = docs.sparkSession
+    with passing(spark) as lasting:
+        occ = stored(occurrences(docs, match), "segments")
+        often = stored(occ.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "keys")
+        shared = lasting(occ.join(F.broadcast(often) if often.count() <= FEW else often, "key"), "shared")
+    with passing(spark) as lasting:
+        contents = stored(shared.groupBy("key", "content").agg(F.count("*").alias("n"), F.max("windows").alias("windows"), F.min(F.struct("doc", "body", "start", "before")).alias("at")), "contents")
+        several = stored(contents.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "several")
+        rows = stored(_fetched(docs, contents.join(several, "key"), match), "bytes")
+        whole = contents.where("n > 1").select("key", "content", F.array(F.struct(F.lit(0).alias("first"), F.col("windows").alias("many"))).alias("runs"))
+        runs = lasting(whole.unionByName(_marked(rows, 0, match)), "runs")
     cover = F.transform("runs", lambda r: F.struct((F.col("start") + r["first"]).alias("from"), (F.col("start") + r["first"] + r["many"] + (match - 1)).alias("to")))
     found = shared.select("doc", "body", "key", "content", "start").join(runs, ["key", "content"]).select("doc", "body", F.explode(cover).alias("span"))
     return found.groupBy("doc", "body").agg(F.collect_set("span").alias("spans"))
@@ -274,7 +288,8 @@ def without_repeats(docs: DataFrame, texts: bool = True, match: int = MATCH) ->
     """
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
     own = docs.drop(*names, "doc", "body", "spans")
-    spans = stored(repeated_spans(docs.select("doc_id", "text"), match), "spans")
+    with passing(docs.sparkSession) as lasting:
+        spans = lasting(repeated_spans(docs.select("doc_id", "text"), match), "spans")
     joined = _keyed(own).join(spans.hint("shuffle_hash"), ["doc", "body"], "left")
     kept = own.columns if texts else ["doc_id"]
     columns = list(dict.fromkeys([*kept, "text", "spans"]))
