@@ -23,15 +23,6 @@ def test_merged_classes_find_blocks():
     assert labels[0] == labels[2] == labels[4] != labels[1] == labels[3] == labels[5]
 
 
-def test_attach_stages_keep_earlier_words(spark):
-    rows = [(a, b, 10) for a in ("the", "a", "my") for b in ("cat", "dog", "cow")] + [(n, v, 5) for n in ("cat", "dog", "cow") for v in ("runs", "sits")]
-    big = spark.createDataFrame(rows, "w1 string, w2 string, f long")
-    uni = spark.createDataFrame([(w, 100 - i) for i, w in enumerate(("the", "a", "my", "cat", "dog", "cow", "runs", "sits"))], "w string, f long")
-    found = {r["w"]: (r["cluster"], r["stage"]) for r in stages.attach_stages(big, uni, [5, 8], 8, 2).collect()}
-    assert found["the"][0] == found["a"][0] == found["my"][0] != found["cat"][0] == found["dog"][0] == found["cow"][0]
-    assert found["the"][1] == 1 and found["cow"][1] == 2
-
-
 def test_stemmer(spark):
     words = spark.createDataFrame([("rereadings",), ("un",), ("went",), ("s",)], "w string")
     exceptions = spark.createDataFrame([("went", "go.ed")], "w string, parse string")

@@ -74,12 +74,16 @@ def weighted_sides(pairs: DataFrame) -> DataFrame:
     return seen.join(share, ["dir", "t"]).select("dir", "t", "b", (f / F.col("nl") * F.col("w")).alias("value"))
 
 
-def trigram_slots(pairs: DataFrame, trigrams: DataFrame) -> DataFrame:
-    """(slot, w1, w2, w3, b, f): what stands right of w1 (0), left and right of w2 (1, 2) and left of w3 (3)."""
+def trigram_slots(pairs: DataFrame, trigrams: DataFrame, wide: bool = False) -> DataFrame:
+    """(slot, w1, w2, w3, b, f): what stands right of w1 (0), left and right of w2 (1, 2) and left of w3 (3).
+
+    Trigrams of a number that the caller sets are broadcast, with ``wide`` any number is joined.
+    """
     names = ["w1", "w2", "w3"]
     out = None
     for slot, (word, side) in enumerate((("w1", "right"), ("w2", "left"), ("w2", "right"), ("w3", "left"))):
-        part = F.broadcast(trigrams.select(*names, F.col(word).alias("t"))).join(pairs.where(F.col("dir") == side), "t").select(F.lit(slot).alias("slot"), *names, "b", "f")
+        some = trigrams.select(*names, F.col(word).alias("t"))
+        part = (some if wide else F.broadcast(some)).join(pairs.where(F.col("dir") == side), "t").select(F.lit(slot).alias("slot"), *names, "b", "f")
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -7,21 +7,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.storage import kept
-from . import clustering, dictionary, profiles
 from .corpus import EDGE
 from .distribution import normalized
 
 
-def profile_vectors(pairs: DataFrame, bounds: DataFrame) -> DataFrame:
-    """(id, v): each target's conditional profile as a dense vector over both sides of a bounded set of bounds."""
-    places = dictionary.dictionary(bounds.select(F.col("w")), "w")
-    n = places.count()
-    row = pairs.withColumn("p", F.col("f") / F.sum("f").over(Window.partitionBy("dir", "t")))
-    at = row.join(F.broadcast(places.select(F.col("sym").alias("b"), "id")), "b").select("t", (F.col("id") + F.when(F.col("dir") == "right", n).otherwise(0)).alias("k"), "p")
-    cells = at.groupBy("t").agg(F.map_from_entries(F.collect_list(F.struct(F.col("k").cast("int"), "p"))).alias("m"))
-    return cells.select(F.col("t").alias("id"), F.transform(F.sequence(F.lit(0), F.lit(2 * n - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0))).alias("v"))
-
-
 def emissions(membership: DataFrame, unigrams: DataFrame) -> DataFrame:
     """(c, w, f): p(c | w) f(w)."""
     return membership.join(unigrams, "w").select("c", "w", (F.col("p") * F.col("f")).alias("f"))
@@ -53,36 +42,6 @@ def description_length(members: DataFrame, unigrams: DataFrame, class_bigrams: D
     return k.crossJoin(moves).crossJoin(words).select("model", (F.col("a") + F.col("b")).alias("corpus"))
 
 
-def attach_stages(bigrams: DataFrame, unigrams: DataFrame, sizes: list[int], n_bounds: int, k: int, reclustered: bool = False) -> DataFrame:
-    """(w, cluster, stage): words clustered by their contexts, in stages of falling frequency.
-
-    The first stage clusters the most frequent targets.  In each later one the
-    bounds are the classes so far, and new targets are attached to the nearest
-    centre, or, with ``reclustered``, all targets are clustered afresh.
-    """
-    bounds = kept(profiles.most_frequent(unigrams, n_bounds), "bounds")
-    done: DataFrame | None = None
-    for stage, size in enumerate(sizes, 1):
-        targets = kept(profiles.most_frequent(unigrams, size), "targets")
-        pairs = profiles.extracted(bigrams, targets, bounds)
-        places = bounds
-        if done is not None:
-            classes = done.select(F.col("w").alias("b"), F.concat(F.lit("~"), F.col("cluster").cast("string")).alias("c"), F.lit(1.0).alias("p"))
-            pairs = profiles.remapped_bounds(pairs, classes)
-            places = classes.select(F.col("c").alias("w")).distinct()
-        vectors = kept(profile_vectors(pairs, places), "vectors")
-        if done is None or reclustered:
-            found = clustering.buckshot(vectors, k)
-            now = found.select(F.col("id").alias("w"), "cluster", F.lit(stage).alias("stage"))
-        else:
-            old = vectors.join(done.select(F.col("w").alias("id"), "cluster"), "id")
-            centres = kept(clustering.as_vectors(clustering.centres(old)), "centres")
-            new = clustering.attached(vectors.join(done.select(F.col("w").alias("id")), "id", "left_anti"), centres, "l1")
-            now = done.unionByName(new.select(F.col("id").alias("w"), "cluster", F.lit(stage).alias("stage")))
-        done = kept(now, "classes")
-    return done
-
-
 def merged_classes(counts: np.ndarray, k: int) -> list[int]:
     """Classes of a small vocabulary, merged two at a time so that the mutual information of class bigrams falls least; ties to the lowest pair."""
     label = list(range(len(counts)))

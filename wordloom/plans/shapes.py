@@ -109,18 +109,6 @@ def _(s, d):
     return out.select(F.round("model", 3).alias("model"), F.round("corpus", 1).alias("corpus"))
 
 
-@query("attach_stages")
-def _(s, d):
-    """Words in classes of like contexts: 200 clustered, then 400 and 800 attached over class bounds."""
-    return stages.attach_stages(kept(bigrams(s, d), "bigrams"), kept(unigrams(s, d), "unigrams"), [200, 400, 800], 100, 20)
-
-
-@query("full_stages")
-def _(s, d):
-    """The same, clustered afresh at each stage."""
-    return stages.attach_stages(kept(bigrams(s, d), "bigrams"), kept(unigrams(s, d), "unigrams"), [200, 400], 100, 20, reclustered=True)
-
-
 @query("merged_classes")
 def _(s, d):
     """The 40 most frequent words in ten classes, merged by mutual information over all bigrams."""
