@@ -233,3 +233,44 @@ def membership(distances: DataFrame, how: str, m: int, beta: float = 1.0, assign
     near = chosen.crossJoin(spread).withColumn("beta", F.lit(beta)).withColumn("weight", F.expr(MEMBERSHIP[how]).cast("double"))
     whole = F.sum("weight").over(Window.partitionBy("id"))
     return near.select("id", "cluster", (F.col("weight") / F.when(whole != 0, whole)).alias("p"))
+
+
+def hashed_starts(points: DataFrame, k: int, runs: int) -> DataFrame:
+    """(run, cluster, centre): for each of ``runs`` restarts k different points, those of the least hashes of id and run."""
+    out = None
+    for run in range(runs):
+        chosen = points.select("id", F.col("v").alias("centre")).orderBy(F.xxhash64("id", F.lit(run)), "id").limit(k)
+        named = chosen.select(F.lit(run).alias("run"), (F.row_number().over(Window.orderBy("id")) - 1).alias("cluster"), F.transform("centre", lambda x: x.cast("double")).alias("centre"))  # k rows
+        out = named if out is None else out.unionByName(named)
+    return out
+
+
+def kmeans_runs(points: DataFrame, starts: DataFrame, distance: str = "l2", how: str = "mean", rounds: int = 20) -> tuple[DataFrame, DataFrame]:
+    """((run, id, cluster, d), (run, error)): k-means, or k-medians, from all ``starts`` (run, cluster, centre) in one plan.
+
+    Points are assigned and centres made anew until no run changes, or
+    ``rounds`` times.  A run's error is the sum of its distances.  There are as
+    many centres as runs and clusters, numbers that the caller sets.
+    """
+    from .collection import medians
+
+    centres_now, seen = kept(starts, "starts"), None
+    for left in range(rounds, 0, -1):
+        pairs = points.select("id", "v").crossJoin(F.broadcast(centres_now)).select("run", "id", F.struct(F.round(DISTANCES[distance](F.col("v"), F.col("centre")), 12).alias("d"), "cluster").alias("m"))
+        now = kept(pairs.groupBy("run", "id").agg(F.min("m").alias("m")).select("run", "id", "m.cluster", "m.d"), "assigned")
+        digest = now.agg(F.sum(F.xxhash64("run", "id", "cluster").cast("decimal(38,0)"))).first()[0]
+        if digest == seen or left == 1:
+            break
+        seen = digest
+        each = now.join(points.select("id", F.posexplode("v").alias("pos", "x")), "id").select("run", "cluster", "pos", F.col("x").cast("double").alias("x"))
+        by = ["run", "cluster", "pos"]
+        middle = each.groupBy(*by).agg(F.avg("x").alias("value")) if how == "mean" else medians(each, by, "x").withColumnRenamed("median", "value")
+        made = middle.groupBy("run", "cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]).alias("centre"))
+        centres_now = kept(made, "centres")
+    return now, now.groupBy("run").agg(F.sum("d").alias("error"))
+
+
+def best_run(assigned: DataFrame, errors: DataFrame) -> DataFrame:
+    """(id, cluster) of the run with the least error, ties to the first."""
+    first = errors.agg(F.min(F.struct(F.round("error", 9).alias("error"), "run")).alias("m")).select("m.run")
+    return assigned.join(F.broadcast(first), "run").select("id", "cluster")

@@ -76,3 +76,108 @@ def rank_sums(rows: DataFrame, group: str, x: str) -> DataFrame:
     n, rest = F.col("n"), F.col("_all") - F.col("n")
     u = F.col("w") - n * (n + 1) / 2
     return sums.crossJoin(whole).select(group, "n", "w", u.alias("u"), ((u - n * rest / 2) / F.sqrt(n * rest * (F.col("_all") + 1) / 12)).alias("z"))
+
+
+def offset_power_law(rows: DataFrame, x: str, y: str, rounds: int = 60) -> tuple[float, float, float, float]:
+    """(a, b, c, sum of squares) of y = a x^b + c by damped Gauss-Newton steps; x must be above 0.
+
+    Each step needs the sums of ten products over the rows, by one aggregate.
+    """
+    import numpy as np
+
+    given = kept(rows.where((F.col(x) > 0) & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")), "points")
+    start = given.agg(F.min("y").alias("low"), F.max("y").alias("high"), F.min("x").alias("first"), F.max("x").alias("last"), F.corr("x", "y").alias("r"), F.count("*").alias("n")).first()
+    if start["n"] < 3:
+        raise ValueError("three points are needed")
+
+    def sums(p) -> tuple[np.ndarray, np.ndarray, float]:
+        a, b, c = (float(v) for v in p)
+        power = F.pow("x", F.lit(b))
+        parts = [power, a * power * F.log("x"), F.lit(1.0)]
+        rest = F.col("y") - (a * power + c)
+        wanted = [F.sum(parts[i] * parts[j]).alias(f"g{i}{j}") for i in range(3) for j in range(i, 3)] + [F.sum(parts[i] * rest).alias(f"r{i}") for i in range(3)] + [F.sum(rest * rest).alias("s")]
+        got = given.agg(*wanted).first()
+        g = np.array([[got[f"g{min(i, j)}{max(i, j)}"] for j in range(3)] for i in range(3)])
+        return g, np.array([got[f"r{i}"] for i in range(3)]), got["s"]
+
+    def best_of(b: float) -> tuple[float, np.ndarray]:
+        """For a given power the other two are linear."""
+        g, r, s = sums((0.0, b, 0.0))
+        g, r = g[np.ix_([0, 2], [0, 2])], r[[0, 2]]
+        a, c = np.linalg.lstsq(g, r, rcond=None)[0]
+        return s - float(np.array([a, c]) @ r), np.array([a, b, c])
+
+    _, p = min((best_of(b) for b in (-3.0, -2.0, -1.0, -0.5, 0.5, 1.0, 2.0, 3.0)), key=lambda z: z[0])
+    damp = 1e-3
+    g, r, s = sums(p)
+    for _ in range(rounds):
+        step = np.linalg.lstsq(g + damp * np.diag(np.maximum(np.diag(g), 1e-12)), r, rcond=None)[0]
+        g2, r2, s2 = sums(p + step)
+        if np.isfinite(s2) and s2 <= s:
+            done = np.abs(step).max() <= 1e-12 * max(1.0, np.abs(p).max())
+            p, g, r, s, damp = p + step, g2, r2, s2, max(damp / 10, 1e-12)
+            if done:
+                break
+        else:
+            damp *= 10
+            if damp > 1e12:
+                break
+    return float(p[0]), float(p[1]), float(p[2]), float(s)
+
+
+def erf(x: Column) -> Column:
+    """The error function to about 1e-14: a series within 3 of 0, a continued fraction beyond."""
+    z = F.abs(x)
+    near = F.least(z, F.lit(3.0))
+    # 2 / sqrt(pi) exp(-z^2) z (1 + 2 z^2 / 3 + (2 z^2)^2 / (3 5) + …)
+    term = F.aggregate(F.sequence(F.lit(1), F.lit(60)), F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s")), lambda acc, k: _next_term(acc, k, near))
+    series = 2 / F.sqrt(F.pi()) * F.exp(-near * near) * near * term["s"]
+    far = F.greatest(z, F.lit(3.0))
+    fraction = F.aggregate(F.sequence(F.lit(60), F.lit(1), F.lit(-1)), far, lambda acc, k: far + (k / 2.0) / acc)
+    tail = F.exp(-far * far) / (F.sqrt(F.pi()) * fraction)
+    return F.signum(x) * F.when(z <= 3, series).otherwise(1 - tail)
+
+
+def _next_term(acc: Column, k: Column, z: Column) -> Column:
+    t = acc["t"] * 2 * z * z / (2 * k + 1)
+    return F.struct(t.alias("t"), (acc["s"] + t).alias("s"))
+
+
+def gaussian_cdf(x: Column, mean: Column | float = 0.0, deviation: Column | float = 1.0) -> Column:
+    return (1 + erf((x - mean) / (deviation * F.sqrt(F.lit(2.0))))) / 2
+
+
+# P. J. Acklam's rational approximation of the inverse normal distribution.
+_CENTRE = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
+_CENTRE_BELOW = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0)
+_TAIL = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
+_TAIL_BELOW = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0)
+
+
+def _polynomial(coefficients: tuple[float, ...], x: Column) -> Column:
+    out = F.lit(coefficients[0])
+    for c in coefficients[1:]:
+        out = out * x + c
+    return out
+
+
+def gaussian_quantile(p: Column, mean: Column | float = 0.0, deviation: Column | float = 1.0) -> Column:
+    """The value below which a share p of a normal distribution lies, infinite at 0 and 1, null beyond."""
+    low = F.least(p, 1 - p)
+    q = low - 0.5
+    centre = _polynomial(_CENTRE, q * q) * q / _polynomial(_CENTRE_BELOW, q * q)
+    t = F.sqrt(-2 * F.log(low))
+    tail = _polynomial(_TAIL, t) / _polynomial(_TAIL_BELOW, t)
+    first = F.when(low < 0.02425, tail).otherwise(centre)
+    # One step of Halley's method.
+    error = (gaussian_cdf(first) - low) * F.sqrt(2 * F.pi()) * F.exp(first * first / 2)
+    better = first - error / (1 + first * error / 2)
+    z = F.when(low > 1e-10, better).otherwise(first)
+    z = F.when(p <= 0.5, z).otherwise(-z)
+    ends = F.when(p == 0, F.lit(float("-inf"))).when(p == 1, F.lit(float("inf"))).when((p > 0) & (p < 1), z)
+    return ends * deviation + mean
+
+
+def probit(p: Column) -> Column:
+    """The quantile of the standard normal distribution."""
+    return gaussian_quantile(p)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.storage import kept
+
 NULL_SUFFIX = "NULL"
 
 
@@ -64,3 +66,20 @@ def acceptor(unigrams: DataFrame, edge: str, reverse: bool = False) -> DataFrame
     label = F.when((F.col("k") == 0) | (F.col("k") > n), F.lit(edge)).otherwise(F.expr("substring(w, k, 1)"))
     arcs = each.select(source.alias("source"), label.alias("label"), F.concat(source, label).alias("target"), "f")
     return arcs.groupBy("source", "label", "target").agg(F.sum("f").alias("f"))
+
+
+def sentence_acceptor(sents: DataFrame, keys: list[str], edge: str, reverse: bool = False) -> DataFrame:
+    """(depth, first, label, f): the arcs of the prefix (or suffix) tree acceptor of sentences (keys…, toks), an edge mark on either side.
+
+    A state is what has been read so far.  It is named by its ``depth`` and
+    ``first``, the least key of the sentences that reach it, and found by two
+    hashes of all labels with their places, so a sentence costs as many rows as
+    it has words, however long.
+    """
+    toks = F.concat(F.array(F.lit(edge)), F.reverse("toks") if reverse else F.col("toks"), F.array(F.lit(edge)))
+    each = sents.select(F.struct(*keys).alias("key"), F.posexplode(toks).alias("depth", "label"))
+    before = Window.partitionBy("key").orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)  # one sentence
+    state = [F.coalesce(F.bit_xor(F.xxhash64("depth", "label", F.lit(salt))).over(before), F.lit(0)).alias(f"h{salt}") for salt in (1, 2)]
+    arcs = kept(each.select("key", "depth", "label", *state).groupBy("depth", "h1", "h2", "label").agg(F.count("*").alias("f"), F.min("key").alias("first")), "arcs")
+    names = arcs.groupBy("depth", "h1", "h2").agg(F.min("first").alias("first"))
+    return arcs.drop("first").join(names, ["depth", "h1", "h2"]).select("depth", "first", "label", "f")

@@ -166,7 +166,7 @@ def _(s, d):
     return morphology.tree_paths(_tree(s, d))
 
 
-@query("tree_leaves", _TREE + " SELECT node, parent FROM nodes WHERE node NOT IN (SELECT parent FROM nodes WHERE parent IS NOT NULL)", "tok")
+@query("tree_leaves", _TREE + " SELECT node, parent FROM nodes ANTI JOIN (SELECT DISTINCT parent AS node FROM nodes) USING (node)", "tok")
 def _(s, d):
     return morphology.leaves(_tree(s, d))
 

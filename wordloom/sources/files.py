@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StringType, StructType
 
 FORMATS = {"ttt": "tt", "tt": "tt", "t": "tt", "brown": "brown", "lob": "lob", "xml": "xml", "parquet": "parquet", "bin": "parquet"}
 
@@ -81,6 +82,55 @@ def read_xml(spark: SparkSession, path: str, sentence: str = "s", token: str = "
     return rows.select(F.lit(path).alias("file"), F.monotonically_increasing_id().alias("sid"), toks.alias("toks"))
 
 
+def _followed(value: Column, kind: DataType, steps: list[str]) -> tuple[Column, DataType]:
+    """What a path leads to from a value: child elements by name, attributes by ``@name``, ``.`` for the text; arrays on the way are flattened, what isn't there is null."""
+    if isinstance(kind, ArrayType):
+        inner = _followed(F.lit(None), kind.elementType, steps)[1]
+        each = F.transform(value, lambda x: _followed(x, kind.elementType, steps)[0])
+        return (F.flatten(each), inner) if isinstance(inner, ArrayType) else (each, ArrayType(inner))
+    if not steps:
+        return value, kind
+    name = {".": "_VALUE"}.get(steps[0], steps[0].replace("@", "_"))
+    if isinstance(kind, StructType) and name in kind.fieldNames():
+        return _followed(value.getField(name), kind[name].dataType, steps[1:])
+    return (value if steps == ["."] and not isinstance(kind, StructType) else F.lit(None).cast("string")), StringType()
+
+
+def read_xml_by_path(spark: SparkSession, path: str, sentence: str, tokens: str, text: str = ".", tag: str | None = None, details: str | None = None) -> DataFrame:
+    """(file, sid, toks) of ``sentence`` elements anywhere in the files.
+
+    ``tokens`` is the path of the tokens below a sentence, such as ``w`` or
+    ``phrase/w``; ``text``, ``tag`` and ``details`` are paths below a token, such as
+    ``.``, ``@pos`` or ``form/@text``.  Tokens come out as structs (text, tag,
+    details); a path to several elements gives the first, but all as details.
+    """
+    rows = spark.read.format("xml").option("rowTag", sentence).option("inferSchema", "false").load(path)
+    found, kind = _followed(F.struct(*rows.columns), rows.schema, tokens.split("/"))
+    if not isinstance(kind, ArrayType):
+        found, kind = F.when(found.isNotNull(), F.array(found)), ArrayType(kind)
+
+    def one(token: Column, at: str | None) -> Column:
+        if at is None:
+            return F.lit(None).cast("string")
+        value, inner = _followed(token, kind.elementType, at.split("/"))
+        return (F.get(value, F.lit(0)) if isinstance(inner, ArrayType) else value).cast("string")
+
+    def every(token: Column, at: str | None) -> Column:
+        if at is None:
+            return F.array().cast("array<string>")
+        value, inner = _followed(token, kind.elementType, at.split("/"))
+        return F.coalesce((value if isinstance(inner, ArrayType) else F.array_compact(F.array(value))).cast("array<string>"), F.array().cast("array<string>"))
+
+    toks = F.transform(found, lambda t: F.struct(one(t, text).alias("text"), one(t, tag).alias("tag"), every(t, details).alias("details")))
+    return rows.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("sid"), F.coalesce(toks, F.array().cast("array<struct<text:string,tag:string,details:array<string>>>")).alias("toks"))
+
+
+def write_xml(sents: DataFrame, path: str, sentence: str = "s", token: str = "t") -> None:
+    """Sentences (toks) as elements whose tokens have the text and a ``tag`` attribute, as ``read_xml`` reads them."""
+    toks = F.transform("toks", lambda t: F.struct(t["text"].alias("_VALUE"), t["tag"].alias("_tag")))
+    sents.select(toks.alias(token)).write.format("xml").option("rootTag", "document").option("rowTag", sentence).save(path)
+
+
 def write_files(sents: DataFrame, path: str, n: int) -> None:
     """A corpus over n Parquet files."""
     sents.repartition(n).write.parquet(path)
