@@ -88,3 +88,28 @@ def test_growth_restriction_and_frequencies(spark):
     p = lex.join(lex.groupBy("tag").sum("f").withColumnRenamed("sum(f)", "n"), "tag").selectExpr("w", "tag", "f / n AS p")
     back = hmm_tables.frequencies(p, lex.groupBy("tag").sum("f").withColumnRenamed("sum(f)", "n"), "tag", rounded=True)
     assert {(r["w"], r["tag"], r["f"]) for r in back.collect()} == {(r["w"], r["tag"], r["f"]) for r in lex.collect()}
+
+
+def test_unknown_words_and_freezing(spark):
+    lex = spark.createDataFrame([("x", "A", 6), ("y", "A", 1), ("y", "B", 3), (UNKNOWN, "B", 2)], "w string, tag string, f long")
+    rows = lambda how: {(r["w"], r["tag"]): r["f"] for r in hmm_tables.with_unknown(lex, how, total=6.0).collect()}
+    assert rows("none") == {("x", "A"): 6, ("y", "A"): 1, ("y", "B"): 3, (UNKNOWN, "B"): 2}
+    assert rows("types") == {("x", "A"): 6, ("y", "A"): 1, ("y", "B"): 3, (UNKNOWN, "A"): 4.0, (UNKNOWN, "B"): 2.0}
+    assert rows("uniform") == {("x", "A"): 6, ("y", "A"): 1, ("y", "B"): 3, (UNKNOWN, "A"): 0.01, (UNKNOWN, "B"): 2.01}
+    got = {(r["w"], r["tag"]): r["f"] for r in hmm_tables.frozen(lex, "w", 2.0).collect()}
+    assert math.isclose(got["y", "A"], 4 * 1 / 10) and math.isclose(got["y", "B"], 4 * 9 / 10) and got["x", "A"] == 6
+    assert {(r["w"], r["tag"]): r["f"] for r in hmm_tables.frozen(lex, "tag", 1.0).collect()} == {("x", "A"): 6, ("y", "A"): 1, ("y", "B"): 3, (UNKNOWN, "B"): 2}
+
+
+def test_training_over_several_corpora(spark):
+    m = model(spark)[2]
+    some = spark.createDataFrame(list(enumerate(SENTENCES[:3])), "id int, toks array<string>")
+    more = spark.createDataFrame(list(enumerate(SENTENCES[3:])), "id int, toks array<string>")
+    better, history = hmm_tables.trained([some, more], m, ["id"], rounds=4, tolerance=0.0)
+    assert len(history) == 4 and all(b >= a - 1e-9 for a, b in itertools.pairwise(history))
+    both = spark.createDataFrame(list(enumerate(SENTENCES)), "id int, toks array<string>")
+    want = m
+    for _ in range(4):
+        want, logp = hmm_tables.reestimated(both, want, ["id"])
+    assert np.allclose(better.a, want.a) and math.isclose(logp, history[-1])
+    assert len(hmm_tables.trained([both], m, ["id"], rounds=9, tolerance=0.5)[1]) == 2

@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from wordloom.functions import scalar
-from wordloom.operators import clustering, collection, dictionary, distribution, evaluation, hmm, trie
+from wordloom.operators import clustering, collection, dictionary, distribution, evaluation, trie
 from wordloom.operators.corpus import EDGE, ngram_counts
 from wordloom.sources import files
 from wordloom.streaming import counts
@@ -86,37 +86,6 @@ def test_trie_and_signatures(spark):
     assert trie.prefixes(words.withColumn("f", F.lit(1))).where("prefix = 'walk'").first()["f"] == 4
 
 
-def toy():
-    a = np.log(np.array([[0.6, 0.3], [0.2, 0.5]]))
-    stop = np.log(np.array([0.1, 0.3]))
-    b = np.log(np.array([[0.5, 0.3, 0.2], [0.1, 0.2, 0.7]]))
-    return hmm.Model(["A", "B"], ["x", "y", "@UNKNOWN"], a, b, np.log(np.array([0.7, 0.3])), stop)
-
-
-def paths(m, ids):
-    for p in itertools.product(range(2), repeat=len(ids)):
-        yield p, m.start[p[0]] + sum(m.a[i, j] for i, j in itertools.pairwise(p)) + sum(m.b[s, w] for s, w in zip(p, ids, strict=True)) + m.stop[p[-1]]
-
-
-def test_hmm_against_all_paths():
-    m = toy()
-    for ids in ([0], [0, 2, 1], [2, 2, 0, 1]):
-        every = list(paths(m, ids))
-        assert math.isclose(hmm.forward(m, ids)[1], math.log(sum(math.exp(v) for _, v in every)))
-        best, logp = hmm.viterbi(m, ids)
-        assert math.isclose(logp, max(v for _, v in every)) and tuple(best) == max(every, key=lambda x: x[1])[0]
-        for k, state in enumerate(hmm.posterior(m, ids)):
-            mass = [sum(math.exp(v) for p, v in every if p[k] == s) for s in range(2)]
-            assert state == int(np.argmax(mass))
-
-
-def test_reestimation_never_lowers_the_likelihood(spark):
-    sents = spark.createDataFrame([(["x", "y", "y"],), (["y", "z", "x"],), (["x"],), ([],)], "toks array<string>")
-    model, history = hmm.reestimated(sents, toy(), 4)
-    assert all(b >= a - 1e-9 for a, b in itertools.pairwise(history))
-    assert np.allclose(np.exp(model.b).sum(axis=1), 1)
-
-
 def test_boundaries(spark):
     pairs = spark.createDataFrame([([1, 3], [3]), ([2], [2, 5])], "a array<int>, b array<int>")
     r = evaluation.boundary_scores(pairs, "a", "b").first()

@@ -32,16 +32,61 @@ class TableModel:
     unknown: np.ndarray  # the same of all words that the table doesn't hold
 
 
+def supervised_counts(tagged: DataFrame, keys: list[str], rare: int = 1) -> tuple[DataFrame, DataFrame]:
+    """((w, tag, f), (t1, t2, f)): emissions, the mass of words seen ``rare`` times or fewer counting for the unknown word too, and transitions with edge marks."""
+    lex = tagged.groupBy("w", "tag").agg(F.count("*").alias("f"))
+    total = lex.groupBy("w").agg(F.sum("f").alias("all"))
+    unknown = lex.join(total, "w").where(F.col("all") <= rare).groupBy("tag").agg(F.sum("f").alias("f")).select(F.lit(UNKNOWN).alias("w"), "tag", "f")
+    order = tagged.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tag"))), lambda x: x["tag"]).alias("t"))
+    padded = F.concat(F.array(F.lit(EDGE)), F.col("t"), F.array(F.lit(EDGE)))
+    pairs = order.select(F.explode(F.transform(F.sequence(F.lit(0), F.size("t")), lambda i: F.struct(F.get(padded, i).alias("t1"), F.get(padded, i + 1).alias("t2")))).alias("p")).select("p.*")
+    return lex.unionByName(unknown), pairs.groupBy("t1", "t2").agg(F.count("*").alias("f"))
+
+
 def emission_probabilities(lex: DataFrame, coefficient: float = 0.01) -> DataFrame:
-    """(w, tag, p): p(w | tag) of counts (w, tag, f), for the words and tags of the table.
+    """(w, tag, p): p(w | tag) of counts (w, tag, f): a row for each pair that was seen, and one without a word for what every other word of the table has under a tag.
 
-    Every joint probability gets ``coefficient`` times the least one added.
+    Every joint probability, seen or not, gets ``coefficient`` times the least one added.
     """
     sums = F.broadcast(lex.agg(F.sum("f").alias("_n"), F.min("f").alias("_least"), F.count_distinct("w").alias("_words")))
-    of_tag = lex.groupBy("tag").agg(F.sum("f").alias("_of_tag"))
+    of_tag = F.broadcast(lex.groupBy("tag").agg(F.sum("f").alias("_of_tag")))
     add = coefficient * F.col("_least") / F.col("_n")
-    grid = lex.select("w").distinct().crossJoin(F.broadcast(of_tag)).join(lex, ["w", "tag"], "left").crossJoin(sums)
-    return grid.select("w", "tag", ((F.coalesce("f", F.lit(0)) / F.col("_n") + add) / (F.col("_of_tag") / F.col("_n") + add * F.col("_words"))).alias("p"))
+    other = of_tag.select(F.lit(None).cast("string").alias("w"), "tag", F.lit(0).cast("long").alias("f"))
+    rows = lex.select("w", "tag", F.col("f")).unionByName(other).join(of_tag, "tag").crossJoin(sums)
+    return rows.select("w", "tag", ((F.col("f") / F.col("_n") + add) / (F.col("_of_tag") / F.col("_n") + add * F.col("_words"))).alias("p"))
+
+
+def with_unknown(lex: DataFrame, how: str, total: float = 1.0, coefficient: float = 0.01) -> DataFrame:
+    """Emission counts (w, tag, f) in which the unknown word has some.
+
+    ``none``     as they are
+    ``uniform``  ``coefficient`` times the least count under every tag
+    ``types``    ``total``, dealt to the tags by how many different words each has
+    """
+    if how == "none":
+        return lex
+    seen = lex.where((F.col("f") > 0) & (F.col("w") != UNKNOWN))
+    if how == "uniform":
+        new = seen.groupBy("tag").agg(F.min("f").alias("_m")).crossJoin(F.broadcast(seen.agg(F.min("f").alias("_least")))).select(F.lit(UNKNOWN).alias("w"), "tag", (coefficient * F.col("_least")).alias("f"))
+    elif how == "types":
+        types = seen.groupBy("tag").agg(F.count_distinct("w").alias("_n"))
+        new = types.crossJoin(F.broadcast(types.agg(F.sum("_n").alias("_all")))).select(F.lit(UNKNOWN).alias("w"), "tag", (total * F.col("_n") / F.col("_all")).alias("f"))
+    else:
+        raise ValueError(f"no way of unknown words: {how}")
+    known = lex.where(F.col("w") != UNKNOWN) if how == "types" else lex  # types set the unknown word's counts, a uniform share is added to them
+    return known.select("w", "tag", F.col("f").cast("double").alias("f")).unionByName(new).groupBy("w", "tag").agg(F.sum("f").alias("f"))
+
+
+def frozen(counts: DataFrame, given: str, power: float = 2.0) -> DataFrame:
+    """Counts (…, f) whose shares p of what is ``given`` become p^power over their sum, each given thing keeping its total.
+
+    For transitions (t1, t2, f) that is ``t1``, the edge mark for the starts; for
+    emissions (w, tag, f) it is ``w``, so that each word's tags become surer.
+    """
+    whole = counts.groupBy(given).agg(F.sum("f").alias("_whole"))
+    sharp = counts.join(whole, given).withColumn("_x", F.pow(F.col("f") / F.col("_whole"), F.lit(float(power))))
+    sums = sharp.groupBy(given).agg(F.sum("_x").alias("_sum"))
+    return sharp.join(sums, given).withColumn("f", F.col("_x") / F.col("_sum") * F.col("_whole")).select(*counts.columns)
 
 
 def transition_probabilities(moves: DataFrame, coefficient: float = 0.01) -> DataFrame:
@@ -56,6 +101,7 @@ def transition_probabilities(moves: DataFrame, coefficient: float = 0.01) -> Dat
 def compiled(lex: DataFrame, moves: DataFrame, coefficient: float = 0.01) -> TableModel:
     """The model of emission counts (w, tag, f), the unknown word among them, and transition counts (t1, t2, f)."""
     b = kept(emission_probabilities(lex, coefficient), "emissions")
+    others = {r["tag"]: float(np.log(r["p"])) for r in b.where("w is null").collect()}  # a row for each tag
     t = transition_probabilities(moves, coefficient).toPandas()
     tags = sorted({*t["t1"], *t["t2"]} - {EDGE})
     at = {x: i for i, x in enumerate(tags)}
@@ -67,8 +113,8 @@ def compiled(lex: DataFrame, moves: DataFrame, coefficient: float = 0.01) -> Tab
             stop[at[x]] = np.log(p)
         else:
             a[at[x], at[y]] = np.log(p)
-    row = F.array(*[F.log(F.max(F.when(F.col("tag") == x, F.col("p")))) for x in tags])
-    rows = kept(b.groupBy("w").agg(row.alias("e")), "rows")
+    row = F.array(*[F.coalesce(F.log(F.max(F.when(F.col("tag") == x, F.col("p")))), F.lit(others.get(x, float(np.log(1e-12))))) for x in tags])
+    rows = kept(b.where("w is not null").groupBy("w").agg(row.alias("e")), "rows")
     found = rows.where(F.col("w") == UNKNOWN).first()
     unknown = np.array(found["e"]) if found else np.full(len(tags), np.log(1e-12))
     return TableModel(tags, a, start, stop, rows.where(F.col("w") != UNKNOWN), unknown)
@@ -240,3 +286,22 @@ def reestimated(sents: DataFrame, model: TableModel, keys: list[str], floor: flo
     whole = np.array([sums[f"f{i}"] for i in range(len(tags))]) + rest
     rows = known.select("w", F.zip_with("f", F.lit([float(x) for x in whole]), lambda x, y: F.log(x / y)).alias("e"))
     return TableModel(tags, np.log(a / out[:, None]), np.log(start / start.sum()), np.log(stop / out), kept(rows, "rows"), np.log(rest / whole)), small.get(("logp", "", ""), 0.0)
+
+
+def trained(corpora: list[DataFrame], model: TableModel, keys: list[str], rounds: int = 20, tolerance: float = 1e-4) -> tuple[TableModel, list[float]]:
+    """The model after rounds of re-estimation over all corpora together, and ln p before each; it ends when that rises by less than ``tolerance`` of itself.
+
+    Each corpus has the columns (keys…, toks); keys may repeat between corpora.
+    """
+    together = None
+    for i, sents in enumerate(corpora):
+        one = sents.select(*keys, "toks", F.lit(i).alias("_corpus"))
+        together = one if together is None else together.unionByName(one)
+    together = kept(together, "corpora")
+    history: list[float] = []
+    for _ in range(rounds):
+        model, logp = reestimated(together, model, [*keys, "_corpus"])
+        history.append(logp)
+        if len(history) > 1 and history[-1] - history[-2] < tolerance * abs(history[-2]):
+            break
+    return model, history

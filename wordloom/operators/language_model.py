@@ -23,6 +23,15 @@ def bigram_scores(sents: DataFrame, model: DataFrame, keys: list[str]) -> DataFr
     return met.groupBy(*keys).agg(F.sum(F.log(F.coalesce("p", F.lit(UNSEEN_GRAM)))).alias("logp"))
 
 
+def trigram_scores(sents: DataFrame, model: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys…, logp) under ``model`` (w1, w2, w3, p), after two edge marks and up to one."""
+    grams = sents.select(*keys, F.explode(windows(padded("toks", 2, 1), 3)).alias("g")).select(*keys, "g.*")
+    # A trigram that a sentence repeats meets the model once.
+    times = grams.groupBy(*keys, "w1", "w2", "w3").agg(F.count("*").alias("times"))
+    met = times.join(model.select("w1", "w2", "w3", "p"), ["w1", "w2", "w3"], "left")
+    return met.groupBy(*keys).agg(F.sum(F.col("times") * F.log(F.coalesce("p", F.lit(UNSEEN_GRAM)))).alias("logp"))
+
+
 def corpus_information(scores: DataFrame, tokens: DataFrame) -> DataFrame:
     """(sum_logp, log_sum_p, sentences, tokens, entropy): of scored sentences, the sum of probabilities added in the log domain."""
     most = F.broadcast(scores.agg(F.max("logp").alias("m")))

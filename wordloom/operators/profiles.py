@@ -125,6 +125,11 @@ def remapped_bounds(pairs: DataFrame, membership: DataFrame) -> DataFrame:
     return pairs.join(membership, "b").groupBy("dir", "t", F.col("c").alias("b")).agg(F.sum(F.col("f") * F.col("p")).alias("f"))
 
 
+def remapped_targets(pairs: DataFrame, membership: DataFrame) -> DataFrame:
+    """(dir, t, b, f): expected counts when each target t is replaced by its classes (t, c, p)."""
+    return pairs.join(membership, "t").groupBy("dir", F.col("c").alias("t"), "b").agg(F.sum(F.col("f") * F.col("p")).alias("f"))
+
+
 def inverted(membership: DataFrame, prior: DataFrame) -> DataFrame:
     """(c, b, p): p(b | c) from p(c | b) and the weights (b, f), by Bayes' rule."""
     joint = membership.join(prior, "b").withColumn("j", F.col("p") * F.col("f"))

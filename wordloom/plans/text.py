@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..functions.storage import kept, table
-from ..operators import corpus, dictionary, distribution, evaluation, fitting, hmm, hmm_tables, language_model, profiles, trie
+from ..operators import corpus, dictionary, distribution, evaluation, fitting, hmm_tables, language_model, profiles, trie
 from .registry import query
 
 
@@ -469,7 +469,7 @@ def _word_tags(s, d):
 
 def _model(s, d):
     t = _word_tags(s, d)
-    emissions, transitions = hmm.supervised_counts(t.select("doc_id", "sid", "pos", "w", "tag"), ["doc_id", "sid"])
+    emissions, transitions = hmm_tables.supervised_counts(t.select("doc_id", "sid", "pos", "w", "tag"), ["doc_id", "sid"])
     return hmm_tables.compiled(kept(emissions, "lexicon"), kept(transitions, "moves"))
 
 
@@ -480,14 +480,14 @@ q AS (SELECT t1, t2, f + 0.01 * (SELECT min(f) FROM m) AS f FROM g) SELECT t1, t
 def _(s, d):
     """Transition probabilities, smoothed by a hundredth of the least joint one."""
     t = _word_tags(s, d)
-    moves = hmm.supervised_counts(t.select("doc_id", "sid", "pos", "w", "tag"), ["doc_id", "sid"])[1]
+    moves = hmm_tables.supervised_counts(t.select("doc_id", "sid", "pos", "w", "tag"), ["doc_id", "sid"])[1]
     return hmm_tables.transition_probabilities(kept(moves, "moves")).withColumn("p", F.round("p", 9))
 
 
 @query("hmm_emissions", _TAGS + """, l AS (SELECT w, tag, count(*) AS f FROM lx GROUP BY ALL), s AS (SELECT sum(f) AS n, min(f) AS m, count(DISTINCT w) AS v FROM l), o AS (SELECT tag, sum(f) AS ft FROM l GROUP BY tag)
-SELECT g.w, g.tag, round(CAST((coalesce(l.f, 0) + 0.01 * s.m) / (g.ft + 0.01 * s.m * s.v) AS DOUBLE), 9) AS p FROM (SELECT w, tag, ft FROM (SELECT DISTINCT w FROM l), o) g LEFT JOIN l ON l.w = g.w AND l.tag = g.tag, s""", "tok")
+SELECT g.w, g.tag, round(CAST((g.f + 0.01 * s.m) / (o.ft + 0.01 * s.m * s.v) AS DOUBLE), 9) AS p FROM (SELECT w, tag, f FROM l UNION ALL SELECT NULL, tag, 0 FROM o) g JOIN o USING (tag), s""", "tok")
 def _(s, d):
-    """Emission probabilities of every word under every tag, smoothed likewise."""
+    """Emission probabilities of every word under its tags, and of all its others under each, smoothed likewise."""
     lex = kept(_word_tags(s, d).groupBy("w", "tag").agg(F.count("*").alias("f")), "lexicon")
     return hmm_tables.emission_probabilities(lex).withColumn("p", F.round("p", 9))
 
