@@ -103,20 +103,30 @@ def _routes(words: DataFrame) -> DataFrame:
 
 
 def _edges(routes: DataFrame) -> DataFrame:
-    """(backward, node, first, label, child, leaf, leaf_n): from each node to the next on some word's path, or to the word itself, a leaf."""
+    """(backward, node, first, label, child, leaf, leaf_n, nexts): from each node to the next on some word's path, or to the word itself, a leaf.
+
+    ``nexts`` has the characters that may follow at the child: no more than there are letters.
+    """
     step = F.posexplode("route").alias("i", "at")
     walked = routes.select("backward", "spelt", "n", "route", step).withColumn("to", F.try_element_at("route", F.col("i") + 2))
     end = F.coalesce(F.col("to.depth"), F.length("spelt"))
     label = F.substring("spelt", F.col("at.depth") + 1, end - F.col("at.depth"))
     is_leaf = F.col("to").isNull()
     rows = walked.select("backward", F.col("at.node").alias("node"), label.alias("label"), F.col("to.node").alias("child"), F.when(is_leaf, F.col("spelt")).alias("leaf"), F.when(is_leaf, F.col("n")).alias("leaf_n"))
-    return stored(rows.distinct().withColumn("first", F.substring("label", 1, 1)), "edges")
+    edges = stored(rows.distinct().withColumn("first", F.substring("label", 1, 1)), "edges")
+    nexts = edges.groupBy("backward", F.col("node").alias("child")).agg(F.array_join(F.collect_set("first"), "").alias("nexts"))
+    return stored(edges.join(nexts, ["backward", "child"], "left"), "edges")
 
 
 def _leads(after: Column, label: str = "label") -> Column:
     return F.startswith(after, F.col(label))
 
 
+def _goes_on(frontier: DataFrame) -> DataFrame:
+    """The states at a leaf, and those whose node has an edge for their word's next character."""
+    return frontier.where(F.col("node").isNull() | F.expr("instr(nexts, substring(spelt, place + 1, 1)) > 0")).drop("nexts")
+
+
 def _rest(at: Column) -> Column:
     """What a state's word holds from the place ``at`` (from 0) on."""
     return F.substring("spelt", at + 1, F.length("spelt"))
@@ -137,13 +147,13 @@ def pairs_apart_by_one(words: DataFrame) -> DataFrame:
     replaced = F.when((F.col("first") > F.col("own")) & _leads(F.concat("first", _rest(F.col("parted") + 1))), place)
     left_out = F.when(_leads(_rest(F.col("parted") + 1)), place + 1)
     state = ["backward", "spelt", "n", "parted", "place", "node"]
-    ends = ["leaf", "leaf_n"]
-    frontier = stored(opened.select("backward", "spelt", "n", "parted", F.explode(F.array_compact(F.array(replaced, left_out))).alias("place"), F.col("child").alias("node"), *ends), "frontier")
+    ends = ["leaf", "leaf_n", "nexts"]
+    frontier = stored(_goes_on(opened.select("backward", "spelt", "n", "parted", F.explode(F.array_compact(F.array(replaced, left_out))).alias("place"), F.col("child").alias("node"), *ends)), "frontier")
     done = frontier.where("node is null")
     while not frontier.where("node is not null").isEmpty():
         step = frontier.where("node is not null").select(*state).withColumn("first", F.substring("spelt", F.col("place") + 1, F.lit(1)))
         met = step.join(edges, ["backward", "node", "first"]).where(_leads(_rest(F.col("place"))))
-        frontier = stored(met.select("backward", "spelt", "n", "parted", (F.col("place") + F.length("label")).alias("place"), F.col("child").alias("node"), *ends), "frontier")
+        frontier = stored(_goes_on(met.select("backward", "spelt", "n", "parted", (F.col("place") + F.length("label")).alias("place"), F.col("child").alias("node"), *ends)), "frontier")
         done = done.unionByName(frontier.where("node is null"))
     # Nodes are named by hashes: the words must agree up to where they part.
     sure = done.where((F.col("place") == F.length("spelt")) & F.startswith("leaf", F.substring("spelt", F.lit(1), F.col("parted"))))
