@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 
@@ -243,6 +244,31 @@ def test_recall_across_many_ranges(spark, monkeypatch):
     assert found >= 0.98 * len(wanted)
 
 
+def test_effort_follows_size_and_concentration():
+    assert embedding_dedup.effort(5_000, 0.0) == (embedding_dedup.PASSES, embedding_dedup.NEIGHBOURS)
+    assert embedding_dedup.effort(30_000, 0.8) == (24, 64) and embedding_dedup.effort(30_000, 0.95) == (36, 256)
+    assert embedding_dedup.effort(120_000, 0.95) == (48, 512) and embedding_dedup.effort(0, 1.0)[0] > 12
+
+
+def test_recall_in_a_large_concentrated_label(spark):
+    """200 pairs of cosine 0.981 to 0.99 among 30,000 vectors of a mean cosine of 0.95, and a small label beside them."""
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((30_000, 64))
+    x[:, 0] = 0
+    x = np.sqrt(0.05) * x / np.linalg.norm(x, axis=1, keepdims=True)
+    x[:, 0] = np.sqrt(0.95)
+    c = rng.uniform(0.981, 0.99, 200)[:, None]
+    off = rng.standard_normal((200, 64))
+    off -= (off * x[:200]).sum(axis=1, keepdims=True) * x[:200]
+    y = c * x[:200] + np.sqrt(1 - c**2) * off / np.linalg.norm(off, axis=1, keepdims=True)
+    small = rng.standard_normal((50, 64))
+    rows = [(i, v.tobytes(), 64, label) for i, (v, label) in enumerate([*((v, 1) for v in np.concatenate([x, y])), *((v / np.linalg.norm(v), 2) for v in small)])]
+    nodes = spark.createDataFrame(pd.DataFrame(rows, columns=["node", "vec", "dim", "label"]), "node long, vec binary, dim int, label int").repartition(8)
+    part = {r["node"]: r["component"] for r in connected_components(embedding_dedup.pass_edges(nodes)).collect()}
+    found = sum(i in part and part[i] == part.get(30_000 + i) for i in range(200))
+    assert found >= 0.95 * 200
+
+
 def test_chains():
     x, y = np.array([0, 10, 20, 30, 5]), np.array([0, 10, 20, 30, 90])
     assert best(x, y) == [0, 1, 2, 3]

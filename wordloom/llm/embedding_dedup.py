@@ -2,11 +2,14 @@
 
 In each pass every vector gets a key of concatenated random hashes, the signs of
 random projections.  Vectors are put in the order of their keys, each is
-compared with the ``NEIGHBOURS`` that follow it, those in the next range of the
-sorted table among them, and pairs of a cosine of at
-least the threshold are united over all passes.  Equal vectors are one row from
-the start.  The number of links is then counted exactly within each component,
-block by block, so groups larger than the window lose none.
+compared with a window of those that follow it, those in the next range of the
+sorted table among them, and pairs of a cosine of at least the threshold are
+united over all passes.  Equal vectors are one row from the start.  The number
+of links is then counted exactly within each component, block by block, so
+groups larger than the window lose none.
+
+How many passes a label needs, and how wide a window, follows from its size and
+from how close its vectors lie to each other anyway (``effort``).
 """
 
 from __future__ import annotations
@@ -23,6 +26,22 @@ from .components import connected_components
 from .tiles import over_tiles, tiled
 
 COSINE, PASSES, BITS, NEIGHBOURS = 0.98, 12, 62, 32
+"""Passes and neighbours are those of a label of ``SMALL`` vectors that point in all directions."""
+SMALL = 10_000
+
+
+def effort(n: int, mean: float, cosine: float = COSINE, passes: int = PASSES, neighbours: int = NEIGHBOURS) -> tuple[int, int]:
+    """(passes, neighbours) for a label of ``n`` vectors of a ``mean`` cosine.
+
+    The window doubles with every fourfold size, and once or twice where the
+    distance of a link is no longer small (a seventh, a third) against the mean
+    distance; passes grow by half of their number each time that the size or the
+    window so doubles.
+    """
+    doublings = max(0, int(np.ceil(np.log2(max(n, 1) / SMALL))))
+    share = (1 - cosine) / max(1 - mean, 1e-9)
+    steps = int(share >= 1 / 7) + int(share >= 1 / 3)
+    return int(passes * (1 + (steps + doublings) / 2)), neighbours << (steps + (doublings + 1) // 2)
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -54,9 +73,40 @@ def distinct_vectors(rows: DataFrame, vector: str, group: str) -> DataFrame:
     return stored(map_batches(once, make, f"node long, label {kind}, dim int, h1 long, h2 long, least long, copies long, vec binary"), "vectors")
 
 
+def _efforts(nodes: DataFrame, cosine: float, passes: int, neighbours: int) -> DataFrame:
+    """(label, dim, passes, neighbours) for each label: from its size and the length of its mean vector, whose square is the mean cosine."""
+    kind = nodes.schema["label"].dataType.simpleString()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = batch["dim"].to_numpy()
+            for dim in np.unique(dims).tolist():
+                part = batch.filter(pa.array(dims == dim))
+                coded = part["label"].dictionary_encode()
+                sums = np.zeros((len(coded.dictionary), dim))
+                np.add.at(sums, coded.indices.to_numpy(), _vectors(part["vec"].to_pylist()))
+                many = np.bincount(coded.indices.to_numpy(), minlength=len(sums))
+                at = np.tile(np.arange(dim, dtype=np.int32), len(sums))
+                labels = coded.dictionary.take(pa.array(np.repeat(np.arange(len(sums)), dim)))
+                yield pa.RecordBatch.from_arrays([labels, pa.array(np.full(len(at), dim, np.int32)), pa.array(at), pa.array(sums.ravel()), pa.array(np.repeat(many, dim))], names=["label", "dim", "at", "x", "n"])
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = [effort(n, square / n**2, cosine, passes, neighbours) for n, square in zip(batch["n"].to_pylist(), batch["square"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["label"], batch["dim"], *(pa.array([e[k] for e in each], pa.int32()) for k in (0, 1))], names=["label", "dim", "passes", "neighbours"])
+
+    parts = nodes.select("label", "dim", "vec").mapInArrow(add, f"label {kind}, dim int, at int, x double, n long")
+    means = parts.groupBy("label", "dim", "at").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
+    sizes = means.groupBy("label", "dim").agg(F.max("n").alias("n"), F.sum(F.col("x") * F.col("x")).alias("square"))
+    return stored(sizes.mapInArrow(choose, f"label {kind}, dim int, passes int, neighbours int"), "efforts")
+
+
 def pass_edges(nodes: DataFrame, cosine: float = COSINE, passes: int = PASSES, bits: int = BITS, neighbours: int = NEIGHBOURS, seed: int = 11) -> DataFrame:
-    """Edges (a, b) that unite what the passes' windows link."""
+    """Edges (a, b) that unite what the passes' windows link; passes and neighbours are those of ``effort`` for each label."""
     kind = nodes.schema["label"].dataType.simpleString()
+    efforts = _efforts(nodes, cosine, passes, neighbours)
+    most = efforts.agg(F.max("passes"), F.max("neighbours")).first()
+    passes, neighbours = (most[0] or passes), (most[1] or neighbours)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
@@ -68,10 +118,11 @@ def pass_edges(nodes: DataFrame, cosine: float = COSINE, passes: int = PASSES, b
                 x = _vectors(part["vec"].to_pylist())
                 if dim not in planes:
                     planes[dim] = np.random.default_rng(seed).standard_normal((dim, passes * bits))
-                signs = (x @ planes[dim] > 0).reshape(len(x), passes, bits)
-                all_keys = signs @ weights
-                for p in range(passes):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), p, np.int32)), part["label"], part["dim"], pa.array(all_keys[:, p]), part["node"], part["vec"]], names=["pass", "label", "dim", "key", "node", "vec"])
+                own = part["passes"].to_numpy()
+                for p in range(int(own.max())):
+                    some = part.filter(pa.array(own > p))
+                    key = (x[own > p] @ planes[dim][:, p * bits : (p + 1) * bits] > 0) @ weights
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), p, np.int32)), some["label"], some["dim"], pa.array(key), *(some[c] for c in ("node", "neighbours", "vec"))], names=["pass", "label", "dim", "key", "node", "neighbours", "vec"])
 
     order = ["seam", "pass", "label", "dim", "key", "node"]
 
@@ -83,7 +134,7 @@ def pass_edges(nodes: DataFrame, cosine: float = COSINE, passes: int = PASSES, b
                 continue
             fresh = pa.Table.from_batches([batch])
             t = fresh if held is None else pa.concat_tables([held, fresh])
-            of = {c: t[c].to_numpy() for c in (*order[:4], "node")}
+            of = {c: t[c].to_numpy() for c in (*order[:4], "node", "neighbours")}
             apart = np.zeros(max(0, t.num_rows - 1), bool)
             for c in order[:4]:
                 apart |= of[c][1:] != of[c][:-1]
@@ -94,7 +145,7 @@ def pass_edges(nodes: DataFrame, cosine: float = COSINE, passes: int = PASSES, b
                 lo, hi = np.searchsorted(same, [g, g + 1]).tolist()
                 x = _vectors(vecs[lo:hi])
                 pairs = []
-                for off in range(1, min(neighbours, hi - lo - 1) + 1):
+                for off in range(1, min(int(of["neighbours"][lo]), hi - lo - 1) + 1):
                     i = np.flatnonzero(np.einsum("ij,ij->i", x[:-off], x[off:]) >= cosine)
                     pairs.append(np.stack([i, i + off]) + lo)
                 if pairs:
@@ -113,7 +164,7 @@ def pass_edges(nodes: DataFrame, cosine: float = COSINE, passes: int = PASSES, b
                 yield pa.RecordBatch.from_arrays([pa.array(of["node"][hung]), pa.array(of["node"][label[hung]])], schema=schema)
             held = t.slice(max(0, t.num_rows - neighbours)).combine_chunks()
 
-    keyed = nodes.select("node", "label", "dim", "vec").mapInArrow(keys, f"pass int, label {kind}, dim int, key long, node long, vec binary")
+    keyed = nodes.select("node", "label", "dim", "vec").join(efforts, ["label", "dim"]).mapInArrow(keys, f"pass int, label {kind}, dim int, key long, node long, neighbours int, vec binary")
     ranges = stored(keyed, "keys").repartitionByRange(*order[1:]).sortWithinPartitions(*order[1:]).withColumn("seam", F.spark_partition_id())
     columns = ranges.columns
 
