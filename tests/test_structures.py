@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wordloom.operators import clustering, fitting, normalization, sparse_svd, tree_order, trie
+from wordloom.operators import clustering, evaluation, fitting, normalization, sparse_svd, tree_order, trie
 from wordloom.sources import files
 
 
@@ -200,3 +200,30 @@ def test_rules_and_types(spark):
     want = {"words_only": ["GOING", "X", None], "card_types": ["@CARD", "GOING", "X", None], "card_literals": ["12", "GOING", "X", None], "nonword_types": ["@CARD", "@MIXED", "GOING", "X", None], "nonword_literals": ["12", "1a", "GOING", "X", None]}
     for mode, norms in want.items():
         assert [r.norm for r in normalization.typed(tokens, mode, F.upper("w")).collect()] == norms
+
+
+def test_file_lists(spark, tmp_path):
+    for name in ("a", "b", "skipped"):
+        (tmp_path / f"{name}.t").write_text(f"{name}\tT\n")
+    (tmp_path / "list").write_text("%% names\n\n" + "".join(f"  {tmp_path}/{n}.t \n" for n in ("a", "b", "skipped", "a")))
+    words = lambda **how: sorted(t.text for r in files.read_file_list(spark, str(tmp_path / "list"), **how).collect() for t in r.toks)
+    assert words() == ["a", "b", "skipped"] and words(ignore="skip") == ["a", "b"] and words(select="/a", ignore="/b") == ["a"] and words(select="nothing") == []
+
+
+def test_segmentations(spark):
+    rows = [("unhappily", "un.happi.ly", "un.happily", 3), ("unhappily", "unhapp.ily", "un.happily", 1), ("walks", None, "walk.s", 2), ("x", "x", None, 5), ("go", "go", "go", 4)]
+    got = {r.unit: r for r in evaluation.segmentation_report(spark.createDataFrame(rows, "w string, seg1 string, seg2 string, f int")).collect()}
+    t = got["token"]
+    assert (t.n, t.coverage1, t.coverage2, t.right, t.found, t.wanted) == (15, 13 / 15, 10 / 15, 3, 7, 4) and t.precision == pytest.approx(3 / 7)
+    y = got["type"]
+    assert (y.n, y.right, y.found, y.wanted, y.f1) == (4, 1, 2, 1, pytest.approx(2 / 3))
+    assert evaluation.segmentation_report(spark.createDataFrame(rows[:0], "w string, seg1 string, seg2 string, f int")).count() == 0
+
+
+def test_signature_filters(spark):
+    stems = spark.createDataFrame([("walk", "NULL,ed,s", 3), ("talk", "NULL,ed,s", 3), ("jump", "NULL,s", 2), ("go", "es", 1), ("cat", "s", 1)], "stem string, signature string, suffixes long")
+    common = {r.stem: (r.signature, r.suffixes) for r in trie.without_rare_suffixes(stems, 3).collect()}
+    assert common == {"walk": ("NULL,s", 2), "talk": ("NULL,s", 2), "jump": ("NULL,s", 2), "cat": ("s", 1)}
+    assert {r.stem for r in trie.without_doubtful_signatures(stems, large=3).collect()} == {"walk", "talk"}
+    assert {r.stem for r in trie.without_doubtful_signatures(stems, large=2).collect()} == {"walk", "talk"}
+    assert trie.without_rare_suffixes(stems.limit(0)).count() == 0

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.storage import kept
@@ -58,3 +58,28 @@ def boundary_scores(pairs: DataFrame, found: str, wanted: str) -> DataFrame:
     sums = pairs.agg(F.sum(F.size(F.array_intersect(found, wanted))).alias("right"), F.sum(F.size(found)).alias("found"), F.sum(F.size(wanted)).alias("wanted"))
     p, r = F.col("right") / F.col("found"), F.col("right") / F.col("wanted")
     return sums.select("right", "found", "wanted", p.alias("precision"), r.alias("recall"), (2 * p * r / (p + r)).alias("f1"))
+
+
+def boundary_places(parse: Column | str, separator: str = ".") -> Column:
+    """The places, in letters, at which a parse is cut; null for no parse."""
+    parts = F.split(parse, f"[{separator}]")
+    sizes = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda x: F.length(x))
+    return F.aggregate(sizes, F.array().cast("array<int>"), lambda s, x: F.concat(s, F.array(F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0)) + x)))
+
+
+def segmentation_report(words: DataFrame, separator: str = ".") -> DataFrame:
+    """(unit, n, coverage1, coverage2, right, found, wanted, precision, recall, f1) of (w, seg1, seg2, f), a row for each word and pair of its parses with their count.
+
+    ``unit`` is token, where each counts ``f`` times, or type, where a word counts
+    once, by the least of its parses.  A null parse is unknown: it lowers the
+    coverage, and the word's boundaries are not compared.
+    """
+    types = words.groupBy("w").agg(F.min(F.struct("seg1", "seg2")).alias("s")).select(F.lit("type").alias("unit"), "s.seg1", "s.seg2", F.lit(1).cast("long").alias("f"))
+    rows = words.select(F.lit("token").alias("unit"), "seg1", "seg2", F.col("f").cast("long").alias("f")).unionByName(types)
+    both = F.col("seg1").isNotNull() & F.col("seg2").isNotNull()
+    placed = rows.select("unit", "f", "seg1", "seg2", boundary_places("seg1", separator).alias("a"), boundary_places("seg2", separator).alias("b"))
+    count = lambda size: F.sum(F.when(both, size * F.col("f")).otherwise(0))
+    known = lambda c: F.sum(F.when(F.col(c).isNotNull(), F.col("f")).otherwise(0)) / F.sum("f")
+    sums = placed.groupBy("unit").agg(F.sum("f").alias("n"), known("seg1").alias("coverage1"), known("seg2").alias("coverage2"), count(F.size(F.array_intersect("a", "b"))).alias("right"), count(F.size("a")).alias("found"), count(F.size("b")).alias("wanted"))
+    p, r = F.try_divide("right", "found"), F.try_divide("right", "wanted")
+    return sums.select("*", p.alias("precision"), r.alias("recall"), F.try_divide(2 * p * r, p + r).alias("f1"))

@@ -57,6 +57,26 @@ def signature_model(stems: DataFrame, least: int = 1) -> DataFrame:
     return stems.groupBy("signature").agg(F.count("*").alias("stems"), bits.alias("robustness")).where(F.col("stems") >= least)
 
 
+def _regrouped(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("stem").agg(F.sort_array(F.collect_set("suffix")).alias("s")).select("stem", F.array_join("s", ",").alias("signature"), F.size("s").cast("long").alias("suffixes"))
+
+
+def without_rare_suffixes(stems: DataFrame, least: int = 3) -> DataFrame:
+    """The table (stem, signature, suffixes) without suffixes that fewer than ``least`` stems have; stems that have none left go."""
+    pairs = stems.select("stem", F.explode(F.split("signature", ",")).alias("suffix"))
+    common = pairs.groupBy("suffix").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("suffix")
+    return _regrouped(pairs.join(common, "suffix"))
+
+
+def without_doubtful_signatures(stems: DataFrame, large: int = 25, long: int = 2, many: int = 2) -> DataFrame:
+    """The table without the stems of signatures that fewer than ``large`` stems share, unless ``many`` of their suffixes are null or of ``long`` letters or more."""
+    suffixes = F.split("signature", ",")
+    sound = F.size(F.filter(suffixes, lambda f: (f == NULL_SUFFIX) | (F.length(f) >= long))) >= many
+    sizes = stems.groupBy("signature").agg(F.count("*").alias("n"))
+    good = sizes.where((F.col("n") >= large) | sound).select("signature")
+    return stems.join(good, "signature").select("stem", "signature", "suffixes")
+
+
 def acceptor(unigrams: DataFrame, edge: str, reverse: bool = False) -> DataFrame:
     """(source, label, target, f): the arcs of the prefix (or suffix) acceptor of the words, an edge mark on either side; a state is the text that leads to it."""
     word = F.reverse("w") if reverse else F.col("w")

@@ -15,11 +15,11 @@ def format_of(path: str) -> str:
     return head if head in set(FORMATS.values()) else FORMATS.get(path.rsplit(".", 1)[-1].lower(), "tt")
 
 
-def read_corpus(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
-    """(file, sid, toks): sentences of (text, tag, details) tokens in any of the formats."""
+def read_corpus(spark: SparkSession, path: str | list[str], fmt: str | None = None) -> DataFrame:
+    """(file, sid, toks): sentences of (text, tag, details) tokens in any of the formats; several paths if the format is given."""
     fmt = fmt or format_of(path)
-    path = path.removeprefix(f"{fmt}:")
-    readers = {"tt": read_tt, "brown": lambda s, p: read_separated(s, p, "/"), "lob": lambda s, p: read_separated(s, p, "_", ignore="^"), "xml": read_xml, "parquet": lambda s, p: s.read.parquet(p)}
+    path = path.removeprefix(f"{fmt}:") if isinstance(path, str) else path
+    readers = {"tt": read_tt, "brown": lambda s, p: read_separated(s, p, "/"), "lob": lambda s, p: read_separated(s, p, "_", ignore="^"), "xml": read_xml, "parquet": lambda s, p: s.read.parquet(*([p] if isinstance(p, str) else p))}
     return readers[fmt](spark, path)
 
 
@@ -136,6 +136,21 @@ def write_files(sents: DataFrame, path: str, n: int) -> None:
     sents.repartition(n).write.parquet(path)
 
 
+def read_file_list(spark: SparkSession, path: str, fmt: str = "tt", select: str | None = None, ignore: str | None = None) -> DataFrame:
+    """(file, sid, toks) of all corpora that a list file names, one path a line, empty lines and those that start with %% left out.
+
+    Of these, paths that ``select`` is found in are read (all, if it is None), but not those that ``ignore`` is found in.
+    """
+    lines = F.trim("value")
+    named = spark.read.text(path).select(lines.alias("path")).where((F.col("path") != "") & ~F.col("path").startswith("%%"))
+    named = named if select is None else named.where(F.col("path").rlike(select))
+    named = named if ignore is None else named.where(~F.col("path").rlike(ignore))
+    paths = sorted({r["path"] for r in named.collect()})  # names of files, which Spark's own list of inputs holds as well
+    if not paths:
+        return spark.createDataFrame([], "file string, sid long, toks array<struct<text:string,tag:string,details:array<string>>>")
+    return read_corpus(spark, paths, fmt)
+
+
 def read_table(spark: SparkSession, path: str, separator: str = "\t") -> DataFrame:
     """A table of text whose header starts with ``#``; ``3(name)`` and ``name_3`` titles lose their number, repeated names get ``(k)``."""
     head = spark.read.text(path).where(F.col("value").startswith("#")).first()
@@ -258,8 +273,9 @@ def write_matrix(cells: DataFrame, path: str, row: str, column: str, value: str,
     """
     spark = cells.sparkSession
     spark.createDataFrame([("\t".join([row, *columns]),)], "value string").coalesce(1).write.text(f"{path}/header")
-    wide = cells.groupBy(row).pivot(column, columns).agg(F.first(value))
-    line = F.concat_ws("\t", F.col(row).cast("string"), *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).cast("string") for c in columns])
+    named = cells.select(F.col(row).alias("_row"), F.col(column).alias("_column"), F.col(value).alias("_value"))
+    wide = named.groupBy("_row").pivot("_column", columns).agg(F.first("_value"))
+    line = F.concat_ws("\t", F.col("_row").cast("string"), *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).cast("string") for c in columns])
     wide.select(line.alias("value")).write.text(f"{path}/rows")
 
 
