@@ -37,6 +37,8 @@ FEW = 2_000_000
 """Most keys found twice, of 8 bytes each, that are broadcast; more are joined by a shuffle."""
 BLOCK = 1 << 22
 """Windows of a text that are searched at once."""
+TOGETHER = 1 << 15
+"""Bytes of short texts that are searched at once: arrays of so many places stay in the cache."""
 
 _NO_ID = -(1 << 63)
 
@@ -63,7 +65,14 @@ def minimizer_runs(data: np.ndarray, match: int = MATCH) -> tuple[np.ndarray, np
 
 
 def _runs(data: np.ndarray, first: int, end: int, match: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    part = data[first : end + match - 1].astype(np.uint64) + np.uint64(1)
+    place = _minimizers(data[first : end + match - 1], match)
+    new = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+    return place[new] + first, new + first, np.append(new[1:], len(place)) - 1 + first
+
+
+def _minimizers(data: np.ndarray, match: int) -> np.ndarray:
+    """The place of the minimizer of each window."""
+    part = data.astype(np.uint64) + np.uint64(1)
     h, size, factor = part, 1, np.uint64(0x9E3779B97F4A7C15)
     while size < GRAM:
         h = h[:-size] * factor + h[size:]
@@ -78,9 +87,20 @@ def _runs(data: np.ndarray, first: int, end: int, match: int) -> tuple[np.ndarra
         size *= 2
     if size < width:
         best = np.minimum(best[: len(best) - (width - size)], best[width - size :])
-    place = (best & np.uint64((1 << 24) - 1)).astype(np.int64)
-    new = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    return place[new] + first, new + first, np.append(new[1:], len(place)) - 1 + first
+    return (best & np.uint64((1 << 24) - 1)).astype(np.int64)
+
+
+def runs_of(texts: list[bytes], match: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, minimizer, first start, last start) of the runs of several texts that are joined without marks; no window spans two."""
+    size = np.array([len(t) for t in texts])
+    end = np.cumsum(size)
+    windows = np.maximum(size - match + 1, 0)
+    place = _minimizers(np.frombuffer(b"".join(texts), np.uint8), match)
+    owner = np.repeat(np.arange(len(texts)), windows)
+    start = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows) + (end - size)[owner]
+    place = place[start]
+    new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (owner[1:] != owner[:-1])])) if len(owner) else np.zeros(0, np.int64)
+    return owner[new], place[new], start[new], start[np.append(new[1:], len(owner)) - 1] if len(new) else new
 
 
 def segments(text: bytes, place: int, first: int, last: int, level: int, base: int = 0, match: int = MATCH) -> Iterator[tuple[int, bytes, int, int]]:
@@ -93,6 +113,28 @@ def segments(text: bytes, place: int, first: int, last: int, level: int, base: i
         yield key - (1 << 64) if key >> 63 else key, xxh3_128_digest(text[a - base : b + match - base]), a, b - a + 1
 
 
+def all_segments(texts: list[bytes], match: int = MATCH) -> tuple[list[int], list[int], list[bytes], list[int], list[int], list[int]]:
+    """(texts, keys, contents, starts, windows, before) of all segments of some texts at the first level: as ``segments``, for all runs at once."""
+    data = b"".join(texts)
+    if len(texts) == 1:
+        place, first, last = minimizer_runs(np.frombuffer(data, np.uint8), match)
+        owner = np.zeros(len(place), np.int64)
+    else:
+        owner, place, first, last = runs_of(texts, match)
+    cell = cells(match)[0]
+    low = (place - last) // cell
+    many = (place - first) // cell - low + 1
+    run = np.repeat(np.arange(len(place)), many)
+    c = np.arange(len(run)) - np.repeat(np.cumsum(many) - many, many) + low[run]
+    place, owner = place[run], owner[run]
+    core = place - c * cell
+    start, end = np.maximum(first[run], core - cell + 1), np.minimum(last[run], core)
+    keys = [xxh3_64_intdigest(data[i : i + match + 1 - cell], k) for i, k in zip(core.tolist(), c.tolist(), strict=True)]
+    contents = [xxh3_128_digest(data[a:b]) for a, b in zip(start.tolist(), (end + match).tolist(), strict=True)]
+    at = np.cumsum([0, *map(len, texts)])[owner]
+    return owner.tolist(), np.array(keys, np.uint64).view(np.int64).tolist(), contents, (start - at).tolist(), (end - start + 1).tolist(), (place - start).tolist()
+
+
 def _as_bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
@@ -104,29 +146,17 @@ def occurrences(docs: DataFrame, match: int = MATCH) -> DataFrame:
         def step(batch: dict | None) -> Iterator[dict]:
             if not batch:
                 return
-            names = ("doc", "body", "key", "content", "start", "windows", "before")
-            out: dict[str, list] = {c: [] for c in names}
-            keys, contents, starts, windows, before = (out[c] for c in names[2:])
-            for doc, body, text in zip(batch["doc"], batch["body"], batch["text"], strict=True):
-                data = _as_bytes(text)
-                if len(data) < match:
-                    continue
-                had = len(keys)
-                for place, a, b in zip(*(x.tolist() for x in minimizer_runs(np.frombuffer(data, np.uint8), match)), strict=True):
-                    for key, content, start, many in segments(data, place, a, b, 0, match=match):
-                        keys.append(key)
-                        contents.append(content)
-                        starts.append(start)
-                        windows.append(many)
-                        before.append(place - start)
-                out["doc"] += [doc] * (len(keys) - had)
-                out["body"] += [body] * (len(keys) - had)
-                if len(keys) > 50_000:
-                    yield out
-                    for v in out.values():
-                        v.clear()
-            if keys:
-                yield out
+            names = ("key", "content", "start", "windows", "before")
+            rows = [(doc, body, data) for doc, body, text in zip(batch["doc"], batch["body"], batch["text"], strict=True) if len(data := _as_bytes(text)) >= match]
+            at = 0
+            while at < len(rows):
+                to, size = at + 1, len(rows[at][2])
+                while to < len(rows) and size + len(rows[to][2]) <= TOGETHER:
+                    size += len(rows[to][2])
+                    to += 1
+                owner, *columns = all_segments([r[2] for r in rows[at:to]], match)
+                yield {"doc": [rows[at + i][0] for i in owner], "body": [rows[at + i][1] for i in owner]} | dict(zip(names, columns, strict=True))
+                at = to
 
         return step
 
