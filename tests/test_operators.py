@@ -2,6 +2,7 @@ import itertools
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from wordloom.functions import scalar
@@ -69,13 +70,44 @@ def test_aggregates_of_nulls_and_nothing(spark):
     assert (out["n"]["sum"], out["n"]["prod"], out["n"]["avg"], out["n"]["med"], out["n"]["amdev"]) == (0.0, 1.0, 0.0, 0.0, 0.0)
 
 
-def test_agglomeration_and_buckshot(spark):
-    points = np.array([[0.0, 0], [0.1, 0], [5, 5], [5.1, 5], [9, 0]])
-    for link in ("average", "minimum", "maximum"):
-        labels = clustering.agglomerated(points, 3, link)
-        assert labels[0] == labels[1] != labels[2] == labels[3] != labels[4]
+def greedy(x, link):
+    """[(a, b, height, size)] by merging the nearest two clusters at a time."""
+    members = {i: [i] for i in range(len(x))}
+    d = {(i, j): round(float(np.abs(x[i] - x[j]).mean()), 12) for i in range(len(x)) for j in range(i + 1, len(x))}
+    out = []
+    while d:
+        height, (a, b) = min((v, k) for k, v in d.items())
+        out.append((a, b, height, len(members[a]) + len(members[b])))
+        for c in set(members) - {a, b}:
+            one, two = d[min(a, c), max(a, c)], d.pop((min(b, c), max(b, c)))
+            d[min(a, c), max(a, c)] = round({"average": (len(members[a]) * one + len(members[b]) * two) / (len(members[a]) + len(members[b])), "minimum": min(one, two), "maximum": max(one, two)}[link], 12)
+        del d[a, b]
+        members[a] += members.pop(b)
+    return out
+
+
+@pytest.mark.parametrize("link", clustering.LINKS)
+def test_agglomeration_equals_greedy_merging(spark, link):
+    x = np.random.default_rng(4).normal(size=(24, 3))
+    points = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id int, v array<double>").repartition(3)
+    tree = clustering.merges(points, "l1", link)
+    got, want = sorted(tuple(r) for r in tree.collect()), sorted(greedy(x, link))
+    assert [r[:2] + r[3:] for r in got] == [r[:2] + r[3:] for r in want] and np.allclose([r[2] for r in got], [r[2] for r in want])
+    label = list(range(24))
+    for a, b, _, _ in sorted(want, key=lambda r: (r[2], r[3], r[0], r[1]))[: 24 - 5]:
+        label = [a if c == b else c for c in label]
+    names = {c: k for k, c in enumerate(sorted(set(label)))}
+    assert {r.id: r.cluster for r in clustering.cut(points, tree, 5).collect()} == {i: names[c] for i, c in enumerate(label)}
+
+
+def test_agglomeration_of_ties_and_buckshot(spark):
+    points = [[0.0, 0], [0.1, 0], [5, 5], [5.1, 5], [9, 0], [9, 0], [9, 0]]
     rows = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(points)], "id int, v array<double>")
-    assert {r["cluster"] for r in clustering.buckshot(rows, 3).collect()} == {0, 1, 2}
+    by = {r["id"]: r["cluster"] for r in clustering.cut(rows, clustering.merges(rows), 3).collect()}
+    assert by == {0: 0, 1: 0, 2: 1, 3: 1, 4: 2, 5: 2, 6: 2}
+    assert clustering.merges(rows.limit(1)).count() == clustering.merges(rows.limit(0)).count() == 0
+    assert len({r["cluster"] for r in clustering.buckshot(rows, 3).collect()}) == 3
+    assert clustering.prototypes(500, 10) == 71 and clustering.prototypes(2, 10) == 10
 
 
 def test_trie_and_signatures(spark):

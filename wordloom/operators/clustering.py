@@ -52,8 +52,12 @@ def ranked(a: Column) -> Column:
 
 def centres(points: DataFrame, how: str = "mean") -> DataFrame:
     """(cluster, pos, value): the mean or median of each component over the points (cluster, v)."""
+    from .collection import medians
+
     each = points.select("cluster", F.posexplode("v").alias("pos", "x")).withColumn("x", F.col("x").cast("double"))
-    return each.groupBy("cluster", "pos").agg((F.avg("x") if how == "mean" else F.median("x")).alias("value"))
+    if how == "mean":
+        return each.groupBy("cluster", "pos").agg(F.avg("x").alias("value"))
+    return medians(each, ["cluster", "pos"], "x").withColumnRenamed("median", "value")
 
 
 def as_vectors(values: DataFrame) -> DataFrame:
@@ -100,36 +104,74 @@ def links(left: DataFrame, right: DataFrame, distance: str, how: str) -> DataFra
     return pairs.withColumn("d", DISTANCES[distance](F.col("a"), F.col("b"))).groupBy("cluster", "id").agg(fold("d").alias("d"))
 
 
-def agglomerated(vectors: np.ndarray, k: int, link: str = "average") -> list[int]:
-    """Cluster numbers of at most a few thousand vectors, merged until k clusters are left, ties to the lowest pair."""
-    n = len(vectors)
-    d = np.abs(vectors[:, None, :] - vectors[None, :, :]).mean(axis=2)
-    np.fill_diagonal(d, np.inf)
-    label, size, alive = np.arange(n), np.ones(n), n
-    while alive > k:
-        i, j = divmod(int(d.argmin()), n)
-        i, j = min(i, j), max(i, j)
-        merged = {"average": (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j]), "minimum": np.minimum(d[i], d[j]), "maximum": np.maximum(d[i], d[j])}[link]
-        d[i], d[:, i] = merged, merged
-        d[i, i] = np.inf
-        d[j], d[:, j] = np.inf, np.inf
-        size[i] += size[j]
-        label[label == j] = i
-        alive -= 1
-    names = {c: x for x, c in enumerate(sorted(set(label.tolist())))}
-    return [names[c] for c in label.tolist()]
-
-
-PROTOTYPES = 512
-"""Most rows that are agglomerated at once; beyond, the rest is attached to their clusters."""
-
-
-def buckshot(points: DataFrame, k: int, distance: str = "l1") -> DataFrame:
-    """(id, cluster): agglomerate at most ``PROTOTYPES`` rows with the least hashes, then attach all rows to the centres."""
-    chosen = points.orderBy(F.xxhash64("id"), "id").limit(PROTOTYPES).collect()
-    labels = agglomerated(np.array([r["v"] for r in chosen], float), min(k, len(chosen))) if chosen else []
-    named = points.sparkSession.createDataFrame([(c, [float(x) for x in r["v"]]) for c, r in zip(labels, chosen, strict=True)], "cluster int, v array<double>")
-    return attached(points, as_vectors(centres(named)), distance)
+LINKS = {
+    "average": "sum(d * m * n) / sum(m * n)",
+    "minimum": "min(d)",
+    "maximum": "max(d)",
+}
+"""How the distance of two merged clusters comes from those of their parts, of m and n elements."""
+
+
+def merges(points: DataFrame, distance: str = "l1", link: str = "average") -> DataFrame:
+    """(a, b, height, size): the tree of agglomerative clustering; cluster b, named by its least element, goes into a.
+
+    In a round all clusters that are each other's nearest merge at once, which for these links gives
+    the tree that merging the nearest two at a time gives (ties to the lowest
+    pair, distances to twelve places).  It needs a row for each two points: they
+    are for a caller who bounds them, as ``buckshot`` does.
+    """
+    close = F.round(DISTANCES[distance](F.col("q_v"), F.col("v")), 12).alias("d")
+    pairs = kept(paired(points.select("id", "v"), points.select("id", "v")).where(F.col("q_id") < F.col("id")).select(F.col("q_id").alias("i"), F.col("id").alias("j"), close), "pairs")
+    sizes = kept(points.select("id", F.lit(1).cast("long").alias("n")), "sizes")
+    out: list[DataFrame] = []
+    while True:
+        either = pairs.select(F.col("i").alias("id"), F.struct("d", F.col("j").alias("to")).alias("m")).unionByName(pairs.select(F.col("j").alias("id"), F.struct("d", F.col("i").alias("to")).alias("m")))
+        near = kept(either.groupBy("id").agg(F.min("m").alias("m")).select("id", "m.to", "m.d"), "nearest")
+        joined = near.select(F.col("id").alias("a"), F.col("to").alias("b"), F.col("d").alias("height")).join(near.select(F.col("id").alias("b"), F.col("to").alias("a")), ["a", "b"]).where("a < b")
+        with_size = joined.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
+        now = kept(with_size.select("a", "b", "height", (F.col("na") + F.col("nb")).alias("size")), "merges")
+        if now.isEmpty():
+            break
+        out.append(now)
+        gone = now.select(F.col("b").alias("id"), F.col("a").alias("into"))
+        moved = sizes.join(gone, "id", "left").select("id", "n", F.coalesce("into", "id").alias("into"))
+        left, right = moved.select(F.col("id").alias("i"), F.col("n").alias("m"), F.col("into").alias("x")), moved.select(F.col("id").alias("j"), "n", F.col("into").alias("y"))
+        met = pairs.join(left, "i").join(right, "j").where("x <> y").select(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "d", "m", "n")
+        pairs = kept(met.groupBy("i", "j").agg(F.round(F.expr(LINKS[link]), 12).alias("d")), "pairs")
+        sizes = kept(moved.groupBy(F.col("into").alias("id")).agg(F.sum("n").alias("n")), "sizes")
+    if not out:
+        return points.limit(0).select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("height"), F.lit(0).cast("long").alias("size"))
+    whole = out[0]
+    for more in out[1:]:
+        whole = whole.unionByName(more)
+    return whole
+
+
+def cut(points: DataFrame, tree: DataFrame, k: int) -> DataFrame:
+    """(id, cluster): the k clusters that are left without the k - 1 highest merges, numbered by their least elements."""
+    high = tree.orderBy(F.desc("height"), F.desc("size"), F.desc("a"), F.desc("b")).limit(k - 1)
+    below = tree.select("a", "b").join(high.select("a", "b"), ["a", "b"], "left_anti")
+    hops = kept(points.select("id").join(below.select(F.col("b").alias("id"), "a"), "id", "left").select("id", F.coalesce("a", "id").alias("to")), "hops")
+    while True:
+        on = hops.select(F.col("id").alias("to"), F.col("to").alias("on"))
+        hops = kept(hops.join(on, "to").select("id", F.col("on").alias("to"), (F.col("on") != F.col("to")).alias("moved")), "hops")
+        if hops.where("moved").isEmpty():
+            break
+    names = hops.select("to").distinct().withColumn("cluster", F.row_number().over(Window.orderBy("to")) - 1)  # k rows
+    return hops.join(F.broadcast(names), "to").select("id", "cluster")
+
+
+def prototypes(n: int, k: int) -> int:
+    """The number of rows that are agglomerated to find k clusters of n: their pairs are then as many as k n."""
+    return max(k, int(np.ceil(np.sqrt(k * n))))
+
+
+def buckshot(points: DataFrame, k: int, distance: str = "l1", link: str = "average") -> DataFrame:
+    """(id, cluster): agglomerate the ``prototypes`` of the least hashes, then attach all rows to the centres of these clusters."""
+    m = prototypes(points.count(), k)
+    chosen = kept(points.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(m), "prototypes")
+    labels = cut(chosen, kept(merges(chosen, distance, link), "tree"), k)
+    return attached(points, as_vectors(centres(chosen.join(labels, "id"))), distance)
 
 
 def paired(queries: DataFrame, rows: DataFrame, block: int = 500, share: int = 5000) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.storage import kept
 from ..operators import profiles
 from .registry import query
-from .text import _TOPS, bigrams, unigrams
+from .text import _TOPS, counted, unigrams
 
 _PAIRS = _TOPS + """,
 ex AS (SELECT 'left' AS dir, w2 AS t, w1 AS b, f FROM big WHERE w2 IN (SELECT w FROM targets) AND w1 IN (SELECT w FROM bounds)
@@ -22,7 +22,7 @@ pr AS (SELECT x.dir, x.t, x.b, CAST(x.f AS DOUBLE) AS f, CAST(sum(x.f) OVER (PAR
 
 
 def _profile(s, d, dense: bool):
-    uni, big = kept(unigrams(s, d), "unigrams"), kept(bigrams(s, d), "bigrams")
+    uni, big = counted(s, d)
     return profiles.profile(big, kept(profiles.most_frequent(uni, 500), "targets"), kept(profiles.most_frequent(uni, 200), "bounds"), dense)
 
 
@@ -75,7 +75,7 @@ def strongest(s, d):
 @query("lr_remap_bounds", _PAIRS.format("ex") + " SELECT dir, t, substr(b, 1, 1) AS b, CAST(sum(f) AS DOUBLE) AS f FROM ex GROUP BY dir, t, substr(b, 1, 1)", "big")
 def _(s, d):
     """Bounds replaced by hard classes: their first letters."""
-    uni, big = kept(unigrams(s, d), "unigrams"), kept(bigrams(s, d), "bigrams")
+    uni, big = counted(s, d)
     targets, bounds = kept(profiles.most_frequent(uni, 500), "targets"), kept(profiles.most_frequent(uni, 200), "bounds")
     classes = bounds.select(F.col("w").alias("b"), F.substring("w", 1, 1).alias("c"), F.lit(1.0).alias("p"))
     return profiles.remapped_bounds(profiles.extracted(big, targets, bounds), classes)

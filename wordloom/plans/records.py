@@ -118,8 +118,9 @@ def _(s, d):
 
 @query("stats_bundle", "SELECT event_type, round(avg(value), 6) AS mean, round(sqrt(avg(value * value)), 6) AS rms, round(median(value), 6) AS median, min(value) AS least, max(value) AS most, round(covar_pop(value, user_id), 3) AS covariance FROM events GROUP BY event_type")
 def _(s, d):
-    v = F.col("value")
-    return table(s, d, "events").groupBy("event_type").agg(F.round(F.avg(v), 6).alias("mean"), F.round(F.sqrt(F.avg(v * v)), 6).alias("rms"), F.round(F.median(v), 6).alias("median"), F.min(v).alias("least"), F.max(v).alias("most"), F.round(F.covar_pop("value", "user_id"), 3).alias("covariance"))
+    v, events = F.col("value"), table(s, d, "events")
+    sums = events.groupBy("event_type").agg(F.round(F.avg(v), 6).alias("mean"), F.round(F.sqrt(F.avg(v * v)), 6).alias("rms"), F.min(v).alias("least"), F.max(v).alias("most"), F.round(F.covar_pop("value", "user_id"), 3).alias("covariance"))
+    return sums.join(collection.medians(events, ["event_type"], "value").withColumn("median", F.round("median", 6)), "event_type")
 
 
 @query("z_scores", "SELECT event_id, round((value - m) / s, 6) AS z FROM events JOIN (SELECT event_type, avg(value) AS m, stddev_pop(value) AS s FROM events GROUP BY event_type) USING (event_type)")
@@ -225,10 +226,32 @@ def _(s, d):
 
 @query("buckshot")
 def _(s, d):
-    """All vectors attached to the clusters of a bounded set of agglomerated prototypes."""
+    """All vectors attached to the clusters of agglomerated prototypes, the square root of k n of them."""
     return clustering.buckshot(_points(s, d).drop("cluster"), 10)
 
 
+def _nations(s, d):
+    """(id, v): for each nation the shares of its customers' segments."""
+    counts = table(s, d, "customer").groupBy(F.col("c_nationkey").alias("id"), "c_mktsegment").agg(F.count("*").alias("n"))
+    segments = F.broadcast(counts.select("c_mktsegment").distinct())
+    grid = counts.select("id").distinct().crossJoin(segments).join(counts, ["id", "c_mktsegment"], "left")  # nations by segments
+    rows = grid.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("c_mktsegment", F.coalesce("n", F.lit(0)).alias("n")))).alias("x"), F.sum("n").alias("whole"))
+    return kept(rows.select("id", F.transform("x", lambda x: x["n"] / F.col("whole")).alias("v")), "nations")
+
+
+@query("agglomerated")
+def _(s, d):
+    """The tree of all nations by their customers' segments: which goes into which, and at what distance."""
+    return clustering.merges(_nations(s, d)).withColumn("height", F.round("height", 9))
+
+
+@query("agglomerated_cut")
+def _(s, d):
+    """The same cut into five clusters."""
+    points = _nations(s, d)
+    return clustering.cut(points, kept(clustering.merges(points), "tree"), 5)
+
+
 for _how in ("min", "max", "avg"):
 
     def _add_link(how: str) -> None:

@@ -10,7 +10,7 @@ from ..operators import evaluation, morphology, profile_shapes, profiles, stages
 from .associations import _PAIRS, _profile
 from .registry import query
 from .records import _points
-from .text import _LEX, bigrams, tagged, unigrams
+from .text import _LEX, bigrams, counted, tagged, unigrams
 
 _GT = _PAIRS.format("dense") + """, cc AS (SELECT dir, f AS r, count(*) AS nr FROM pr WHERE f > 0 GROUP BY dir, f),
 gp AS (SELECT dir, r, nr, coalesce(lag(r) OVER o, 0) AS lo, lead(r) OVER o AS hi FROM cc WINDOW o AS (PARTITION BY dir ORDER BY r)), zz AS (SELECT dir, r, 2 * nr / (coalesce(hi, 2 * r - lo) - lo) AS z FROM gp)"""
@@ -44,7 +44,7 @@ def _(s, d):
 l AS (SELECT regr_slope(ln(f + 1), ln(rank)) AS e, regr_intercept(ln(f + 1), ln(rank)) AS a FROM lv)
 SELECT dir, t, b, round(a + e * ln(rank), 4) + 0.0 AS value FROM ex JOIN lv USING (f), l""", "big")
 def _(s, d):
-    uni, big = kept(unigrams(s, d), "unigrams"), kept(bigrams(s, d), "bigrams")
+    uni, big = counted(s, d)
     pairs = profiles.extracted(big, kept(profiles.most_frequent(uni, 500), "targets"), kept(profiles.most_frequent(uni, 200), "bounds"))
     return _rounded(profile_shapes.zipf_fitted(pairs, big))
 
@@ -70,7 +70,7 @@ def _(s, d):
 
     long = sents(s, d).where(F.size("toks") >= 3).select(F.explode(corpus.windows(F.col("toks"), 3)).alias("g")).select("g.*")
     top = kept(long.groupBy("w1", "w2", "w3").agg(F.count("*").alias("f")).orderBy(F.desc("f"), "w1", "w2", "w3").limit(200).drop("f"), "trigrams")
-    uni, big = kept(unigrams(s, d), "unigrams"), kept(bigrams(s, d), "bigrams")
+    uni, big = counted(s, d)
     pairs = profiles.extracted(big, kept(profiles.most_frequent(uni, 500), "targets"), kept(profiles.most_frequent(uni, 200), "bounds"))
     return profile_shapes.trigram_slots(kept(pairs, "pairs"), top)
 
@@ -112,7 +112,7 @@ def _(s, d):
 @query("merged_classes")
 def _(s, d):
     """The 40 most frequent words in ten classes, merged by mutual information over all bigrams."""
-    uni, big = kept(unigrams(s, d), "unigrams"), kept(bigrams(s, d), "bigrams")
+    uni, big = counted(s, d)
     words = [r["w"] for r in profiles.most_frequent(uni, 40).collect()]
     at = {w: i for i, w in enumerate(words)}
     c = np.zeros((len(words), len(words)))

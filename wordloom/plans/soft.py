@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.storage import kept
 from ..operators import corpus, multistage, profile_shapes, soft_classes, sparse_rows
 from .registry import query
-from .text import bigrams, sents, unigrams
+from .text import counted, sents
 
 _SHARES = "{0}s AS (SELECT t, dir || ':' || b AS k, f / sum(f) OVER (PARTITION BY dir, t) AS x FROM {0})"
 _FAR = """{0}a AS (SELECT t, sum(x) AS a FROM {1} GROUP BY t), {0}b AS (SELECT c, sum(x) AS b FROM {2} GROUP BY c),
@@ -30,7 +30,7 @@ bt AS (SELECT w, f / avg(f) OVER () AS beta FROM uni)"""
 
 def _model(s, d):
     """(bigrams, unigrams, model): one assignment to the profiles of the six most frequent words."""
-    uni, big = kept(unigrams(s, d), "unigrams"), kept(bigrams(s, d), "bigrams")
+    uni, big = counted(s, d)
     top = lambda n: uni.orderBy(F.desc("f"), "w").limit(n).select("w")
     return big, uni, multistage._first(big, uni, top(200), 100, 6, 1, "l1")[0]
 
@@ -217,7 +217,8 @@ def _add_stages(kind: str) -> None:
     @query(f"{kind}_stages")
     def _(s, d):
         """All words in 20 classes of like neighbours: 200 words clustered, then 1,000, then all others."""
-        model = multistage.staged(kind, kept(bigrams(s, d), "bigrams"), kept(unigrams(s, d), "unigrams"), [200, 1_000, None], 100, 20, beta=3.0)
+        uni, big = counted(s, d)
+        model = multistage.staged(kind, big, uni, [200, 1_000, None], 100, 20, beta=3.0)
         return model.own.select("w", F.col("c").alias("cluster"), "stage")
 
 

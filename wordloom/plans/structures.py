@@ -9,7 +9,7 @@ from ..operators import clustering, corpus, fitting, multistage, normalization,
 from .records import _DISTANCE, _points
 from .registry import query
 from .shapes import _TREE, _tree
-from .text import bigrams, sents, toks, unigrams
+from .text import counted, sents, toks, unigrams
 
 _STARTS = "SELECT CAST((n - 1) // 5 AS INTEGER) AS run, CAST((n - 1) % 5 AS INTEGER) AS cluster, c FROM (SELECT row_number() OVER (ORDER BY vec_id) AS n, CAST(embedding AS DOUBLE[]) AS c FROM embeddings) WHERE n <= 15"
 
@@ -57,7 +57,7 @@ def _(s, d):
 
 def _profiles(s, d):
     """The neighbours' distributions of all words."""
-    big, uni = kept(bigrams(s, d), "bigrams"), kept(unigrams(s, d), "unigrams")
+    uni, big = counted(s, d)
     return kept(sparse_rows.shares(multistage.cells(big, uni.select("w"))), "profiles")
 
 
@@ -65,7 +65,7 @@ def _profiles(s, d):
 def _(s, d):
     """Every word in the space of the sixteen largest singular values of all words' neighbours."""
     rows = _profiles(s, d)
-    return sparse_svd.applied(rows, sparse_svd.decomposed(rows, 16, rounds=12, tolerance=1e-6))
+    return sparse_svd.applied(rows, sparse_svd.decomposed(rows, 16, rounds=6, tolerance=1e-6))
 
 
 def _acceptor_sql(order: str) -> str:

@@ -27,6 +27,13 @@ def bigrams(spark: SparkSession, d: str) -> DataFrame:
     return corpus.ngram_counts(sents(spark, d), 2)
 
 
+def counted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(words (w, f), bigrams (w1, w2, f)), stored: one pass over the documents, as a word's count is that of the bigrams that it ends."""
+    big = kept(bigrams(spark, d), "bigrams")
+    ended = big.where(F.col("w2") != corpus.EDGE).groupBy(F.col("w2").alias("w")).agg(F.sum("f").alias("f"))
+    return kept(ended, "unigrams"), big
+
+
 def tagged(spark: SparkSession, d: str) -> DataFrame:
     return toks(spark, d).withColumn("tag", F.col("lang"))
 
