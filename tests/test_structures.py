@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wordloom.operators import clustering, evaluation, fitting, normalization, sparse_svd, tree_order, trie
+from wordloom.operators import clustering, dictionary, evaluation, fitting, normalization, profile_shapes, sparse_svd, tree_order, trie
 from wordloom.sources import files
 
 
@@ -227,3 +227,21 @@ def test_signature_filters(spark):
     assert {r.stem for r in trie.without_doubtful_signatures(stems, large=3).collect()} == {"walk", "talk"}
     assert {r.stem for r in trie.without_doubtful_signatures(stems, large=2).collect()} == {"walk", "talk"}
     assert trie.without_rare_suffixes(stems.limit(0)).count() == 0
+
+
+def test_dictionaries_that_grow(spark):
+    known = spark.createDataFrame([("b", 0), ("a", 5)], "sym string, id long")
+    new = spark.createDataFrame([("c",), ("a",), (None,), ("c",), ("é",)], "sym string")
+    assert {tuple(r) for r in dictionary.grown(known, new).collect()} == {("b", 0), ("a", 5), ("c", 6), ("é", 7)}
+    assert {tuple(r) for r in dictionary.grown(known.limit(0), new).collect()} == {("a", 0), ("c", 1), ("é", 2)}
+    assert {tuple(r) for r in dictionary.grown(known, new.limit(0)).collect()} == {("b", 0), ("a", 5)}
+    pairs = spark.createDataFrame([("a", 0), ("z", 0), ("q", 9), ("q", 7)], "sym string, id long")
+    assert {tuple(r) for r in dictionary.forced(known, pairs).collect()} == {("a", 0), ("q", 7)}
+
+
+def test_cell_ranks(spark):
+    cells = spark.createDataFrame([("left", "a", "x", 1.0), ("left", "b", "x", 3.0), ("right", "a", "x", 1.0), ("right", "a", "y", 0.0)], "dir string, t string, b string, f double")
+    rows = lambda **how: {(r.dir, r.t, r.b): r.value for r in profile_shapes.cell_ranks(cells, **how).collect()}
+    keys = [("left", "a", "x"), ("left", "b", "x"), ("right", "a", "x"), ("right", "a", "y")]
+    assert rows() == dict(zip(keys, [0.0, 1.0, 1.0, 0.0], strict=True)) and rows(joint=True) == dict(zip(keys, [1.5, 3.0, 1.5, 0.0], strict=True))
+    assert rows(shared=False) == dict(zip(keys, [0.0, 1.0, 1.0, 0.0], strict=True)) and rows(shared=False, joint=True) == dict(zip(keys, [1.0, 3.0, 2.0, 0.0], strict=True))

@@ -13,6 +13,11 @@ def log2_or_zero(x: Column, zero: float = 0.0) -> Column:
     return F.when(x > 0, F.log2(x)).otherwise(F.lit(zero))
 
 
+def log_or_zero(x: Column, base: float | None = None, zero: float = 0.0) -> Column:
+    """The logarithm to a base, natural without one; ``zero`` where it is not finite."""
+    return F.when(x > 0, F.log(x) if base is None else F.log(float(base), x)).otherwise(F.lit(zero))
+
+
 def log_add(x: Column, y: Column) -> Column:
     """ln(e^x + e^y) without overflow."""
     return F.greatest(x, y) + F.log1p(F.exp(-F.abs(x - y)))

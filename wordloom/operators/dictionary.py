@@ -80,3 +80,17 @@ def vectors(rows: DataFrame, column: str) -> DataFrame:
 def recoded(symbols: DataFrame, column: str, source: str, to: str) -> DataFrame:
     """Symbols whose bytes in one character set are read in another."""
     return symbols.withColumn(column, F.decode(F.encode(F.col(column), source), to))
+
+
+def grown(enum: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(sym, id): a dictionary of symbols or vectors with the new ones of ``symbols`` (sym) behind the old, in their order; old ids stay."""
+    new = kept(symbols.select("sym").where("sym is not null").distinct().join(enum.select("sym"), "sym", "left_anti"), "symbols")
+    last = enum.agg(F.max("id").alias("m")).first()["m"]
+    return enum.select("sym", "id").unionByName(indexed(new, ["sym"], "id", 0 if last is None else last + 1).select("sym", "id"))
+
+
+def forced(enum: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(sym, id) with the ids that ``pairs`` (sym, id) force: a symbol's old id and an id's old symbol go; of several ids for a symbol, and of several symbols for an id, the least stays."""
+    once = kept(pairs.groupBy("sym").agg(F.min("id").alias("id")).groupBy("id").agg(F.min("sym").alias("sym")).select("sym", "id"), "forced")
+    rest = enum.select("sym", "id").join(once.select("sym"), "sym", "left_anti").join(once.select("id"), "id", "left_anti")
+    return rest.select("sym", "id").unionByName(once)

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .dictionary import indexed
+
 
 def _spread_counts(profile: DataFrame) -> DataFrame:
     """(dir, r, nr, z) of the weights above 0: counts of counts spread over the gaps between them."""
@@ -30,14 +32,22 @@ def good_turing_profile(dense: DataFrame) -> DataFrame:
     return met.select("dir", "t", "b", F.when(F.col("f") > 0, up).otherwise(zero).alias("value"))
 
 
-def interpolated_profile(dense: DataFrame) -> DataFrame:
-    """l2 f + l1 f(b), for a profile with ft, fb and n: each pair's weight goes to the better of two leave-one-out estimates, in each direction."""
-    conditional = F.when(F.col("fb") > 1, (F.col("f") - 1) / (F.col("fb") - 1)).otherwise(0.0)
-    plain = F.when(F.col("n") > 1, (F.col("ft") - 1) / (F.col("n") - 1)).otherwise(0.0)
+def interpolated_profile(dense: DataFrame, over: str = "b", weights: DataFrame | None = None) -> DataFrame:
+    """l2 f + l1 f(over), for a profile with ft, fb and n; ``over`` is the bound (b) or the target (t).
+
+    Each pair's weight goes to the better of two leave-one-out estimates, in
+    each direction.  With ``weights`` (l1, l2), such as those of all bigrams, both directions have these.
+    """
+    given, other = ("fb", "ft") if over == "b" else ("ft", "fb")
+    if weights is not None:
+        met = dense.crossJoin(F.broadcast(weights.select("l1", "l2")))  # one row
+        return met.select("dir", "t", "b", (F.col("l2") * F.col("f") + F.col("l1") * F.col(given)).alias("value"))
+    conditional = F.when(F.col(given) > 1, (F.col("f") - 1) / (F.col(given) - 1)).otherwise(0.0)
+    plain = F.when(F.col("n") > 1, (F.col(other) - 1) / (F.col("n") - 1)).otherwise(0.0)
     won = dense.where("f > 0").groupBy("dir").agg(F.sum(F.when(conditional > plain, F.col("f")).otherwise(0.0)).alias("w2"), F.sum("f").alias("all"))
     met = dense.join(F.broadcast(won), "dir")
     share = F.col("w2") / F.col("all")
-    return met.select("dir", "t", "b", (share * F.col("f") + (1 - share) * F.col("fb")).alias("value"))
+    return met.select("dir", "t", "b", (share * F.col("f") + (1 - share) * F.col(given)).alias("value"))
 
 
 def frequency_entropy(dense: DataFrame) -> DataFrame:
@@ -57,11 +67,20 @@ def zipf_fitted(pairs: DataFrame, bigrams: DataFrame) -> DataFrame:
     return pairs.join(levels, "f").crossJoin(F.broadcast(line)).select("dir", "t", "b", (F.col("a") + F.col("e") * F.log("rank")).alias("value"))
 
 
-def cell_ranks(dense: DataFrame) -> DataFrame:
-    """Mean ranks, from 0, of the cells of each direction by rising weight."""
-    order = Window.partitionBy("dir").orderBy("f")  # one row for each different weight
-    levels = dense.groupBy("dir", "f").agg(F.count("*").alias("many")).select("dir", "f", (F.sum("many").over(order) - F.col("many") + (F.col("many") - 1) / 2).alias("value"))
-    return dense.join(levels, ["dir", "f"]).select("dir", "t", "b", "value")
+def cell_ranks(dense: DataFrame, shared: bool = True, joint: bool = False) -> DataFrame:
+    """Ranks, from 0, of the cells by rising weight: mean ranks of equal weights, or, not ``shared``, one rank each in the order of the cells; in each direction, or over both (``joint``)."""
+    if not shared:
+        order = ["f", "dir", "t", "b"] if joint else ["dir", "f", "t", "b"]
+        placed = indexed(dense.select("dir", "t", "b", "f"), order, "place")
+        if joint:
+            return placed.select("dir", "t", "b", F.col("place").cast("double").alias("value"))
+        first = placed.groupBy("dir").agg(F.min("place").alias("first"))
+        return placed.join(F.broadcast(first), "dir").select("dir", "t", "b", (F.col("place") - F.col("first")).cast("double").alias("value"))
+    by = [] if joint else ["dir"]
+    counts = dense.groupBy(*by, "f").agg(F.count("*").alias("many"))
+    order = Window.partitionBy(*by).orderBy("f")  # one row for each different weight
+    levels = counts.select(*by, "f", (F.sum("many").over(order) - F.col("many") + (F.col("many") - 1) / 2).alias("value"))
+    return dense.join(levels, [*by, "f"]).select("dir", "t", "b", "value")
 
 
 def weighted_sides(pairs: DataFrame) -> DataFrame:

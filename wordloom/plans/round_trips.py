@@ -242,3 +242,59 @@ def _(s, d):
     totals = lex.groupBy("tag").agg(F.sum("f").alias("n"))
     p = lex.join(totals, "tag").select("w", "tag", (F.col("f") / F.col("n")).alias("p"))
     return hmm_tables.frequencies(p, totals, "tag", rounded=True).select("w", "tag", F.col("f").cast("double").alias("f"))
+
+
+@query("log_forms", "SELECT l_orderkey, l_linenumber, round(CASE WHEN x > 0 THEN log2(x) ELSE 0 END, 9) AS two, round(CASE WHEN x > 0 THEN ln(x) ELSE 0 END, 9) AS natural, round(CASE WHEN x > 0 THEN log10(x) ELSE 0 END, 9) AS ten, round(CASE WHEN x > 0 THEN log2(x) ELSE -99 END, 9) AS marked FROM (SELECT l_orderkey, l_linenumber, l_discount AS x FROM lineitem)")
+def _(s, d):
+    """Logarithms of discounts, of which many are 0."""
+    x = F.col("l_discount")
+    forms = {"two": scalar.log2_or_zero(x), "natural": scalar.log_or_zero(x), "ten": scalar.log_or_zero(x, 10), "marked": scalar.log2_or_zero(x, -99.0)}
+    return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", *[F.round(c, 9).alias(n) for n, c in forms.items()])
+
+
+@query("plain_titles", "SELECT DISTINCT p_type, regexp_replace(p_type, '[^A-Za-z0-9_]+', '_', 'g') AS title FROM part")
+def _(s, d):
+    return table(s, d, "part").select("p_type", scalar.plain_name(F.col("p_type")).alias("title")).distinct()
+
+
+@query("coll_only", "SELECT o_orderkey, 'priority=>' || o_orderpriority || ' && status=>' || o_orderstatus AS key FROM orders")
+def _(s, d):
+    """Orders as records cut to two variables."""
+    from ..operators import collection
+    from .records import _records
+
+    return collection.keyed(collection.only(_records(s, d), ["status", "priority"])).select("o_orderkey", "key")
+
+
+@query("enum_grown", ", a AS (SELECT DISTINCT w FROM tok WHERE lang = 'en'), b AS (SELECT DISTINCT w FROM tok WHERE w NOT IN (SELECT w FROM a)) SELECT w AS sym, CAST(row_number() OVER (ORDER BY w) - 1 AS BIGINT) AS id FROM a UNION ALL SELECT w, CAST(row_number() OVER (ORDER BY w) - 1 + (SELECT count(*) FROM a) AS BIGINT) FROM b", "tok")
+def _(s, d):
+    """A dictionary of English words to which all others are added."""
+    from ..operators import dictionary
+    from .text import toks
+
+    words = kept(toks(s, d).select(F.col("w").alias("sym"), "lang").distinct(), "words")
+    english = kept(dictionary.dictionary(words.where("lang = 'en'"), "sym"), "english")
+    return dictionary.grown(english, words)
+
+
+@query("enum_vectors_grown", "WITH v AS (SELECT CAST(embedding[1:3] AS INTEGER[]) AS v, vec_id FROM embeddings), a AS (SELECT DISTINCT v FROM v WHERE vec_id < 100), b AS (SELECT DISTINCT v FROM v WHERE v NOT IN (SELECT v FROM a)) SELECT array_to_string(v, ' ') AS sym, CAST(row_number() OVER (ORDER BY v) - 1 AS BIGINT) AS id FROM a UNION ALL SELECT array_to_string(v, ' '), CAST(row_number() OVER (ORDER BY v) - 1 + (SELECT count(*) FROM a) AS BIGINT) FROM b")
+def _(s, d):
+    """A dictionary of rounded vectors, to which those of later ids are added."""
+    from ..operators import dictionary
+
+    short = F.transform(F.slice("embedding", 1, 3), lambda x: F.rint(x).cast("int"))
+    vectors = kept(table(s, d, "embeddings").select(short.alias("sym"), "vec_id"), "vectors")
+    first = kept(dictionary.vectors(vectors.where("vec_id < 100"), "sym"), "first")
+    return dictionary.grown(first, vectors).select(F.array_join("sym", " ").alias("sym"), "id")
+
+
+@query("enum_forced", ", e AS (SELECT w AS sym, row_number() OVER (ORDER BY w) - 1 AS id FROM uni), p AS (SELECT w AS sym, 2 * (row_number() OVER (ORDER BY f DESC, w) - 1) AS id FROM uni ORDER BY f DESC, w LIMIT 200) SELECT sym, CAST(id AS BIGINT) AS id FROM p UNION ALL SELECT sym, CAST(id AS BIGINT) FROM e WHERE sym NOT IN (SELECT sym FROM p) AND id NOT IN (SELECT id FROM p)", "tok")
+def _(s, d):
+    """A dictionary in which the 200 most frequent words get the first even ids."""
+    from pyspark.sql import Window
+
+    from ..operators import dictionary
+
+    uni = kept(unigrams(s, d), "unigrams")
+    top = uni.orderBy(F.desc("f"), "w").limit(200).select(F.col("w").alias("sym"), (2 * (F.row_number().over(Window.orderBy(F.desc("f"), "w")) - 1)).cast("long").alias("id"))  # 200 rows
+    return dictionary.forced(kept(dictionary.dictionary(uni, "w"), "enum"), kept(top, "top"))

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.storage import kept, table
-from ..operators import evaluation, morphology, profile_shapes, profiles, stages
+from ..operators import evaluation, language_model, morphology, profile_shapes, profiles, stages
 from .associations import _PAIRS, _profile
 from .registry import query
 from .records import _points
@@ -54,6 +54,35 @@ def _(s, d):
     return _rounded(profile_shapes.cell_ranks(_profile(s, d, True)))
 
 
+for _name, _order in (("unique", "PARTITION BY dir ORDER BY f, t, b"), ("joint_unique", "ORDER BY f, dir, t, b")):
+
+    def _add_unique(name: str, order: str) -> None:
+        @query(f"lr_frequency_ranks_{name}", _PAIRS.format("dense") + f" SELECT dir, t, b, CAST(row_number() OVER ({order}) - 1 AS DOUBLE) AS value FROM pr", "big")
+        def _(s, d):
+            return profile_shapes.cell_ranks(_profile(s, d, True), shared=False, joint=name.startswith("joint"))
+
+    _add_unique(_name, _order)
+
+
+@query("lr_frequency_ranks_joint", _PAIRS.format("dense") + " SELECT dir, t, b, rank() OVER (ORDER BY f) + (count(*) OVER (PARTITION BY f) - 1) / 2.0 - 1 AS value FROM pr", "big")
+def _(s, d):
+    return profile_shapes.cell_ranks(_profile(s, d, True), joint=True)
+
+
+@query("lr_interpolated_targets", _PAIRS.format("dense") + """, w AS (SELECT dir, sum(CASE WHEN (CASE WHEN ft > 1 THEN (f - 1) / (ft - 1) ELSE 0 END) > (CASE WHEN n > 1 THEN (fb - 1) / (n - 1) ELSE 0 END) THEN f ELSE 0 END) / sum(f) AS l2 FROM pr WHERE f > 0 GROUP BY dir)
+SELECT dir, t, b, round(l2 * f + (1 - l2) * ft, 4) + 0.0 AS value FROM pr JOIN w USING (dir)""", "big")
+def _(s, d):
+    return _rounded(profile_shapes.interpolated_profile(_profile(s, d, True), over="t"))
+
+
+@query("lr_interpolated_all", _PAIRS.format("dense") + """, u1 AS (SELECT w1, sum(f) AS f1 FROM big GROUP BY w1), u2 AS (SELECT w2, sum(f) AS f2 FROM big GROUP BY w2), nn AS (SELECT sum(f) AS n FROM big),
+w AS (SELECT sum(CASE WHEN (CASE WHEN f1 > 1 THEN (f - 1) / (f1 - 1) ELSE 0 END) > (CASE WHEN n > 1 THEN (f2 - 1) / (n - 1) ELSE 0 END) THEN f ELSE 0 END) / sum(f) AS l2 FROM big JOIN u1 USING (w1) JOIN u2 USING (w2), nn)
+SELECT dir, t, b, round(l2 * f + (1 - l2) * fb, 4) + 0.0 AS value FROM pr, w""", "big")
+def _(s, d):
+    """By the weights of all bigrams."""
+    return _rounded(profile_shapes.interpolated_profile(_profile(s, d, True), weights=language_model.interpolation_weights(bigrams(s, d))))
+
+
 @query("lr_weighted_sides", _PAIRS.format("ex") + """, mi AS (SELECT dir, t, sum(log2(f * nl / (ftl * fbl))) AS mi FROM pr GROUP BY dir, t), w AS (SELECT dir, t, CASE WHEN mi <> 0 THEN mi / sum(mi) OVER (PARTITION BY t) ELSE 0 END AS w FROM mi)
 SELECT dir, t, b, round(f / nl * w, 7) + 0.0 AS value FROM pr JOIN w USING (dir, t)""", "big")
 def _(s, d):
