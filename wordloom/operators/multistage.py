@@ -38,10 +38,14 @@ class Model:
     far: DataFrame
 
     def membership(self, beta: float = 1.0, betas: DataFrame | None = None, base: float = 2.0) -> DataFrame:
-        """(w, c, p): base^(-beta d) over their sum; ``betas`` (w, beta) gives each word its own."""
-        far = self.far if betas is None else self.far.join(betas, "w")
+        """(w, c, p): base^(-beta d) over their sum; ``betas`` (w, beta) gives each word its own.
+
+        Distances count from a word's least, so that no beta makes all its weights vanish.
+        """
+        far = self.far.join(self.far.groupBy("w").agg(F.min("d").alias("least")), "w")
+        far = far if betas is None else far.join(betas, "w")
         b = F.lit(float(beta)) if betas is None else F.col("beta") * float(beta)
-        return of_shares(far, F.pow(F.lit(base), -b * F.col("d")))
+        return of_shares(far, F.pow(F.lit(base), -b * (F.col("d") - F.col("least"))))
 
 
 def frequency_betas(unigrams: DataFrame) -> DataFrame:

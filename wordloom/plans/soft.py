@@ -163,7 +163,7 @@ def _(s, d):
     return multistage.next_stage("attach", model, big, uni, fresh, 2, 6, beta=3.0).own
 
 
-@query("stage_merged", _SOFT + _ATTACH + ", al AS (SELECT w, c, d FROM ds UNION ALL SELECT w, c, d FROM df) SELECT w, CAST(c AS INTEGER) AS c, round(power(2.0, -2 * beta * d) / sum(power(2.0, -2 * beta * d)) OVER (PARTITION BY w), 6) + 0.0 AS p FROM al JOIN bt USING (w)", "big")
+@query("stage_merged", _SOFT + _ATTACH + ", al AS (SELECT w, c, d FROM ds UNION ALL SELECT w, c, d FROM df) SELECT w, CAST(c AS INTEGER) AS c, round(x / sum(x) OVER (PARTITION BY w), 6) + 0.0 AS p FROM (SELECT w, c, power(2.0, -2 * beta * (d - min(d) OVER (PARTITION BY w))) AS x FROM al JOIN bt USING (w))", "big")
 def _(s, d):
     """The memberships of both stages, surer for frequent words."""
     big, uni, model, _, fresh = _stage(s, d)
