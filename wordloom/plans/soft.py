@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.storage import kept
-from ..operators import corpus, multistage, profile_shapes, soft_classes, sparse_rows
+from ..operators import corpus, multistage, profile_shapes, soft_classes
 from .registry import query
 from .text import counted, sents
 
