@@ -32,6 +32,17 @@ def paths(sentence, words, tags, b, a):
         yield path, p
 
 
+def test_emissions_of_every_word_under_every_tag(spark):
+    lex, moves, _ = model(spark)
+    words, tags, b, _ = plain(lex, moves)
+    rows = hmm_tables.emission_grid(lex).collect()
+    assert len(rows) == len(words) * len(tags) == len(b)
+    got = {(r["w"], r["tag"]): r["p"] for r in rows}
+    assert got.keys() == b.keys() and all(math.isclose(got[k], b[k]) for k in b)
+    odd = hmm_tables.emission_grid(lex.unionByName(spark.createDataFrame([("x", None, 2)], lex.schema))).collect()
+    assert len(odd) == len(words) * (len(tags) + 1)
+
+
 SENTENCES = [["x"], ["x", "y", "z"], ["q", "z"], ["y", "x", "q", "z", "x"], ["z", "z"]]
 
 
