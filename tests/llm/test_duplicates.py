@@ -410,3 +410,20 @@ def test_passages(spark, no_docs, odd_docs):
     assert chained_passages.passages(no_docs).count() == 0
     found = {(r["doc_id"], r["other_doc_id"]) for r in chained_passages.passages(odd_docs).collect()}
     assert (2, 1) in found and (1, 2) in found and any(3 in p for p in found) and any(10 in p for p in found)
+
+
+def test_links_of_common_phrases_and_edits(spark):
+    """Passages whose every phrase of 25 words is quoted by other texts, word for word and edited: no link is lost to the texts that quote a phrase."""
+    rng, texts, planted = random.Random(77), [], {}
+    some = lambda n: [words_for(rng) for _ in range(n)]
+    for identity in (1.0, 0.95, 0.9):
+        for _ in range(12):
+            passage = some(100)
+            planted.setdefault(identity, []).append((len(texts), len(texts) + 1))
+            texts += [some(30) + passage + some(30), some(20) + edited(rng, passage, identity) + some(40)]
+            texts += [some(20) + passage[k : k + 25] + some(20) for k in range(0, 100, 25) for _ in range(12)]
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    docs = spark.createDataFrame([(i, " ".join(texts[i])) for i in order], "doc_id long, text string").repartition(3)
+    found = linked(chained_passages.passages(docs).collect())
+    assert found == {p for pairs in planted.values() for a, b in pairs for p in ((a, b), (b, a))}
