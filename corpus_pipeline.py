@@ -1,8 +1,9 @@
 """From raw documents to packed sequences: five stages, each applied to all that its predecessor kept.
 
-Four of them apply operators 3, 5, 9 and 8.  The third links near copies by their
-shingles' Jaccard index (``near_copies``), as covering masks over SimHash prints,
-operator 10, can't find pairs of five-word shingles at 0.8.
+They apply operators 3, 5, 10, 9 and 8.  The third (``near_copies``) takes the
+pairs of operator 10's covering masks over SimHash prints of five-word shingles,
+and more by least hashes, as few pairs at a Jaccard index of 0.8 are within its
+bits; links are those whose whole sets prove that index.
 """
 
 from __future__ import annotations
@@ -59,7 +60,8 @@ def line_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest doc_id stays.
 
-    Links are pairs whose five-word shingles have a Jaccard index of 0.8 or more.
+    Links are pairs whose five-word shingles have a Jaccard index of 0.8 or more,
+    found by operator 10's covering masks and, beyond its bits, by least hashes.
     Rows of one doc_id and text are one document; of different texts with one
     doc_id, that with the least hash comes first; rows without a doc_id come
     after all others.  Texts without words, null ones too, are one group.

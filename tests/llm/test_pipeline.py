@@ -6,7 +6,7 @@ import pytest
 
 import corpus_pipeline as pipeline
 from tests.llm.test_duplicates import components, slow_lines, slow_substrings
-from wordloom.llm import near_copies, tiles
+from wordloom.llm import near_copies, simhash, tiles
 
 
 def test_stages_follow_each_other(spark, small, documents):
@@ -107,6 +107,21 @@ def test_groups_against_brute_force(spark, monkeypatch, block):
     assert [got[i] for i in range(len(texts))] == part
 
 
+def test_covering_masks_find_near_copies(spark, small):
+    """Among the keys that the stage joins texts by are operator 10's: every pair within its bits shares one of them."""
+    pairs = near_pairs(random.Random(5), 30)[0.95]
+    rows = [(2 * i + k, texts[k]) for i, texts in enumerate(pairs) for k in (0, 1)]
+    prints = [simhash.majority(near_copies.shingles(w)) for w in near_copies.word_hashes([t for _, t in rows])]
+    near = [i for i in range(len(pairs)) if bin(prints[2 * i] ^ prints[2 * i + 1]).count("1") <= simhash.RADIUS]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    many = len(simhash.covering_masks())
+    keys = {r["doc_id"]: r["keys"] for r in near_copies._keyed(docs).collect()}
+    assert all(len(k) == many + near_copies.BANDS for k in keys.values())
+    assert near and all(any(a == b for a, b in zip(keys[2 * i][:many], keys[2 * i + 1][:many], strict=True)) for i in near)
+    kept = {r["doc_id"] for r in pipeline.near_duplicates(spark, docs, small).collect()}
+    assert all(2 * i in kept and 2 * i + 1 not in kept for i in near)
+
+
 def test_links_of_a_block():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 63, 20_000, dtype=np.uint64)

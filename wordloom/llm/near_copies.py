@@ -1,10 +1,12 @@
 """Groups of texts whose word shingles are alike, for the pipeline.
 
 The similarity of two texts is the Jaccard index of their sets of ``WORDS``-word
-shingles.  ``BANDS`` keys of ``ROWS`` least hashes each find the candidates: a
-pair at the threshold of 0.8 shares a key with a probability of 0.9999, a pair
-at 0.9 misses all with one below 1e-10.  Candidates are links only if their sets
-prove it.  Each text is first held against the least text of its keys' groups;
+shingles.  Candidates come from operator 10: the sets' SimHash fingerprints under
+its covering masks, which find every pair within ``simhash.RADIUS`` bits.  As
+few pairs at 0.8 are that near, ``BANDS`` keys of ``ROWS`` least hashes each find
+more: a pair at the threshold of 0.8 shares a key with a probability of 0.9999,
+a pair at 0.9 misses all with one below 1e-10.  Candidates are links only if
+their sets prove it.  Each text is first held against the least text of its keys' groups;
 groups which that leaves in several parts are compared pair by pair, in blocks.
 """
 
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 from .chained_passages import word_hashes
 from .common import map_batches, stored
 from .components import connected_components
+from .simhash import covering_masks, majority
 from .tiles import least_labels, over_tiles, tiled
 
 WORDS, LEAST, BANDS, ROWS, SEED = 5, 0.8, 32, 6, 42
@@ -74,6 +77,14 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
     return out.view(np.int64)
 
 
+def covering_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of keys for each set, one for each covering mask: its fingerprint as far as the mask shows it."""
+    prints = np.array([majority(s) if len(s) else 0 for s in sets], np.uint64)[:, None]
+    masks = np.array(covering_masks(), np.uint64)[None, :]
+    table = np.arange(1, masks.shape[1] + 1, dtype=np.uint64)[None, :]
+    return _mixed(_mixed(prints & masks) ^ (table * _MIX)).view(np.int64)
+
+
 def alike(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> bool:
     """Whether two sorted sets reach the similarity; two empty ones do."""
     if min(len(a), len(b)) < least * max(len(a), len(b)):
@@ -107,7 +118,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
             if batch:
                 for lo in range(0, len(batch["text"]), 1000):
                     sets = [shingles(w) for w in word_hashes(batch["text"][lo : lo + 1000])]
-                    yield {"doc_id": batch["doc_id"][lo : lo + 1000], "mark": batch["mark"][lo : lo + 1000], "body": [_digest(s) for s in sets], "keys": list(band_keys(sets))}
+                    yield {"doc_id": batch["doc_id"][lo : lo + 1000], "mark": batch["mark"][lo : lo + 1000], "body": [_digest(s) for s in sets], "keys": list(np.concatenate([covering_keys(sets), band_keys(sets)], axis=1))}
 
         return step
 

@@ -34,12 +34,15 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     ends = np.cumsum([len(w) + 1 for w in found]) - 1
     starts = [0, *(ends[:-1] + 1).tolist()]
     last = ends[words - 1 :].tolist() or [len(joined)]
+    return majority(np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, last, strict=False)), np.uint64, len(last)))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of shingles' hashes, as ``fingerprint`` makes it."""
     bits = np.zeros(64, np.int64)
-    for i in range(0, len(last), 50_000):
-        some = list(zip(starts[i : i + 50_000], last[i : i + 50_000], strict=False))
-        h = np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in some), np.uint64, len(some))
-        bits += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * bits > len(last)).tobytes(), "big")
+    for i in range(0, len(hashes), 50_000):
+        bits += np.unpackbits(hashes[i : i + 50_000].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * bits > len(hashes)).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
