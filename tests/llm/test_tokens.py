@@ -123,6 +123,25 @@ def test_pieces_equal_the_library(path):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_new_words_reach_the_library_in_one_text():
+    library, pieces = Tokenizer.from_file(BYTE), PieceTokenizer(BYTE)
+    rng = random.Random(11)
+    ends = ["", ".", ",\n", "\n\n", "\n", "'s", "\u00a0", "\u2003x", "\t", "\x1c", "<|endoftext|>", "<|", "\u0301", "\u4e2d", "\U0001f600"]
+    some = ["".join(" " + "".join(rng.choice("abe1\u00e9\u00df\u4e2d!<|'") for _ in range(rng.randint(1, 9))) + rng.choice(ends) * (rng.random() < 0.3) for _ in range(40)) for _ in range(100)]
+    given_over = []
+
+    class Counting:
+        def encode_batch_fast(self, batch, **how):
+            given_over.extend(batch)
+            return library.encode_batch_fast(batch, **how)
+
+    pieces.tokenizer = Counting()
+    for t, ids in zip(some, pieces.ids(some), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+    assert sum(map(len, given_over)) > 10_000
+    assert len(given_over) < 1000 < len(pieces.new)
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 3), st.integers(0, 60_000), st.integers(0, (1 << 64) - 1)), max_size=3000))
 def test_simple8b_round_trip(ids):
