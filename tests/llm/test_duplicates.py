@@ -5,11 +5,14 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 
+from tests.llm.conftest import sentence
 from tests.oracle import connection, same
 from wordloom.llm import chained_passages, embedding_dedup, exact_substrings, line_dedup, simhash, suffix_array
+from wordloom.llm.common import as_list, stored
 from wordloom.llm.components import connected_components
 from wordloom.llm.queries import oracle_sql, queries
 
@@ -427,3 +430,56 @@ def test_links_of_common_phrases_and_edits(spark):
     docs = spark.createDataFrame([(i, " ".join(texts[i])) for i in order], "doc_id long, text string").repartition(3)
     found = linked(chained_passages.passages(docs).collect())
     assert found == {p for pairs in planted.values() for a, b in pairs for p in ((a, b), (b, a))}
+
+
+def test_as_list_equals_pylist():
+    rows = [{"a": 1, "b": ["x", None]}, {"a": 2, "b": []}, {"a": 3, "b": None}]
+    arrays = [
+        pa.array([1, -2, 1 << 62]), pa.array([1, None]), pa.array(["a", None, "", "\u4e2d\0"]), pa.array([b"", b"\0x", None]), pa.array([True, False]), pa.array([0.5, None]), pa.array([0.5, -0.0]),
+        pa.array([[1, 2], [], [3]]), pa.array([[1, None], None]), pa.array([["a"], ["b", "c"], []]), pa.array(rows), pa.array([[rows[0]], [], rows]), pa.array([], pa.list_(pa.int32())), pa.array([[["a"], []], []]), pa.array([None, None]),
+    ]
+    for a in arrays:
+        for part in (a, a[1:], a[:0]):
+            assert as_list(part) == part.to_pylist(), part
+
+
+def test_chains_equal_all_pairs_of_anchors():
+    rng = np.random.default_rng(5)
+    for n in [2, 3, 8, 30] * 10:
+        for rising in (True, False):
+            x, y = (np.cumsum(rng.integers(1, 30, n)) if rising else rng.integers(0, 60, n) for _ in range(2))
+            places = sorted(set(zip(x.tolist(), y.tolist(), strict=True)))
+            x, y = np.array([p for p, _ in places]), np.array([q for _, q in places])
+            score, least = [], chained_passages.K
+            for i, j in places:
+                # Of the anchors before, the one of the greatest score with its place, the later of equals, is followed.
+                before = [(s + chained_passages.GAP_COST * (p + q), k) for k, ((p, q), s) in enumerate(zip(places, score, strict=False)) if p < i and q < j]
+                most, k = max(before, default=(-1e18, 0))
+                score.append(max(least, most - chained_passages.GAP_COST * (i + j) + min(least, i - places[k][0], j - places[k][1])))
+            chains = chained_passages.best_chains(x, y)
+            assert sorted(a for c in chains for a in c) == list(range(len(places)))
+            assert abs(max(score) - max(_score([places[a] for a in c]) for c in chains)) < 1e-9
+
+
+def _score(places):
+    k, cost = chained_passages.K, chained_passages.GAP_COST
+    return k + sum(min(k, i - p, j - q) - cost * (i - p + j - q) for (p, q), (i, j) in zip(places, places[1:], strict=False))
+
+
+def test_later_rounds_read_the_texts_that_go_on(spark, monkeypatch):
+    rng = random.Random(8)
+    start = sentence(rng, 14) + " same" * 300
+    rows = [(1, sentence(rng, 70) + " " + start + " " + sentence(rng, 50)), (2, sentence(rng, 90) + " " + start + " " + sentence(rng, 60))] + [(i, sentence(rng, 100)) for i in range(3, 30)]
+    held = []
+
+    def watched(df, name):
+        out = stored(df, name)
+        held.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(chained_passages, "stored", watched)
+    found = chained_passages.passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {(r["doc_id"], r["other_doc_id"]) for r in found} == {(1, 2), (2, 1)}
+    assert max(r["n_words"] for r in found) >= 310
+    assert [n for name, n in held if name == "texts"] == [2]
+    assert sum(name == "passages" for name, _ in held) > 2
