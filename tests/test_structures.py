@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wordloom.operators import clustering, dictionary, evaluation, fitting, normalization, profile_shapes, sparse_svd, tree_order, trie
+from wordloom.operators import clustering, dictionary, evaluation, fitting, morphology, normalization, profile_shapes, sparse_svd, tree_order, trie
 from wordloom.sources import files
 
 
@@ -245,3 +245,14 @@ def test_cell_ranks(spark):
     keys = [("left", "a", "x"), ("left", "b", "x"), ("right", "a", "x"), ("right", "a", "y")]
     assert rows() == dict(zip(keys, [0.0, 1.0, 1.0, 0.0], strict=True)) and rows(joint=True) == dict(zip(keys, [1.5, 3.0, 1.5, 0.0], strict=True))
     assert rows(shared=False) == dict(zip(keys, [0.0, 1.0, 1.0, 0.0], strict=True)) and rows(shared=False, joint=True) == dict(zip(keys, [1.0, 3.0, 2.0, 0.0], strict=True))
+
+
+def test_tree_paths_beyond_what_recursion_allows(spark):
+    """A chain of 150 nodes, 2,000 below another root, a node whose parent is missing, and a cycle."""
+    chain = spark.range(150).selectExpr("concat('c', id) as node", "case when id > 0 then concat('c', id - 1) end as parent")
+    wide = spark.range(2_000).selectExpr("concat('w', id) as node", "case when id > 0 then concat('w', (id - 1) div 4) end as parent")
+    lost = spark.createDataFrame([("x", "nowhere"), ("y", "z"), ("z", "y"), ("u", "y")], "node string, parent string")
+    out = morphology.tree_paths(chain.unionByName(wide).unionByName(lost))
+    assert out.where("root = 'c0'").count() == 150 and out.where("root = 'w0'").count() == 2_000 and out.count() == 2_150
+    assert out.where("node = 'c149'").first().asDict() == {"node": "c149", "root": "c0", "depth": 149, "path": "/".join(f"c{i}" for i in range(150))}
+    assert out.where("node = 'w1000'").first()["path"] == "w0/w3/w15/w62/w249/w1000"
