@@ -256,3 +256,11 @@ def test_tree_paths_beyond_what_recursion_allows(spark):
     assert out.where("root = 'c0'").count() == 150 and out.where("root = 'w0'").count() == 2_000 and out.count() == 2_150
     assert out.where("node = 'c149'").first().asDict() == {"node": "c149", "root": "c0", "depth": 149, "path": "/".join(f"c{i}" for i in range(150))}
     assert out.where("node = 'w1000'").first()["path"] == "w0/w3/w15/w62/w249/w1000"
+
+
+def test_gaussian_quantile_of_a_share_gives_the_value_again(spark):
+    """A quantile of an expression that is itself an error function, of 20,000 values."""
+    share = fitting.gaussian_cdf(F.col("x"), F.lit(2.0), F.lit(3.0))
+    values = spark.range(20_000).select((F.col("id") / 1000 - 8).alias("x"))
+    out = values.select("x", fitting.gaussian_quantile(share, F.lit(2.0), F.lit(3.0)).alias("y"))
+    assert out.where("y is null or abs(x - y) > 1e-6").count() == 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,17 +127,25 @@ def offset_power_law(rows: DataFrame, x: str, y: str, rounds: int = 60) -> tuple
     return float(p[0]), float(p[1]), float(p[2]), float(s)
 
 
+def _bound(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)`` with the value computed once, however often it is used: as the argument of a lambda function."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def erf(x: Column) -> Column:
     """The error function to about 1e-14: a series within 3 of 0, a continued fraction beyond."""
-    z = F.abs(x)
-    near = F.least(z, F.lit(3.0))
+    return _bound(x, lambda y: F.signum(y) * _bound(F.abs(y), lambda z: F.when(z <= 3, _bound(F.least(z, F.lit(3.0)), _near)).otherwise(1 - _bound(F.greatest(z, F.lit(3.0)), _tail))))
+
+
+def _near(z: Column) -> Column:
     # 2 / sqrt(pi) exp(-z^2) z (1 + 2 z^2 / 3 + (2 z^2)^2 / (3 5) + …)
-    term = F.aggregate(F.sequence(F.lit(1), F.lit(60)), F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s")), lambda acc, k: _next_term(acc, k, near))
-    series = 2 / F.sqrt(F.pi()) * F.exp(-near * near) * near * term["s"]
-    far = F.greatest(z, F.lit(3.0))
-    fraction = F.aggregate(F.sequence(F.lit(60), F.lit(1), F.lit(-1)), far, lambda acc, k: far + (k / 2.0) / acc)
-    tail = F.exp(-far * far) / (F.sqrt(F.pi()) * fraction)
-    return F.signum(x) * F.when(z <= 3, series).otherwise(1 - tail)
+    term = F.aggregate(F.sequence(F.lit(1), F.lit(60)), F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s")), lambda acc, k: _next_term(acc, k, z))
+    return 2 / F.sqrt(F.pi()) * F.exp(-z * z) * z * term["s"]
+
+
+def _tail(z: Column) -> Column:
+    fraction = F.aggregate(F.sequence(F.lit(60), F.lit(1), F.lit(-1)), z, lambda acc, k: z + (k / 2.0) / acc)
+    return F.exp(-z * z) / (F.sqrt(F.pi()) * fraction)
 
 
 def _next_term(acc: Column, k: Column, z: Column) -> Column:
@@ -163,19 +173,22 @@ def _polynomial(coefficients: tuple[float, ...], x: Column) -> Column:
 
 def gaussian_quantile(p: Column, mean: Column | float = 0.0, deviation: Column | float = 1.0) -> Column:
     """The value below which a share p of a normal distribution lies, infinite at 0 and 1, null beyond."""
-    low = F.least(p, 1 - p)
-    q = low - 0.5
-    centre = _polynomial(_CENTRE, q * q) * q / _polynomial(_CENTRE_BELOW, q * q)
-    t = F.sqrt(-2 * F.log(low))
-    tail = _polynomial(_TAIL, t) / _polynomial(_TAIL_BELOW, t)
-    first = F.when(low < 0.02425, tail).otherwise(centre)
-    # One step of Halley's method.
-    error = (gaussian_cdf(first) - low) * F.sqrt(2 * F.pi()) * F.exp(first * first / 2)
-    better = first - error / (1 + first * error / 2)
-    z = F.when(low > 1e-10, better).otherwise(first)
-    z = F.when(p <= 0.5, z).otherwise(-z)
-    ends = F.when(p == 0, F.lit(float("-inf"))).when(p == 1, F.lit(float("inf"))).when((p > 0) & (p < 1), z)
-    return ends * deviation + mean
+    return _bound(p, lambda share: _bound(F.least(share, 1 - share), lambda low: _quantile(share, low))) * deviation + mean
+
+
+def _quantile(p: Column, low: Column) -> Column:
+    """That of the standard normal distribution at p, ``low`` being the lesser of p and 1 - p."""
+    centre = _bound(low - 0.5, lambda q: _polynomial(_CENTRE, q * q) * q / _polynomial(_CENTRE_BELOW, q * q))
+    tail = _bound(F.sqrt(-2 * F.log(low)), lambda t: _polynomial(_TAIL, t) / _polynomial(_TAIL_BELOW, t))
+
+    def better(first: Column) -> Column:
+        # One step of Halley's method.
+        return _bound((gaussian_cdf(first) - low) * F.sqrt(2 * F.pi()) * F.exp(first * first / 2), lambda error: first - error / (1 + first * error / 2))
+
+    def ends(z: Column) -> Column:
+        return F.when(p == 0, F.lit(float("-inf"))).when(p == 1, F.lit(float("inf"))).when((p > 0) & (p < 1), F.when(p <= 0.5, z).otherwise(-z))
+
+    return _bound(_bound(F.when(low < 0.02425, tail).otherwise(centre), lambda first: F.when(low > 1e-10, better(first)).otherwise(first)), ends)
 
 
 def probit(p: Column) -> Column:
