@@ -1,10 +1,12 @@
 import random
 import re
 import statistics
+import time
 import unicodedata
 
 import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 
 from wordloom.operators import clustering, collection, corpus, fitting
 from wordloom.plans import shapes, text
@@ -70,3 +72,15 @@ def test_rank_sums_of_ties(spark):
     rows = [("a", 1.0), ("a", 2.0), ("b", 2.0), ("b", 2.0), ("b", 5.0), ("a", None)]
     got = {r["g"]: (r["n"], r["w"]) for r in fitting.rank_sums(spark.createDataFrame(rows, "g string, x double"), "g", "x").collect()}
     assert got == {"a": (2.0, 1 + 3.0), "b": (3.0, 3.0 + 3.0 + 5)}
+
+
+def test_windows_of_a_long_line_take_time_in_proportion(spark):
+    """A line of 150,000 words, and arrays with fewer items than a window."""
+    n = 150_000
+    long = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: i.cast("string")).alias("toks"))
+    began = time.time()
+    grams = long.select(F.explode(corpus.windows(corpus.padded("toks", 2, 1), 3)).alias("g")).select("g.*")
+    assert grams.distinct().count() == n + 1
+    assert time.time() - began < 60
+    few = spark.createDataFrame([(["a"],), (["a", "b", "c"],), ([],)], "toks array<string>")
+    assert [[list(g) for g in r[0]] for r in few.select(corpus.windows(F.col("toks"), 2)).collect()] == [[], [["a", "b"], ["b", "c"]], []]
