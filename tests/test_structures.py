@@ -264,3 +264,17 @@ def test_gaussian_quantile_of_a_share_gives_the_value_again(spark):
     values = spark.range(20_000).select((F.col("id") / 1000 - 8).alias("x"))
     out = values.select("x", fitting.gaussian_quantile(share, F.lit(2.0), F.lit(3.0)).alias("y"))
     assert out.where("y is null or abs(x - y) > 1e-6").count() == 0
+
+
+def test_row_distances_of_odd_and_many_vectors(spark, monkeypatch):
+    """Null vectors and components and other lengths have no distance; the work is done without a Column for each pair."""
+    vectors = [[1.0, 2.0, 4.0], [0.5, -2.0, 1.0], None, [1.0, None, 2.0], [1.0, 2.0], [float("nan"), 0.0, 0.0], [3.0, 3.0, 3.0]]
+    points = spark.createDataFrame(list(enumerate(vectors)), "id long, v array<double>")
+    for how, part in (("l1", abs), ("l2", lambda x: x * x)):
+        monkeypatch.setitem(clustering.DISTANCES, how, None)
+        got = {(r.a, r.b): r.d for r in clustering.row_distances(points.where("id % 2 = 0"), points, how).collect()}
+        assert set(got) == {(a, b) for a in range(7) for b in range(a + 1, 7) if a % 2 == 0 or b % 2 == 0}
+        for (a, b), d in got.items():
+            x, y = vectors[a], vectors[b]
+            want = None if not x or not y or None in x + y or len(x) != len(y) else sum(part(p - q) for p, q in zip(x, y, strict=True)) / len(x)
+            assert d == want or (want is not None and math.isnan(want) and math.isnan(d))
