@@ -79,8 +79,10 @@ def _(s, d):
 w AS (SELECT sum(CASE WHEN (CASE WHEN f1 > 1 THEN (f - 1) / (f1 - 1) ELSE 0 END) > (CASE WHEN n > 1 THEN (f2 - 1) / (n - 1) ELSE 0 END) THEN f ELSE 0 END) / sum(f) AS l2 FROM big JOIN u1 USING (w1) JOIN u2 USING (w2), nn)
 SELECT dir, t, b, round(l2 * f + (1 - l2) * fb, 4) + 0.0 AS value FROM pr, w""", "big")
 def _(s, d):
-    """By the weights of all bigrams."""
-    return _rounded(profile_shapes.interpolated_profile(_profile(s, d, True), weights=language_model.interpolation_weights(bigrams(s, d))))
+    """By the weights of all bigrams, which are counted once for both."""
+    uni, big = counted(s, d)
+    dense = profiles.profile(big, kept(profiles.most_frequent(uni, 500), "targets"), kept(profiles.most_frequent(uni, 200), "bounds"), True)
+    return _rounded(profile_shapes.interpolated_profile(dense, weights=language_model.interpolation_weights(big)))
 
 
 @query("lr_weighted_sides", _PAIRS.format("ex") + """, mi AS (SELECT dir, t, sum(log2(f * nl / (ftl * fbl))) AS mi FROM pr GROUP BY dir, t), w AS (SELECT dir, t, CASE WHEN mi <> 0 THEN mi / sum(mi) OVER (PARTITION BY t) ELSE 0 END AS w FROM mi)
