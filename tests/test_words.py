@@ -84,3 +84,18 @@ def test_windows_of_a_long_line_take_time_in_proportion(spark):
     assert time.time() - began < 60
     few = spark.createDataFrame([(["a"],), (["a", "b", "c"],), ([],)], "toks array<string>")
     assert [[list(g) for g in r[0]] for r in few.select(corpus.windows(F.col("toks"), 2)).collect()] == [[], [["a", "b"], ["b", "c"]], []]
+
+
+def test_positional_counts_of_a_long_line_take_time_in_proportion(spark):
+    n = 40_000
+    docs = spark.range(1).select(F.lit(1).alias("doc_id"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: i.cast("string")), " ").alias("text"))
+    began = time.time()
+    got = {r["step"]: r["count"] for r in corpus.positional_counts(corpus.sentences(docs), 3).groupBy("step").count().collect()}
+    assert got == {1: n - 1, 2: n - 2, 3: n - 3} and time.time() - began < 60
+
+
+def test_interpolation_counts_bigrams_once(spark, small, monkeypatch):
+    real, calls = corpus.ngram_counts, []
+    monkeypatch.setattr(corpus, "ngram_counts", lambda *a, **b: calls.append(a) or real(*a, **b))
+    QUERIES["lr_interpolated_all"](spark, small)
+    assert len(calls) == 1
