@@ -180,3 +180,15 @@ def test_memberships_of_odd_words(spark):
     with pytest.raises(ValueError):
         soft_classes.transitions(soft, counts, "none of these")
     assert soft_classes.n_best(soft.limit(0), 2).count() == 0
+
+
+def test_class_counts_equal_cells_over_classes(spark):
+    """Words with several classes, without one, as an edge, and targets that are no words of the bigrams."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(12)]
+    big = spark.createDataFrame([(a, b, rng.randint(1, 9)) for a in ["__$", *words] for b in [*words, "__$"] if rng.random() < 0.6], "w1 string, w2 string, f long")
+    targets = spark.createDataFrame([(w,) for w in [*words[:9], "none"]], "w string")
+    soft = spark.createDataFrame([(w, c, 0.25 * (c + 1)) for w in words[3:] for c in range(3) if rng.random() < 0.7], "w string, c int, p double")
+    shown = lambda df: sorted((r.dir, r.t, r.b, round(r.f, 9)) for r in df.collect())
+    want = shown(multistage.over_classes(multistage.cells(big, targets), soft))
+    assert want and shown(multistage.class_counts(big, targets, soft)) == want
