@@ -192,3 +192,12 @@ def test_class_counts_equal_cells_over_classes(spark):
     shown = lambda df: sorted((r.dir, r.t, r.b, round(r.f, 9)) for r in df.collect())
     want = shown(multistage.over_classes(multistage.cells(big, targets), soft))
     assert want and shown(multistage.class_counts(big, targets, soft)) == want
+
+
+def test_no_classes_and_no_centres(spark):
+    big = spark.createDataFrame([("__$", "a", 2), ("a", "b", 1)], "w1 string, w2 string, f long")
+    words = spark.createDataFrame([("a",), ("b",)], "w string")
+    none = spark.createDataFrame([], "w string, c int, p double")
+    assert [tuple(r) for r in multistage.class_counts(big, words, none).collect()] == [("left", "a", "__$", 2.0)]
+    rows, centres = spark.createDataFrame([("a", "x", 1.0)], "t string, k string, x double"), spark.createDataFrame([], "c int, k string, x double")
+    assert sparse_rows.distances(rows, centres).columns == ["t", "c", "d"] and sparse_rows.distances(rows, centres).isEmpty()
